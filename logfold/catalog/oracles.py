@@ -196,7 +196,7 @@ SELECT s.pipeline, s.category, count(*) AS N_Runs, count(*) FILTER (storage_vali
     round_even(round_even(avg(storage) FILTER (storage_valid), 4) / 1048576, 2) AS Avg_Storage_MB,
     round_even(avg(SRR) FILTER (storage_valid), 4) AS SRR_Mean,
     round_even(stddev_samp(SRR) FILTER (storage_valid), 4) AS SRR_Std,
-    round_even(avg(IPR), 4) AS IPR_Mean, round(any_value(f.ipr), {DIGITS}) AS IPR_Failure,
+    round_even(avg(s.IPR), 4) AS IPR_Mean, round(any_value(f.ipr), {DIGITS}) AS IPR_Failure,
     round_even(1 - any_value(f.ipr), 4) AS FLR_Mean, round_even(avg(CE), 4) AS CE_Mean
 FROM normal s LEFT JOIN (SELECT pipeline, category, avg(IPR) AS ipr FROM failure GROUP BY ALL) f
     ON s.pipeline = f.pipeline AND s.category = f.category

@@ -47,16 +47,19 @@ def daily_runs(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(runs.evaluate_strategies(V.daily_log(spark, sf), eps=DAY_EPS), "runs")
 
 
-def daily_restart_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(runs.restart_runs(V.daily_log(spark, sf), V.EVENT_ORDER, 0.5, eps=DAY_EPS), "restart")
+def daily_restart_fold(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(runs.fold_restarted(V.daily_log(spark, sf), V.EVENT_ORDER, 0.5, eps=DAY_EPS), "fold")
 
 
-def daily_metrics(spark: SparkSession, sf: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    return metrics.run_metrics(daily_runs(spark, sf), extra)
+def daily_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.run_metrics(daily_runs(spark, sf))
 
 
-def daily_restart_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.run_metrics(daily_restart_runs(spark, sf))
+def daily_pair(spark: SparkSession, sf: str, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Metrics without and with a restart, from one fold of the log."""
+    folded = daily_restart_fold(spark, sf)
+    return (metrics.run_metrics(runs.runs_table(folded), extra),
+            metrics.run_metrics(runs.runs_table(folded, restarted=True)))
 
 
 def chat_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,7 +158,7 @@ def cut_records(spark, sf):
 
 @register
 def restart_runs(spark, sf):
-    return rounded(daily_restart_runs(spark, sf).select(
+    return rounded(runs.runs_table(daily_restart_fold(spark, sf), restarted=True).select(
         "pipeline", "workload_id", "dup_ratio", "N", "M", "reconstructed", "forwarded", "failed"))
 
 
@@ -172,22 +175,22 @@ def pipeline_medians(spark, sf):
 
 @register
 def comparison_table(spark, sf):
-    return rounded(reports.comparison_table(daily_metrics(spark, sf), daily_restart_metrics(spark, sf)))
+    return rounded(reports.comparison_table(*daily_pair(spark, sf)))
 
 
 @register
 def ipr_grid(spark, sf):
-    return rounded(reports.ipr_grid(daily_metrics(spark, sf), daily_restart_metrics(spark, sf)))
+    return rounded(reports.ipr_grid(*daily_pair(spark, sf)))
 
 
 @register
 def failure_impact(spark, sf):
-    return rounded(reports.failure_impact(daily_metrics(spark, sf), daily_restart_metrics(spark, sf)))
+    return rounded(reports.failure_impact(*daily_pair(spark, sf)))
 
 
 @register
 def tradeoff(spark, sf):
-    return rounded(reports.tradeoff(daily_metrics(spark, sf), daily_restart_metrics(spark, sf)))
+    return rounded(reports.tradeoff(*daily_pair(spark, sf)))
 
 
 @register
@@ -197,7 +200,7 @@ def srr_by_dup(spark, sf):
 
 @register
 def ipr_vs_dup(spark, sf):
-    return rounded(reports.ipr_vs_dup(daily_metrics(spark, sf), daily_restart_metrics(spark, sf)))
+    return rounded(reports.ipr_vs_dup(*daily_pair(spark, sf)))
 
 
 @register
@@ -244,13 +247,13 @@ def cumulative_summary(spark, sf):
 
 @register
 def restart_loss(spark, sf):
-    return rounded(advice.restart_loss(daily_metrics(spark, sf), daily_restart_metrics(spark, sf)))
+    return rounded(advice.restart_loss(*daily_pair(spark, sf)))
 
 
 @register
 def recommend_strategy(spark, sf):
     return rounded(advice.recommend(
-        daily_metrics(spark, sf, ("forwarded",)), daily_restart_metrics(spark, sf), 0.25, 0.4))
+        *daily_pair(spark, sf, ("forwarded",)), 0.25, 0.4))
 
 
 @register

@@ -8,16 +8,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Rule = tuple[str, str]
+# Pattern, token, and a text without which the original message cannot match ("" for none).
+Rule = tuple[str, str, str]
 
 # What is masked, by which token, in this order. UUIDs and addresses come
-# before digit runs, which would otherwise break them up. Quantifiers are possessive and the
+# before digit runs, which would otherwise break them up. Quantifiers are possessive and an
 # address starts at the head of a digit run, so a long run of digits costs linear time.
 DEFAULT_RULES: tuple[Rule, ...] = (
-    (r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}", "{UUID}"),
-    (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "{IP}"),
-    (r"[0-9]++", "{NUM}"),
-    (r'"[^"]*+"', "{STR}"),
+    (r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}", "{UUID}", "-"),
+    (r"[0-9](?<![0-9]{2})[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++", "{IP}", "."),
+    (r"[0-9]++", "{NUM}", ""),
+    (r'"[^"]*+"', "{STR}", '"'),
 )
 
 # What a missing field counts as.
@@ -30,10 +31,16 @@ def _replacement(token: str) -> str:
 
 
 def normalize(message: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
-    """Apply the masking rules in order. One projection, no Python per row."""
-    for pattern, token in rules:
-        message = F.regexp_replace(message, F.lit(pattern), F.lit(_replacement(token)))
-    return message
+    """Apply the masking rules in order. One projection, no Python per row.
+
+    Most messages lack most of the needles; looking for a plain text first spares them the
+    regex, at about half the cost for prose.
+    """
+    text = message
+    for pattern, token, needle in rules:
+        masked = F.regexp_replace(text, F.lit(pattern), F.lit(_replacement(token)))
+        text = F.when(message.contains(needle), masked).otherwise(text) if needle else masked
+    return text
 
 
 def field(df: DataFrame, name: str, prefix: str = "log_") -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from logfold.functions.masking import tag_record
 from logfold.functions.schedule import DEFAULT_EPS, emission_table, emissions_until, last_emitted
-from logfold.operators.ranking import HOT_ROWS, rank_rows
+from logfold.operators.ranking import HOT_ROWS, pick_rows, rank_rows
 
 
 def keep_all(df: DataFrame) -> DataFrame:
@@ -40,18 +40,12 @@ def edge_emissions(df: DataFrame, order: Sequence[str], eps: float = DEFAULT_EPS
 
 def first_sightings(df: DataFrame, order: Sequence[str], sig: str = "sig") -> DataFrame:
     """The first record of every signature; partial aggregation, no window."""
-    return _edge_record(df, order, sig, F.min_by)
+    return pick_rows(df, sig, order, last=False)
 
 
 def last_records(df: DataFrame, order: Sequence[str], sig: str = "sig") -> DataFrame:
     """The last record of every signature."""
-    return _edge_record(df, order, sig, F.max_by)
-
-
-def _edge_record(df: DataFrame, order: Sequence[str], sig: str, pick) -> DataFrame:
-    payload = F.struct(*[c for c in df.columns if c != sig])
-    return (df.groupBy(sig).agg(pick(payload, F.struct(*order)).alias("_record"))
-            .select(sig, "_record.*"))
+    return pick_rows(df, sig, order)
 
 
 def distinct_documents(df: DataFrame, sig: str = "sig") -> DataFrame:
@@ -66,10 +60,8 @@ def signature_counts(df: DataFrame, sig: str = "sig") -> DataFrame:
 
 def index_documents(df: DataFrame, order: Sequence[str], sig: str = "sig") -> DataFrame:
     """Strategy C's final table: last record of each signature with the exact count."""
-    payload = F.struct(*[c for c in df.columns if c != sig])
-    folded = df.groupBy(sig).agg(
-        F.count("*").alias("_n"), F.max_by(payload, F.struct(*order)).alias("_record"))
-    return tag_record(folded.select(sig, "_record.*", "_n"), sig, F.col("_n")).drop("_n")
+    folded = pick_rows(df, sig, order, count="_n")
+    return tag_record(folded, sig, F.col("_n")).drop("_n")
 
 
 def edge_counts(df: DataFrame, eps: float = DEFAULT_EPS, sig: str = "sig") -> DataFrame:

@@ -27,6 +27,31 @@ def join_back(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def _hashed(keys: Sequence[str]) -> list:
+    """Keys led by their hash: sorting long strings with common heads is then one comparison."""
+    return [F.xxhash64(*keys).alias("_key_hash"), *keys] if keys else []
+
+
+def _group_window(keys: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*([F.xxhash64(*keys)] if keys else []), *keys)
+
+
+def pick_rows(df: DataFrame, key: str, order: Sequence[str], last: bool = True,
+              count: str | None = None) -> DataFrame:
+    """The last (or first) row of each key by ``order``, and the number of rows if asked for.
+
+    Rows of a key are combined before the shuffle. A struct in the buffer means a sort-based
+    aggregate, so the key's hash leads the sort.
+    """
+    payload = F.struct(*[c for c in df.columns if c != key])
+    pick = F.max_by if last else F.min_by
+    aggregates = [pick(payload, F.struct(*order)).alias("_row")]
+    if count:
+        aggregates.append(F.count("*").alias(count))
+    picked = df.groupBy(*_hashed([key])).agg(*aggregates)
+    return picked.select(key, "_row.*", *([count] if count else []))
+
+
 def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "n",
               hot_rows: int = HOT_ROWS) -> DataFrame:
     """Number the rows of each group 1, 2, ... by ``order``, which must be a total order.
@@ -38,8 +63,8 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str
     keys, order = list(keys), list(order)
     counts = df.groupBy(*keys).agg(F.count("*").alias("_size"))
     largest, total = counts.agg(F.max("_size"), F.sum("_size")).first()
+    window = _group_window(keys).orderBy(*order)
     if (largest or 0) <= hot_rows:
-        window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, F.row_number().over(window).cast("long"))
     if not keys:
         return _rank_by_range(df, keys, order, out, total, hot_rows)
@@ -50,7 +75,6 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str
     routed = df.withColumn("_hash", F.xxhash64(*keys))
     cold = routed.join(hot, "_hash", "left_anti").drop("_hash")
     spread = routed.join(hot, "_hash", "left_semi").drop("_hash")
-    window = Window.partitionBy(*keys).orderBy(*order)
     plain = cold.withColumn(out, F.row_number().over(window).cast("long"))
     return plain.unionByName(_rank_by_range(spread, keys, order, out, total, limit))
 
@@ -67,7 +91,7 @@ def _rank_by_range(df: DataFrame, keys: list[str], order: list[str], out: str,
     # Only the first group of a partition can have rows in an earlier one: at most one row each.
     offsets = (sizes.withColumn("_offset", F.sum("_size").over(earlier))
                .where(F.col("_offset").isNotNull()).drop("_size"))
-    local = Window.partitionBy("_chunk", *keys).orderBy(*order)
+    local = _group_window(["_chunk", *keys]).orderBy(*order)
     numbered = ranged.withColumn(out, F.row_number().over(local).cast("long"))
     joined = join_back(numbered, offsets, ["_chunk", *keys], "left")
     joined = joined.withColumn(out, F.col(out) + F.coalesce(F.col("_offset"), F.lit(0)))

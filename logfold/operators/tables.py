@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from logfold.operators.ranking import pick_rows
+
 TARGET_BYTES = 512 * 1024 * 1024
 
 
@@ -23,9 +25,7 @@ def append_records(df: DataFrame, path: str) -> None:
 
 def latest(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The last row of each key by ``order``; combined before the shuffle."""
-    payload = [c for c in df.columns if c != key]
-    return (df.groupBy(key).agg(F.max_by(F.struct(*payload), F.struct(*order)).alias("_row"))
-            .select(key, "_row.*").select(*df.columns))
+    return pick_rows(df, key, order).select(*df.columns)
 
 
 def upsert(snapshot: DataFrame, batch: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

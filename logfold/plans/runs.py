@@ -25,65 +25,71 @@ def record_bytes(*fields: str) -> Column:
     return size.cast("long")
 
 
-def _by_pipeline(df: DataFrame, keys: Sequence[str], rows: dict[str, dict[str, Column]]) -> DataFrame:
-    """One output row per pipeline, each with its own expressions."""
-    structs = [F.struct(F.lit(name).alias("pipeline"), *[c.alias(n) for n, c in columns.items()])
-               for name, columns in rows.items()]
-    return df.select(*keys, F.explode(F.array(*structs)).alias("_run")).select(*keys, "_run.*")
-
-
-def evaluate_strategies(df: DataFrame, workload: str = "workload_id", eps: float = DEFAULT_EPS,
-                        sig: str = "sig", size: str = "bytes", epoch: Column | None = None,
-                        failed: str = "false") -> DataFrame:
-    """The run table: what each strategy stores, sends and preserves per workload.
+def fold_workloads(df: DataFrame, workload: str = "workload_id", eps: float = DEFAULT_EPS, sig: str = "sig",
+                   size: str = "bytes", epoch: Column | None = None) -> DataFrame:
+    """One row per workload with all that the strategies' runs are made of.
 
     Two hash aggregates: per (workload, signature), combined before the shuffle, then per
     workload. A folded document is as large as the largest record of its signature plus the
     tags. ``epoch`` (0 or 1) marks the records after a counter restart: counters start again
     and the later epoch's count overwrites the stored one.
     """
-    later = F.coalesce(epoch, F.lit(0)) if epoch is not None else F.lit(0)
-    per_sig = df.groupBy(workload, sig).agg(
-        F.count("*").alias("n"), F.sum(later.cast("long")).alias("n1"),
+    later = epoch.cast("long") if epoch is not None else F.lit(0).cast("long")
+    per_sig = df.groupBy(F.col(workload).alias("workload_id"), sig).agg(
+        F.count("*").alias("n"), F.sum(later).alias("n1"),
         F.sum(size).alias("all_bytes"), F.max(size).alias("doc_bytes"))
-    n0, n1 = F.col("n") - F.col("n1"), F.col("n1")
-    final = F.when(n1 > 0, n1).otherwise(n0)
-    if epoch is None:
-        sent = emissions_until(F.col("n"), eps)
-    else:
-        sent = emissions_until(n0, eps) + emissions_until(n1, eps)
-    per_workload = per_sig.groupBy(workload).agg(
-        F.sum("n").alias("N"), F.count("*").alias("U"), F.sum(final).alias("exact"),
-        F.sum(last_emitted(final, eps)).alias("bounded"), F.sum(sent).alias("sent"),
-        F.sum("all_bytes").alias("raw_bytes"),
-        F.sum(F.col("doc_bytes") + 2 * F.octet_length(sig) + TAG_BYTES).alias("folded_bytes"))
+    n, n1 = F.col("n"), F.col("n1")
+    kept = F.when(n1 > 0, n1).otherwise(n)
+    totals = [
+        F.sum(n).alias("N"), F.count("*").alias("U"), F.sum("all_bytes").alias("raw_bytes"),
+        F.sum(F.col("doc_bytes") + 2 * F.octet_length(sig) + TAG_BYTES).alias("folded_bytes"),
+        F.sum(last_emitted(n, eps)).alias("bounded"), F.sum(emissions_until(n, eps)).alias("sent")]
+    if epoch is not None:
+        totals += [
+            F.sum(kept).alias("kept"), F.sum(last_emitted(kept, eps)).alias("kept_bounded"),
+            F.sum(emissions_until(n - n1, eps) + emissions_until(n1, eps)).alias("kept_sent")]
+    return per_sig.groupBy("workload_id").agg(*totals)
+
+
+def runs_table(folded: DataFrame, restarted: bool = False) -> DataFrame:
+    """Three runs per workload, one for each strategy, in the columns of a run table."""
     c = F.col
-    runs = _by_pipeline(
-        per_workload.withColumn("dup_ratio", 1 - c("U") / c("N")), [workload, "dup_ratio", "N"], {
-            "A": {"M": c("N"), "storage": c("raw_bytes"), "reconstructed": c("N"), "forwarded": c("N")},
-            "B": {"M": c("U"), "storage": c("folded_bytes"), "reconstructed": c("bounded"), "forwarded": c("sent")},
-            "C": {"M": c("U"), "storage": c("folded_bytes"), "reconstructed": c("exact"), "forwarded": c("N")}})
-    return runs.select(
-        "pipeline", F.col(workload).alias("workload_id"), "dup_ratio", F.lit(None).cast("long").alias("seed"),
-        "N", "M", "storage", F.col("storage").alias("total_storage"), "reconstructed", "forwarded",
-        F.lit(failed).alias("failed"), F.lit(True).alias("settled"),
+    exact, bounded, sent = ("kept", "kept_bounded", "kept_sent") if restarted else ("N", "bounded", "sent")
+    per_pipeline = {
+        "A": (c("N"), c("raw_bytes"), c("N"), c("N")),
+        "B": (c("U"), c("folded_bytes"), c(bounded), c(sent)),
+        "C": (c("U"), c("folded_bytes"), c(exact), c("N"))}
+    names = ("M", "storage", "reconstructed", "forwarded")
+    rows = F.array(*[F.struct(F.lit(pipeline).alias("pipeline"), *[v.alias(k) for k, v in zip(names, values)])
+                     for pipeline, values in per_pipeline.items()])
+    return folded.withColumn("_run", F.explode(rows)).select(
+        "_run.pipeline", "workload_id", (1 - c("U") / c("N")).alias("dup_ratio"),
+        F.lit(None).cast("long").alias("seed"), "N", "_run.M", "_run.storage",
+        c("_run.storage").alias("total_storage"), "_run.reconstructed", "_run.forwarded",
+        F.lit("restart" if restarted else "false").alias("failed"), F.lit(True).alias("settled"),
         F.lit(None).cast("string").alias("timestamp"))
 
 
-def restart_runs(df: DataFrame, order: Sequence[str], cut: float = 0.5, workload: str = "workload_id",
-                 eps: float = DEFAULT_EPS, sig: str = "sig", size: str = "bytes",
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The run table had the in-memory counters restarted after the share ``cut`` of each workload.
+def evaluate_strategies(df: DataFrame, workload: str = "workload_id", eps: float = DEFAULT_EPS,
+                        sig: str = "sig", size: str = "bytes") -> DataFrame:
+    """The run table: what each strategy stores, sends and preserves per workload."""
+    return runs_table(fold_workloads(df, workload, eps, sig, size))
+
+
+def fold_restarted(df: DataFrame, order: Sequence[str], cut: float = 0.5, workload: str = "workload_id",
+                   eps: float = DEFAULT_EPS, sig: str = "sig", size: str = "bytes",
+                   hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``fold_workloads`` with the counters restarted after the share ``cut`` of each workload.
 
-    The first order column must be numeric. The cut is the exact record; it is found without
-    ordering the workload, so only two columns of one slot are ever sorted.
+    Serves the run tables with and without the restart from one pass over the log. The first
+    order column must be numeric. The cut is the exact record; it is found without ordering
+    the workload, so only the order columns of one slot are ever sorted.
     """
     cuts = cut_points(df, [workload], order, cut, hot_rows=hot_rows).drop("rows")
     placed = join_back(df.select(workload, sig, size, *order), cuts, [workload])
     after = F.struct(*order) > F.struct(*[F.col(f"cut_{c}").alias(c) for c in order])
     no_cut = F.col(f"cut_{order[0]}").isNull()
-    return evaluate_strategies(placed, workload, eps, sig, size,
-                               F.when(no_cut | after, 1).otherwise(0), "restart")
+    return fold_workloads(placed, workload, eps, sig, size, F.when(no_cut | after, 1).otherwise(0))
 
 
 def cumulative_runs(df: DataFrame, workload: str = "workload_id", sig: str = "sig",

@@ -16,7 +16,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from logfold.functions.masking import tag_record
 from logfold.functions.schedule import DEFAULT_EPS, emission_table, last_emitted
-from logfold.operators.ranking import HOT_ROWS, join_back, rank_rows
+from logfold.operators.ranking import HOT_ROWS, join_back, pick_rows, rank_rows
 from logfold.operators.tables import read_batches, read_latest, write_batch
 from logfold.session import materialize
 
@@ -29,13 +29,6 @@ def document_schema(df: DataFrame, sig: str = "sig") -> StructType:
     return tag_record(df, sig, F.lit(0)).schema
 
 
-def _totals(stream: DataFrame, order: Sequence[str], sig: str) -> DataFrame:
-    payload = F.struct(*[c for c in stream.columns if c != sig])
-    return (stream.groupBy(sig).agg(F.count("*").alias("_n"),
-                                    F.max_by(payload, F.struct(*order)).alias("_record"))
-            .select(sig, "_record.*", "_n"))
-
-
 def _start(frame: DataFrame, sink, checkpoint: str, mode: str, trigger: dict | None) -> StreamingQuery:
     return (frame.writeStream.outputMode(mode).foreachBatch(sink)
             .option("checkpointLocation", checkpoint)
@@ -52,7 +45,7 @@ def fold_counts(stream: DataFrame, path: str, checkpoint: str, order: Sequence[s
     def sink(batch: DataFrame, batch_id: int) -> None:
         write_batch(tag_record(batch, sig, F.col("_n")).drop("_n"), path, batch_id)
 
-    return _start(_totals(stream, order, sig), sink, checkpoint, "update", trigger)
+    return _start(pick_rows(stream, sig, order, count="_n"), sink, checkpoint, "update", trigger)
 
 
 def fold_bounded(stream: DataFrame, path: str, checkpoint: str, order: Sequence[str],
@@ -71,7 +64,7 @@ def fold_bounded(stream: DataFrame, path: str, checkpoint: str, order: Sequence[
         write_batch(tag_record(moved.drop("_agg_id", "_stored", "_n"), sig, F.col("_due")).drop("_due"),
                     path, batch_id)
 
-    return _start(_totals(stream, order, sig), sink, checkpoint, "update", trigger)
+    return _start(pick_rows(stream, sig, order, count="_n"), sink, checkpoint, "update", trigger)
 
 
 def fold_emissions(stream: DataFrame, path: str, checkpoint: str, order: Sequence[str],
@@ -90,7 +83,7 @@ def fold_emissions(stream: DataFrame, path: str, checkpoint: str, order: Sequenc
     write_batch(spark.createDataFrame([], emitted_schema), f"{path}/emitted", -1)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        rows = materialize(rank_rows(batch, [sig], order, "_k", hot_rows), "batch")
+        rows = materialize(batch, "batch")
         state = _counts_before(spark, f"{path}/state", batch_id)
         seen = rows.groupBy(F.col(sig).alias("sig")).agg(F.count("*").alias("_new"))
         full = batch_id % compact_every == compact_every - 1
@@ -101,7 +94,7 @@ def fold_emissions(stream: DataFrame, path: str, checkpoint: str, order: Sequenc
                                   F.lit(int(full)).cast("long").alias("complete")), f"{path}/state", batch_id)
         before = counts.where((F.col("_before") > 0) & (F.col("_new") > 0)).select(
             F.col("sig").alias(sig), "_before")
-        numbered = join_back(rows, before, [sig], "left").withColumn(
+        numbered = join_back(rank_rows(rows, [sig], order, "_k", hot_rows), before, [sig], "left").withColumn(
             "_k", F.col("_k") + F.coalesce("_before", F.lit(0))).drop("_before")
         if eps > 0:
             schedule = F.broadcast(emission_table(spark, eps))
