@@ -92,10 +92,14 @@ def power_index(uniform: Column, size: Column | int, skew: float) -> Column:
 
 
 def micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a zone-free timestamp, whatever the session's zone."""
-    seconds = (F.unix_date(F.to_date(ts)).cast("long") * 86400 + F.hour(ts) * 3600
-               + F.minute(ts) * 60)
-    return seconds * 1000000 + (F.extract(F.lit("SECOND"), ts) * 1000000).cast("long")
+    """Microseconds since 1970 of a zone-free timestamp, whatever the session's zone.
+
+    Seconds come without a zone. The fraction of a second is the same in every zone, so the
+    zoned cast may supply it. Seconds before 1970 are cut towards zero and need one less.
+    """
+    fraction = F.pmod(F.unix_micros(ts.cast("timestamp")), F.lit(1000000))
+    early = (ts < F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")) & (fraction > 0)
+    return (F.unix_timestamp(ts) - early.cast("long")) * 1000000 + fraction
 
 
 def plus_micros(start: str, offset: Column) -> Column:

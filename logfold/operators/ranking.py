@@ -16,6 +16,7 @@ from logfold.session import materialize
 HOT_ROWS = 4_000_000
 HOT_KEYS = 100_000
 CHUNK_ROWS = 1_000_000
+MEDIAN_ROWS = 1_000_000
 
 
 def join_back(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -145,13 +146,19 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
 
 def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median",
                  hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Exact median per group from the one or two middle rows; NULLs do not count."""
+    """Exact median per group; NULLs do not count.
+
+    Groups of checked size use the built-in aggregate, which holds a group's distinct values
+    in memory. Beyond that the one or two middle rows are found by rank.
+    """
     keys = list(keys)
-    ranked = rank_rows(df.where(F.col(value).isNotNull()).select(*keys, value), keys, [value], "_n", hot_rows)
-    sizes = ranked.groupBy(*keys).agg(F.count("*").alias("_size"))
-    middle = join_back(ranked, sizes, keys).where(
-        (F.col("_n") == F.floor((F.col("_size") + 1) / 2))
-        | (F.col("_n") == F.floor(F.col("_size") / 2) + 1))
+    values = df.where(F.col(value).isNotNull()).select(*keys, value)
+    counts = values.groupBy(*keys).agg(F.count("*").alias("_size"))
+    if (counts.agg(F.max("_size")).first()[0] or 0) <= min(hot_rows, MEDIAN_ROWS):
+        return values.groupBy(*keys).agg(F.median(value).alias(out))
+    ranked = rank_rows(values, keys, [value], "_n", hot_rows)
+    middle = join_back(ranked, counts, keys).where(
+        (F.col("_n") == F.floor((F.col("_size") + 1) / 2)) | (F.col("_n") == F.floor(F.col("_size") / 2) + 1))
     return middle.groupBy(*keys).agg(F.avg(value).alias(out))
 
 
@@ -178,7 +185,8 @@ def cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], fractio
         histogram.withColumn("_upto", F.sum("_size").over(upto))
         .where((F.col("_upto") >= F.col("_target")) & (F.col("_upto") - F.col("_size") < F.col("_target")))
         .select(*keys, "_slot", (F.col("_target") - F.col("_upto") + F.col("_size")).alias("_left")), "slots")
-    sliver = join_back(slotted, wanted, [*keys, "_slot"]).select(*rows.columns, "_left")
+    sliver = materialize(
+        join_back(slotted, wanted, [*keys, "_slot"]).select(*rows.columns, "_left"), "sliver")
     found = rank_rows(sliver, keys, order, "_n", hot_rows).where(F.col("_n") == F.col("_left"))
     cuts = found.select(*keys, *[F.col(c).alias(f"cut_{c}") for c in order])
     return join_back(spans, cuts, keys, "left").select(

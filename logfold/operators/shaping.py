@@ -16,7 +16,7 @@ def merge_json(df: DataFrame, column: str, schema: StructType, keep: bool = Fals
     full = StructType(schema.fields + [StructField("_corrupt", StringType())])
     parsed = df.withColumn("_parsed", F.from_json(
         F.col(column), full, {"columnNameOfCorruptRecord": "_corrupt"}))
-    is_object = F.col("_parsed._corrupt").isNull()
+    is_object = F.col("_parsed").isNotNull() & F.col("_parsed._corrupt").isNull()
     names = schema.fieldNames()
     columns = {}
     for name in names:

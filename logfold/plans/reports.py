@@ -1,4 +1,7 @@
-"""Report tables over run metrics. Rendering is left to the reader's tool."""
+"""Report tables over run metrics, series in the order they are drawn.
+
+Rendering is left to the reader's tool.
+"""
 
 from __future__ import annotations
 
@@ -49,12 +52,13 @@ def srr_by_dup(metrics: DataFrame) -> DataFrame:
     return metrics.where(F.col("SRR").isNotNull()).select(
         "pipeline", "workload_id", S.percent(F.col("dup_ratio")).alias("dup_pct"),
         S.percent(F.col("SRR")).alias("srr_pct"),
-        S.percent(F.col("SRR_theoretical")).alias("srr_theoretical_pct"))
+        S.percent(F.col("SRR_theoretical")).alias("srr_theoretical_pct")).orderBy(
+        "pipeline", "dup_pct", "workload_id")
 
 
 def storage_line(metrics: DataFrame) -> DataFrame:
     return metrics.select("pipeline", "workload_id", S.megabytes(F.col("storage")).alias("storage_mb"),
-                          F.col("storage_valid").alias("included"))
+                          F.col("storage_valid").alias("included")).orderBy("pipeline", "workload_id")
 
 
 def exclusion_report(metrics: DataFrame) -> DataFrame:
@@ -88,7 +92,9 @@ def ipr_vs_dup(normal: DataFrame, failure: DataFrame | None) -> DataFrame:
                               S.percent(F.col("dup_ratio")).alias("dup_pct"), "IPR")
 
     result = series(normal, "normal")
-    return result if failure is None else result.unionByName(series(failure, "failure"))
+    if failure is not None:
+        result = result.unionByName(series(failure, "failure"))
+    return result.orderBy("mode", "pipeline", "dup_pct", "workload_id")
 
 
 def comparison_table(metrics: DataFrame, failure: DataFrame | None = None) -> DataFrame:
@@ -116,7 +122,8 @@ def comparison_table(metrics: DataFrame, failure: DataFrame | None = None) -> Da
 
 
 def cumulative_growth(runs: DataFrame) -> DataFrame:
-    return runs.select("pipeline", "workload_id", S.megabytes(F.col("total_storage")).alias("total_mb"))
+    return runs.select("pipeline", "workload_id", S.megabytes(F.col("total_storage")).alias("total_mb")).orderBy(
+        "pipeline", "workload_id")
 
 
 def cumulative_summary(runs: DataFrame, include_warmup: bool = False) -> DataFrame:
@@ -150,7 +157,7 @@ def storage_by_workload(runs: DataFrame, ticks: int = 20, hot_rows: int = HOT_RO
     return join_back(placed, sizes, ["pipeline"]).select(
         "pipeline", "workload_id", S.megabytes(F.col("storage")).alias("mb"),
         S.category(F.col("dup_ratio")).alias("category"), at.alias("position"),
-        (F.pmod(at, step) == 0).alias("tick"))
+        (F.pmod(at, step) == 0).alias("tick")).orderBy("pipeline", "position")
 
 
 def storage_smoothed(runs: DataFrame, unit: float = S.MB, chunk_rows: int = CHUNK_ROWS,
@@ -170,7 +177,8 @@ def storage_smoothed(runs: DataFrame, unit: float = S.MB, chunk_rows: int = CHUN
             .withColumn("outlier", F.col("mb") > F.col("med") + 3 * (F.col("mad") + 1))
             .withColumn("_clean", F.when(F.col("outlier"), F.col("med")).otherwise(F.col("mb")))
             .withColumn("smoothed", F.avg("_clean").over(three))
-            .where("_core").select("pipeline", "workload_id", "mb", "med", "mad", "outlier", "smoothed"))
+            .where("_core").select("pipeline", "workload_id", "mb", "med", "mad", "outlier", "smoothed")
+            .orderBy("pipeline", "workload_id"))
 
 
 def category_regions(runs: DataFrame, chunk_rows: int = CHUNK_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -190,4 +198,4 @@ def category_regions(runs: DataFrame, chunk_rows: int = CHUNK_ROWS, hot_rows: in
         "pipeline", "region", "category", F.col("workload_id").alias("start"))
     ends = rank_rows(edges.where("_last"), ["pipeline"], ["workload_id"], "region", hot_rows).select(
         "pipeline", "region", F.col("workload_id").alias("end"))
-    return join_back(starts, ends, ["pipeline", "region"])
+    return join_back(starts, ends, ["pipeline", "region"]).orderBy("pipeline", "region")
