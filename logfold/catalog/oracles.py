@@ -132,10 +132,9 @@ SELECT doc_id, pos, {_normalize('message')} AS template FROM raw_lines"""
 ORACLES["signature_counts"] = _with(LINES) + "SELECT sig, count(*) AS count FROM lines GROUP BY sig"
 
 ORACLES["duplication_by_source"] = _with(LINES) + f"""
-SELECT source, lines, signatures, round(1 - signatures / lines, {DIGITS}) AS dup_ratio,
-    round(lines / signatures, {DIGITS}) AS ce,
-    CASE WHEN 1 - signatures / lines <= 0.3 THEN 'low' WHEN 1 - signatures / lines <= 0.7 THEN 'med' ELSE 'high' END AS category
-FROM (SELECT source, count(*) AS lines, count(DISTINCT sig) AS signatures FROM lines GROUP BY source)"""
+SELECT source, N, U, round(1 - U / N, {DIGITS}) AS dup_ratio, round(N / U, {DIGITS}) AS CE,
+    CASE WHEN 1 - U / N <= 0.3 THEN 'low' WHEN 1 - U / N <= 0.7 THEN 'med' ELSE 'high' END AS category
+FROM (SELECT source, count(*) AS N, count(DISTINCT sig) AS U FROM lines GROUP BY source)"""
 
 ORACLES["last_record_per_signature"] = _with(BY_USER) + """
 SELECT sig AS _agg_id, sig AS _agg_signature, c AS count, true AS aggregated, event_id, message, workload_id

@@ -81,17 +81,14 @@ def signature_counts(spark, sf):
 
 @register
 def duplication_by_source(spark, sf):
-    counts = K.with_signature(V.line_log(spark, sf)).groupBy("source", "sig").agg(F.count("*").alias("c"))
-    totals = counts.groupBy("source").agg(F.sum("c").alias("lines"), F.count("*").alias("signatures"))
-    return rounded(totals.select(
-        "source", "lines", "signatures", (1 - F.col("signatures") / F.col("lines")).alias("dup_ratio"),
-        S.ratio_or_zero(F.col("lines"), F.col("signatures")).alias("ce"),
-        S.category(1 - F.col("signatures") / F.col("lines")).alias("category")))
+    found = runs.duplication(K.with_signature(V.line_log(spark, sf)), ["source"])
+    return rounded(found.withColumn("category", S.category(F.col("dup_ratio"))))
 
 
 @register
 def last_record_per_signature(spark, sf):
-    return folding.index_documents(V.by_user(spark, sf, 10), V.EVENT_ORDER).select(
+    log = V.by_user(spark, sf, 10).select("sig", "event_id", "ts_us", "message", "workload_id")
+    return folding.index_documents(log, V.EVENT_ORDER).select(
         "_agg_id", "_agg_signature", "count", "aggregated", "event_id", "message", "workload_id")
 
 
@@ -423,7 +420,7 @@ def _halves(spark, sf):
     log = V.by_user(spark, sf, 10).select("sig", "event_id", "ts_us", "message", "workload_id")
     early = F.col("workload_id") <= 15
     parts = [log.where(early), log.where(~early)]
-    return [folding.last_records(p, V.EVENT_ORDER).select("sig", "event_id", "ts_us", "message") for p in parts]
+    return [materialize(folding.last_records(p.drop("workload_id"), V.EVENT_ORDER), "half") for p in parts]
 
 
 @register

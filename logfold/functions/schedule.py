@@ -35,8 +35,7 @@ def emission_counts(eps: float = DEFAULT_EPS, limit: int = MAX_COUNT) -> tuple[i
 
 def emission_table(spark: SparkSession, eps: float = DEFAULT_EPS, limit: int = MAX_COUNT) -> DataFrame:
     """The list as rows ``(e)``; its length is checked, so it may be broadcast."""
-    values = emission_counts(eps, limit)
-    return spark.createDataFrame([(v,) for v in values], "e long")
+    return spark.range(1).select(F.explode(_long_array(emission_counts(eps, limit))).alias("e"))
 
 
 def _long_array(values: Sequence[int]) -> Column:

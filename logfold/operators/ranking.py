@@ -90,8 +90,8 @@ def _rank_by_range(df: DataFrame, keys: list[str], order: list[str], out: str,
     sizes = ranged.groupBy(*keys, "_chunk").agg(F.count("*").alias("_size"))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     # Only the first group of a partition can have rows in an earlier one: at most one row each.
-    offsets = (sizes.withColumn("_offset", F.sum("_size").over(earlier))
-               .where(F.col("_offset").isNotNull()).drop("_size"))
+    offsets = materialize(sizes.withColumn("_offset", F.sum("_size").over(earlier))
+                          .where(F.col("_offset").isNotNull()).drop("_size"), "offsets")
     local = _group_window(["_chunk", *keys]).orderBy(*order)
     numbered = ranged.withColumn(out, F.row_number().over(local).cast("long"))
     joined = join_back(numbered, offsets, ["_chunk", *keys], "left")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logfold.functions import scalars as S
 from logfold.functions.schedule import DEFAULT_EPS, emissions_until, last_emitted
 from logfold.operators.ranking import HOT_ROWS, cut_points, join_back, running_sums
 from logfold.session import materialize
@@ -25,6 +26,20 @@ def record_bytes(*fields: str) -> Column:
     return size.cast("long")
 
 
+def duplication(df: DataFrame, by: Sequence[str] = (), sig: str = "sig", approximate: bool = False) -> DataFrame:
+    """Lines N, distinct signatures U, duplicate ratio and compression, per group or overall.
+
+    Exact counts take a second small aggregate; ``approximate`` uses a sketch and one pass.
+    """
+    if approximate:
+        counts = df.groupBy(*by).agg(F.count("*").alias("N"), F.approx_count_distinct(sig).alias("U"))
+    else:
+        per_sig = df.groupBy(*by, sig).agg(F.count("*").alias("_n"))
+        counts = per_sig.groupBy(*by).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("N"), F.count("*").alias("U"))
+    return counts.select(*by, "N", "U", (1 - S.ratio_or_zero(F.col("U"), F.col("N"))).alias("dup_ratio"),
+                         S.ratio_or_zero(F.col("N"), F.col("U")).alias("CE"))
+
+
 def fold_workloads(df: DataFrame, workload: str = "workload_id", eps: float = DEFAULT_EPS, sig: str = "sig",
                    size: str = "bytes", epoch: Column | None = None) -> DataFrame:
     """One row per workload with all that the strategies' runs are made of.

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +31,9 @@ def build_session(app: str = "logfold", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -38,15 +44,31 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="logfold-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _LOCAL_ROOTS.setdefault(app, _LOCAL_ROOTS.get(app) or tempfile.mkdtemp(prefix="logfold-"))
     return root
 
 
+_SCOPE: ContextVar[str | None] = ContextVar("scratch_scope", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, grouped by application for later removal."""
-    app = spark.sparkContext.applicationId
-    return os.path.join(scratch_root(spark), f"logfold-{app}", f"{label}-{uuid.uuid4().hex}")
+    """A new path in the open scope, else in the application's part of the shared folder."""
+    app = os.path.join(scratch_root(spark), f"logfold-{spark.sparkContext.applicationId}")
+    return os.path.join(_SCOPE.get() or app, f"{label}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """Remove on exit every scratch table made inside. Results must be written by then."""
+    folder = scratch_path(spark, "scope")
+    token = _SCOPE.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPE.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

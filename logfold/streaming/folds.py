@@ -18,7 +18,7 @@ from logfold.functions.masking import tag_record
 from logfold.functions.schedule import DEFAULT_EPS, emission_table, last_emitted
 from logfold.operators.ranking import HOT_ROWS, join_back, pick_rows, rank_rows
 from logfold.operators.tables import read_batches, read_latest, write_batch
-from logfold.session import materialize
+from logfold.session import materialize, scratch_scope
 
 STATE_SCHEMA = StructType([StructField("sig", StringType()), StructField("n", LongType()),
                            StructField("complete", LongType())])
@@ -82,7 +82,7 @@ def fold_emissions(stream: DataFrame, path: str, checkpoint: str, order: Sequenc
     write_batch(spark.createDataFrame([], STATE_SCHEMA), f"{path}/state", -1)
     write_batch(spark.createDataFrame([], emitted_schema), f"{path}/emitted", -1)
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
+    def fold(batch: DataFrame, batch_id: int) -> None:
         rows = materialize(batch, "batch")
         state = _counts_before(spark, f"{path}/state", batch_id)
         seen = rows.groupBy(F.col(sig).alias("sig")).agg(F.count("*").alias("_new"))
@@ -101,6 +101,10 @@ def fold_emissions(stream: DataFrame, path: str, checkpoint: str, order: Sequenc
             numbered = numbered.join(schedule, F.col("_k") == F.col("e"), "left_semi")
         write_batch(tag_record(numbered, sig, F.col("_k")).drop("_k"), f"{path}/emitted", batch_id)
 
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        with scratch_scope(spark):
+            fold(batch, batch_id)
+
     return _start(stream, sink, checkpoint, "append", trigger)
 
 

@@ -228,3 +228,12 @@ def test_missing_runs(spark):
     done = spark.createDataFrame([("A", 1), ("B", 1), ("C", 1), ("A", 2)], "pipeline string, workload_id int")
     lacking = runs.missing_runs(matrix, done)
     assert {(r.pipeline, r.workload_id) for r in lacking.collect()} == {("B", 2), ("C", 2)} and lacking.count() == 4
+
+
+def test_duplication(spark):
+    df = spark.createDataFrame([("p", "a")] * 3 + [("p", "b"), ("q", "a")], "g string, sig string")
+    got = {r.g: tuple(r)[1:] for r in runs.duplication(df, ["g"]).collect()}
+    assert got == {"p": (4, 2, 0.5, 2.0), "q": (1, 1, 0.0, 1.0)}
+    assert tuple(runs.duplication(df).first())[:2] == (5, 2)
+    assert tuple(runs.duplication(df, approximate=True).first())[:2] == (5, 2)
+    assert tuple(runs.duplication(df.limit(0)).first()) == (0, 0, 1.0, 0.0)
