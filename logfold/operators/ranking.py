@@ -58,32 +58,32 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str
     """Number the rows of each group 1, 2, ... by ``order``, which must be a total order.
 
     One narrow counting pass decides the plan. Without hot groups this is one window, one
-    shuffle. Otherwise hot groups, routed by a list of at most ``HOT_KEYS`` hashes, take the
-    range path; the rest keep the plain window. No keys means one group, the whole table.
+    shuffle. Otherwise the largest groups, ``HOT_KEYS`` of them at most, take the range path
+    and the rest keep the window; beyond that many, what is left holds no more than a
+    ``HOT_KEYS``-th of the table each. No keys means one group, the whole table.
     """
     keys, order = list(keys), list(order)
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_size"))
-    largest, total = counts.agg(F.max("_size"), F.sum("_size")).first()
+    routing = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
+    hot = (df.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > hot_rows)
+           .select(routing.alias("_hash"), "_size").orderBy(F.desc("_size")).limit(HOT_KEYS).collect())
     window = _group_window(keys).orderBy(*order)
-    if (largest or 0) <= hot_rows:
+    if not hot:
         return df.withColumn(out, F.row_number().over(window).cast("long"))
+    chunks = max(2, -(-2 * sum(row["_size"] for row in hot) // hot_rows))
     if not keys:
-        return _rank_by_range(df, keys, order, out, total, hot_rows)
-
-    limit = max(hot_rows, total // HOT_KEYS)
-    hot = F.broadcast(materialize(counts.where(F.col("_size") > limit)
-                                  .select(F.xxhash64(*keys).alias("_hash")).distinct(), "hot"))
-    routed = df.withColumn("_hash", F.xxhash64(*keys))
-    cold = routed.join(hot, "_hash", "left_anti").drop("_hash")
-    spread = routed.join(hot, "_hash", "left_semi").drop("_hash")
+        return _rank_by_range(df, keys, order, out, chunks)
+
+    # A cold group that shares a hot one's hash merely takes the range path too.
+    hashes = F.broadcast(df.sparkSession.createDataFrame([(h,) for h in {row["_hash"] for row in hot}], "_hash long"))
+    routed = df.withColumn("_hash", routing)
+    cold = routed.join(hashes, "_hash", "left_anti").drop("_hash")
+    spread = routed.join(hashes, "_hash", "left_semi").drop("_hash")
     plain = cold.withColumn(out, F.row_number().over(window).cast("long"))
-    return plain.unionByName(_rank_by_range(spread, keys, order, out, total, limit))
+    return plain.unionByName(_rank_by_range(spread, keys, order, out, chunks))
 
 
-def _rank_by_range(df: DataFrame, keys: list[str], order: list[str], out: str,
-                   total: int, limit: int) -> DataFrame:
+def _rank_by_range(df: DataFrame, keys: list[str], order: list[str], out: str, chunks: int) -> DataFrame:
     """Sample-balanced range partitions; their numbers are frozen by writing them out."""
-    chunks = max(2, -(-2 * total // limit))
     ranged = materialize(
         df.repartitionByRange(chunks, *keys, *order).withColumn("_chunk", F.spark_partition_id()),
         "ranges")
