@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from logfold.functions.masking import with_signature
 from logfold.functions.scalars import letters, micros
-from logfold.operators.ranking import running_sums
+from logfold.operators.ranking import join_small, running_sums
 from logfold.plans.runs import record_bytes
 from logfold.session import materialize
 
@@ -88,6 +88,6 @@ def ingest_progress(spark: SparkSession, sf: str) -> DataFrame:
     totals = polls.groupBy("run").agg(F.sum("new_ops").alias("total"))
     grown = running_sums(polls, ["run"], ["hour"], {"ops": "new_ops", "docs": "new_docs"})
     late = F.col("run") == "view"
-    return grown.join(totals, "run").select(
+    return join_small(grown, totals, ["run"]).select(
         "run", F.col("hour").alias("poll"), "docs", "ops",
         F.when(late, F.col("total") * 2).otherwise(F.col("total")).alias("target"))

@@ -28,6 +28,15 @@ def join_back(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def join_small(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``join_back`` with a side that should be small: written first, so its true size decides.
+
+    Below the session's broadcast limit the left side is not shuffled at all, which matters
+    where a few keys split a large table; above it both sides are.
+    """
+    return join_back(left, materialize(right, "small"), keys, how)
+
+
 def _hashed(keys: Sequence[str]) -> list:
     """Keys led by their hash: sorting long strings with common heads is then one comparison."""
     return [F.xxhash64(*keys).alias("_key_hash"), *keys] if keys else []
@@ -90,11 +99,11 @@ def _rank_by_range(df: DataFrame, keys: list[str], order: list[str], out: str, c
     sizes = ranged.groupBy(*keys, "_chunk").agg(F.count("*").alias("_size"))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     # Only the first group of a partition can have rows in an earlier one: at most one row each.
-    offsets = materialize(sizes.withColumn("_offset", F.sum("_size").over(earlier))
-                          .where(F.col("_offset").isNotNull()).drop("_size"), "offsets")
+    offsets = (sizes.withColumn("_offset", F.sum("_size").over(earlier))
+               .where(F.col("_offset").isNotNull()).drop("_size"))
     local = _group_window(["_chunk", *keys]).orderBy(*order)
     numbered = ranged.withColumn(out, F.row_number().over(local).cast("long"))
-    joined = join_back(numbered, offsets, ["_chunk", *keys], "left")
+    joined = join_small(numbered, offsets, ["_chunk", *keys], "left")
     joined = joined.withColumn(out, F.col(out) + F.coalesce(F.col("_offset"), F.lit(0)))
     return joined.drop("_chunk", "_offset")
 
@@ -139,7 +148,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     inside = Window.partitionBy(*keys, "_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     local = ranked.withColumns({f"_local_{name}": F.sum(source).over(inside)
                                 for name, source in sums.items()})
-    joined = join_back(local, bases, [*keys, "_chunk"])
+    joined = join_small(local, bases, [*keys, "_chunk"])
     return joined.select(*[c for c in df.columns if c not in sums], *[
         (F.col(f"_local_{name}") + F.col(f"_base_{name}")).alias(name) for name in sums])
 
@@ -157,7 +166,7 @@ def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "med
     if (counts.agg(F.max("_size")).first()[0] or 0) <= min(hot_rows, MEDIAN_ROWS):
         return values.groupBy(*keys).agg(F.median(value).alias(out))
     ranked = rank_rows(values, keys, [value], "_n", hot_rows)
-    middle = join_back(ranked, counts, keys).where(
+    middle = join_small(ranked, counts, keys).where(
         (F.col("_n") == F.floor((F.col("_size") + 1) / 2)) | (F.col("_n") == F.floor(F.col("_size") / 2) + 1))
     return middle.groupBy(*keys).agg(F.avg(value).alias(out))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfold.functions import scalars as S
-from logfold.operators.ranking import HOT_ROWS, group_median, join_back
+from logfold.operators.ranking import HOT_ROWS, group_median, join_back, join_small
 
 # Fixed value: bytes per document beyond this multiple of the pipeline's median are an artifact.
 OUTLIER_FACTOR = 1.5
@@ -20,7 +20,7 @@ def flag_storage(runs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     settled = F.col("settled") if "settled" in runs.columns else F.lit(None).cast("string")
     sized = runs.withColumn("bytes_per_doc", S.bytes_per_doc(F.col("storage"), F.col("M")))
     medians = group_median(sized, ["pipeline"], "bytes_per_doc", "_median", hot_rows)
-    bloated = join_back(sized, medians, ["pipeline"], "left").withColumn(
+    bloated = join_small(sized, medians, ["pipeline"], "left").withColumn(
         "bloat", F.try_divide("bytes_per_doc", "_median")).drop("_median")
     return bloated.withColumn(
         "storage_valid", S.is_settled(settled) & F.coalesce(F.col("bloat") <= OUTLIER_FACTOR, F.lit(False)))

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logfold.functions import scalars as S
-from logfold.operators.ranking import (CHUNK_ROWS, HOT_ROWS, chunk_window, join_back, rank_rows,
-                                       with_neighbours)
+from logfold.operators.ranking import (CHUNK_ROWS, HOT_ROWS, chunk_window, join_back, join_small,
+                                       rank_rows, with_neighbours)
 from logfold.plans.metrics import BASELINE, OUTLIER_FACTOR
 from logfold.plans.runs import PIPELINES
 
@@ -69,7 +69,7 @@ def exclusion_report(metrics: DataFrame) -> DataFrame:
         "pipeline", "workload_id", F.round("bloat", 1).alias("bloat"),
         F.lower(F.format_string("wl%d(%.1fx)", F.col("workload_id").cast("long"),
                                 F.coalesce("bloat", F.lit(float("nan"))))).alias("label"))
-    return join_back(excluded, counts, ["pipeline"]).withColumn("factor", F.lit(OUTLIER_FACTOR))
+    return join_small(excluded, counts, ["pipeline"]).withColumn("factor", F.lit(OUTLIER_FACTOR))
 
 
 def category_grid(metrics: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def storage_by_workload(runs: DataFrame, ticks: int = 20, hot_rows: int = HOT_RO
     sizes = runs.groupBy("pipeline").agg(F.count("*").alias("_runs"))
     step = F.greatest(F.lit(1), F.floor(F.col("_runs") / ticks))
     at = F.col("position") - 1
-    return join_back(placed, sizes, ["pipeline"]).select(
+    return join_small(placed, sizes, ["pipeline"]).select(
         "pipeline", "workload_id", S.megabytes(F.col("storage")).alias("mb"),
         S.category(F.col("dup_ratio")).alias("category"), at.alias("position"),
         (F.pmod(at, step) == 0).alias("tick")).orderBy("pipeline", "position")

@@ -8,6 +8,7 @@ from pyspark.sql.types import (BooleanType, DoubleType, IntegerType, LongType, S
                                StructType)
 
 from logfold.operators.shaping import path_tag, skip_long_lines
+from logfold.session import materialize
 
 EVENT_SCHEMA = StructType([StructField(name, StringType()) for name in (
     "level", "component", "message", "entity", "event_id", "pod", "namespace", "timestamp", "trace_id")])
@@ -112,6 +113,9 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*columns)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A summary table as one CSV file with a header. Summaries hold a few rows per group."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, single_file_rows: int = 100_000) -> None:
+    """A table as CSV with a header: one file for a summary of checked size, else as it comes."""
+    table = materialize(df, "export")
+    if table.count() <= single_file_rows:
+        table = table.coalesce(1)
+    table.write.mode("overwrite").option("header", True).csv(path)
