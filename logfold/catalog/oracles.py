@@ -377,7 +377,7 @@ ORACLES["entity_letters"] = f"SELECT o_orderkey, {_letters('o_orderkey', 6)} AS
 ORACLES["log_file_fields"] = """
 SELECT c_custkey, 'kube.var.log.containers.log-workload-' || c_custkey || '_default_emitter-' || md5(c_name) || '.log' AS tag,
     'log-workload-' || c_custkey AS pod_name, 'default' AS namespace_name, 'emitter' AS container_name, md5(c_name) AS container_id
-FROM customer WHERE c_custkey % 10 = 7"""
+FROM customer WHERE c_mktsegment <> 'BUILDING'"""
 
 # Sources and tables
 

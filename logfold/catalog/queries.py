@@ -274,7 +274,7 @@ def amplify(spark, sf):
     docs = V.table(spark, sf, "documents").select("doc_id", "lang", "source")
     total = docs.count() * AMPLIFY_FACTOR
     out = amplify_duplicates(docs, ["doc_id"], total, AMPLIFY_RATIO)
-    return out.select("position", "slot", "index", "doc_id", "source", S.micros(F.col("timestamp")).alias("ts_us"))
+    return out.select("position", "slot", "index", "doc_id", "source", S.micros("timestamp").alias("ts_us"))
 
 
 @register
@@ -282,7 +282,7 @@ def contract_check(spark, sf):
     """The documents, told apart by letters, amplified and folded again."""
     docs = V.table(spark, sf, "documents").select(
         "doc_id", F.upper("lang").alias("level"), F.col("source").alias("component"),
-        F.concat(F.lit("doc "), S.letters(F.col("doc_id"), 6), F.lit(" has "), F.col("n_chars"),
+        F.concat(F.lit("doc "), S.letters("doc_id", 6), F.lit(" has "), F.col("n_chars"),
                  F.lit(" chars")).alias("message"))
     total = docs.count() * AMPLIFY_FACTOR
     stream = K.with_signature(amplify_duplicates(docs, ["doc_id"], total, AMPLIFY_RATIO))
@@ -347,18 +347,20 @@ def coerced_counts(spark, sf):
 
 @register
 def entity_letters(spark, sf):
-    return V.table(spark, sf, "orders").select("o_orderkey", S.letters(F.col("o_orderkey"), 6).alias("token"))
+    return V.table(spark, sf, "orders").select("o_orderkey", S.letters("o_orderkey", 6).alias("token"))
 
 
 @register
 def log_file_fields(spark, sf):
+    """Log files of customers; those of one segment carry another tag and are routed away."""
     path = F.concat(F.lit("file:/var/log/containers/log-workload-"), F.col("c_custkey"), F.lit("_default_emitter-"),
                     F.md5("c_name"), F.lit(".log"))
-    rows = V.table(spark, sf, "customer").select("c_custkey", path.alias("path"))
+    rows = V.table(spark, sf, "customer").select("c_custkey", "c_mktsegment", path.alias("path"))
     fields = files.file_fields(F.col("path"))
-    tagged = rows.select("c_custkey", shaping.path_tag(F.col("path")).alias("tag"),
-                         *[c.alias(n) for n, c in fields.items()])
-    return shaping.route(tagged, "kube.*.log-workload-*7_*")
+    tag = F.when(F.col("c_mktsegment") == "BUILDING", shaping.path_tag(F.col("path"), "host")).otherwise(
+        shaping.path_tag(F.col("path")))
+    tagged = rows.select("c_custkey", tag.alias("tag"), *[c.alias(n) for n, c in fields.items()])
+    return shaping.route(tagged, "kube.*")
 
 
 # Sources and tables

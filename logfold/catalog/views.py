@@ -6,7 +6,7 @@ size. ``sig`` is the only costly column.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logfold.functions.masking import with_signature
@@ -25,12 +25,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def event_log(spark: SparkSession, sf: str, entity: Column) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table that comes in fewer splits than there are cores.
+
+    Larger tables have more splits and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def event_log(spark: SparkSession, sf: str, entity: str) -> DataFrame:
     """The events as log records about a lettered entity; one workload per day."""
     day = F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) + 1
     kind = F.col("event_type")
     rows = table(spark, sf, "events").select(
-        "event_id", micros(F.col("ts")).alias("ts_us"), day.alias("workload_id"),
+        "event_id", micros("ts").alias("ts_us"), day.alias("workload_id"),
         F.when(kind == "error", "ERROR").otherwise("INFO").alias("level"), kind.alias("component"),
         F.concat(F.lit("user "), letters(entity, 5), F.lit(" "), kind, F.lit(" "), F.col("props")).alias("message"))
     return with_signature(rows.withColumn("bytes", record_bytes(*SIZED)))
@@ -38,17 +47,17 @@ def event_log(spark: SparkSession, sf: str, entity: Column) -> DataFrame:
 
 def by_user(spark: SparkSession, sf: str, users: int) -> DataFrame:
     """Few entities, so every signature is hot."""
-    return event_log(spark, sf, F.col("user_id") % users)
+    return event_log(spark, sf, f"user_id % {users}")
 
 
 def daily_log(spark: SparkSession, sf: str) -> DataFrame:
     """More entities the later in the month, so the days differ in duplication."""
-    return event_log(spark, sf, F.col("user_id") % (5 * F.dayofmonth("ts")))
+    return event_log(spark, sf, "user_id % (5 * dayofmonth(ts))")
 
 
 def line_log(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of every document."""
-    lines = table(spark, sf, "documents").select(
+    lines = spread(table(spark, sf, "documents")).select(
         "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "message"))
     return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), "source",
                         F.upper("lang").alias("level"), F.col("source").alias("component"), "message")
@@ -79,7 +88,7 @@ def ingest_progress(spark: SparkSession, sf: str) -> DataFrame:
     """
     hour = F.floor(F.col("ts_us") / 3600000000)
     events = table(spark, sf, "events").select(
-        F.col("event_type").alias("run"), "user_id", micros(F.col("ts")).alias("ts_us"))
+        F.col("event_type").alias("run"), "user_id", micros("ts").alias("ts_us"))
     events = events.select("run", "user_id", hour.alias("hour"))
     arrived = events.groupBy("run", "hour").agg(F.count("*").alias("new_ops"))
     seen = events.groupBy("run", "user_id").agg(F.min("hour").alias("hour")).groupBy("run", "hour").agg(

@@ -62,21 +62,20 @@ def json_number(doc: Column, path: str) -> Column:
     return F.coalesce(F.get_json_object(doc, path).try_cast("double"), F.lit(0.0))
 
 
-def letters(index: Column, width: int = 14) -> Column:
-    """Bijective base-26 token: 0 is a, 25 is z, 26 is aa. Fourteen letters cover a long.
+def letters(index: str, width: int = 14) -> Column:
+    """Bijective base-26 token of an integer column or expression: 0 is a, 25 is z, 26 is aa.
 
     Digit p from the right exists once the index reaches the number of tokens that are
-    at most p letters long.
+    at most p letters long. Fourteen letters cover a long.
     """
     parts, shorter = [], 0
     for p in range(width):
-        value = (index - F.lit(shorter)).cast("long")
-        digit = F.pmod(F.call_function("div", value, F.lit(26 ** p).cast("long")), F.lit(26))
-        parts.append(F.when(index >= shorter, F.chr(digit + 97)).otherwise(""))
+        parts.append(f"if(({index}) >= {shorter}, "
+                     f"chr(97 + pmod(cast(({index}) - {shorter} AS bigint) div {26 ** p}, 26)), '')")
         shorter += 26 ** (p + 1)
         if shorter >= 2 ** 63:
             break
-    return F.concat(*reversed(parts))
+    return F.expr(f"concat({', '.join(reversed(parts))})")
 
 
 def unit_hash(seed: str, *parts: Column) -> Column:
@@ -91,15 +90,15 @@ def power_index(uniform: Column, size: Column | int, skew: float) -> Column:
     return F.least(size - 1, F.floor(size * F.pow(uniform, F.lit(float(skew))))).cast("long")
 
 
-def micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a zone-free timestamp, whatever the session's zone.
+def micros(ts: str) -> Column:
+    """Microseconds since 1970 of a zone-free timestamp column, whatever the session's zone.
 
     Seconds come without a zone. The fraction of a second is the same in every zone, so the
     zoned cast may supply it. Seconds before 1970 are cut towards zero and need one less.
     """
-    fraction = F.pmod(F.unix_micros(ts.cast("timestamp")), F.lit(1000000))
-    early = (ts < F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")) & (fraction > 0)
-    return (F.unix_timestamp(ts) - early.cast("long")) * 1000000 + fraction
+    fraction = f"pmod(unix_micros(cast({ts} AS timestamp)), 1000000)"
+    early = f"if({ts} < timestamp_ntz'1970-01-01 00:00:00' AND {fraction} > 0, 1, 0)"
+    return F.expr(f"(unix_timestamp({ts}) - {early}) * 1000000 + {fraction}")
 
 
 def plus_micros(start: str, offset: Column) -> Column:

@@ -33,39 +33,38 @@ def emission_counts(eps: float = DEFAULT_EPS, limit: int = MAX_COUNT) -> tuple[i
     return tuple(counts)
 
 
+def _long_array(values: Sequence[int]) -> str:
+    """One literal: the optimizer folds the split."""
+    return f"cast(split('{','.join(map(str, values))}', ',') AS array<bigint>)"
+
+
 def emission_table(spark: SparkSession, eps: float = DEFAULT_EPS, limit: int = MAX_COUNT) -> DataFrame:
     """The list as rows ``(e)``; its length is checked, so it may be broadcast."""
-    return spark.range(1).select(F.explode(_long_array(emission_counts(eps, limit))).alias("e"))
+    return spark.range(1).select(F.expr(f"explode({_long_array(emission_counts(eps, limit))})").alias("e"))
 
 
-def _long_array(values: Sequence[int]) -> Column:
-    """One literal: the optimizer folds the split, the driver sends a single string."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+def _search(count: str, eps: float, limit: int) -> str:
+    values = emission_counts(eps, limit)
+    top = 1 << (len(values) - 1).bit_length()
+    table = _long_array(list(values) + [2 ** 63 - 1] * (2 * top - len(values)))
+    steps = ", ".join(str(1 << k) for k in reversed(range(top.bit_length())))
+    return (f"aggregate(array({steps}), 0, (at, step) -> "
+            f"CASE WHEN element_at({table}, at + step) <= ({count}) THEN at + step ELSE at END)")
 
 
-def emissions_until(count: Column, eps: float = DEFAULT_EPS, limit: int = MAX_COUNT) -> Column:
-    """How many emissions a signature has made after ``count`` records.
+def emissions_until(count: str, eps: float = DEFAULT_EPS, limit: int = MAX_COUNT) -> Column:
+    """How many emissions a signature has made after ``count`` records, a column or expression.
 
     Binary search in the list as one expression: no join, no extra rows.
     """
-    if eps <= 0:
-        return count.cast("long")
-    values = emission_counts(eps, limit)
-    top = 1 << (len(values) - 1).bit_length()
-    table = _long_array(list(values) + [2 ** 63 - 1] * (2 * top - len(values)))
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(top.bit_length()))])
-    return F.aggregate(
-        steps, F.lit(0),
-        lambda at, step: F.when(F.element_at(table, at + step) <= count, at + step).otherwise(at),
-    ).cast("long")
+    return F.expr(f"cast({count} AS bigint)" if eps <= 0 else f"cast({_search(count, eps, limit)} AS bigint)")
 
 
-def last_emitted(count: Column, eps: float = DEFAULT_EPS, limit: int = MAX_COUNT) -> Column:
+def last_emitted(count: str, eps: float = DEFAULT_EPS, limit: int = MAX_COUNT) -> Column:
     """The largest emission count that is at most ``count``: what the store ends up with.
 
     0 where nothing was counted.
     """
     if eps <= 0:
-        return count.cast("long")
-    table = _long_array(emission_counts(eps, limit))
-    return F.coalesce(F.get(table, emissions_until(count, eps, limit).cast("int") - 1), F.lit(0))
+        return F.expr(f"cast({count} AS bigint)")
+    return F.expr(f"coalesce(get({_long_array(emission_counts(eps, limit))}, {_search(count, eps, limit)} - 1), 0L)")

@@ -71,8 +71,8 @@ def edge_counts(df: DataFrame, eps: float = DEFAULT_EPS, sig: str = "sig") -> Da
     ``forwarded`` how many emissions led there.
     """
     counts = df.groupBy(sig).agg(F.count("*").alias("n"))
-    return counts.select(sig, "n", last_emitted(F.col("n"), eps).alias("stored"),
-                         emissions_until(F.col("n"), eps).alias("forwarded"))
+    return counts.select(sig, "n", last_emitted("n", eps).alias("stored"),
+                         emissions_until("n", eps).alias("forwarded"))
 
 
 def hot_signatures(df: DataFrame, k: int = 20, sig: str = "sig") -> DataFrame:

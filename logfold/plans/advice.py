@@ -46,7 +46,7 @@ def validate_contract(df: DataFrame, total: int, dup_ratio: float, eps: float =
     """One row: does the stream hold what its duplicate ratio promises?"""
     counts = df.groupBy(sig).agg(F.count("*").alias("n")).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("U"),
-        F.coalesce(F.sum(last_emitted(F.col("n"), eps)), F.lit(0)).alias("bounded"))
+        F.coalesce(F.sum(last_emitted("n", eps)), F.lit(0)).alias("bounded"))
     wanted = distinct_target(total, dup_ratio)
     tolerance = 1e-9
     expected_ce = total / wanted

@@ -53,36 +53,30 @@ def fold_workloads(df: DataFrame, workload: str = "workload_id", eps: float = DE
     per_sig = df.groupBy(F.col(workload).alias("workload_id"), sig).agg(
         F.count("*").alias("n"), F.sum(later).alias("n1"),
         F.sum(size).alias("all_bytes"), F.max(size).alias("doc_bytes"))
-    n, n1 = F.col("n"), F.col("n1")
-    kept = F.when(n1 > 0, n1).otherwise(n)
+    kept = "if(n1 > 0, n1, n)"
     totals = [
-        F.sum(n).alias("N"), F.count("*").alias("U"), F.sum("all_bytes").alias("raw_bytes"),
+        F.sum("n").alias("N"), F.count("*").alias("U"), F.sum("all_bytes").alias("raw_bytes"),
         F.sum(F.col("doc_bytes") + 2 * F.octet_length(sig) + TAG_BYTES).alias("folded_bytes"),
-        F.sum(last_emitted(n, eps)).alias("bounded"), F.sum(emissions_until(n, eps)).alias("sent")]
+        F.sum(last_emitted("n", eps)).alias("bounded"), F.sum(emissions_until("n", eps)).alias("sent")]
     if epoch is not None:
         totals += [
-            F.sum(kept).alias("kept"), F.sum(last_emitted(kept, eps)).alias("kept_bounded"),
-            F.sum(emissions_until(n - n1, eps) + emissions_until(n1, eps)).alias("kept_sent")]
+            F.sum(F.expr(kept)).alias("kept"), F.sum(last_emitted(kept, eps)).alias("kept_bounded"),
+            F.sum(emissions_until("n - n1", eps) + emissions_until("n1", eps)).alias("kept_sent")]
     return per_sig.groupBy("workload_id").agg(*totals)
 
 
 def runs_table(folded: DataFrame, restarted: bool = False) -> DataFrame:
     """Three runs per workload, one for each strategy, in the columns of a run table."""
-    c = F.col
     exact, bounded, sent = ("kept", "kept_bounded", "kept_sent") if restarted else ("N", "bounded", "sent")
-    per_pipeline = {
-        "A": (c("N"), c("raw_bytes"), c("N"), c("N")),
-        "B": (c("U"), c("folded_bytes"), c(bounded), c(sent)),
-        "C": (c("U"), c("folded_bytes"), c(exact), c("N"))}
-    names = ("M", "storage", "reconstructed", "forwarded")
-    rows = F.array(*[F.struct(F.lit(pipeline).alias("pipeline"), *[v.alias(k) for k, v in zip(names, values)])
-                     for pipeline, values in per_pipeline.items()])
-    return folded.withColumn("_run", F.explode(rows)).select(
-        "_run.pipeline", "workload_id", (1 - c("U") / c("N")).alias("dup_ratio"),
-        F.lit(None).cast("long").alias("seed"), "N", "_run.M", "_run.storage",
-        c("_run.storage").alias("total_storage"), "_run.reconstructed", "_run.forwarded",
-        F.lit("restart" if restarted else "false").alias("failed"), F.lit(True).alias("settled"),
-        F.lit(None).cast("string").alias("timestamp"))
+    folded = folded.withColumn("_run", F.expr(f"""explode(array(
+        named_struct('p', 'A', 'm', N, 'size', raw_bytes, 'kept', N, 'sent', N),
+        named_struct('p', 'B', 'm', U, 'size', folded_bytes, 'kept', {bounded}, 'sent', {sent}),
+        named_struct('p', 'C', 'm', U, 'size', folded_bytes, 'kept', {exact}, 'sent', N)))"""))
+    return folded.selectExpr(
+        "_run.p AS pipeline", "workload_id", "1 - U / N AS dup_ratio", "cast(NULL AS bigint) AS seed", "N",
+        "_run.m AS M", "_run.size AS storage", "_run.size AS total_storage", "_run.kept AS reconstructed",
+        "_run.sent AS forwarded", f"'{'restart' if restarted else 'false'}' AS failed", "true AS settled",
+        "cast(NULL AS string) AS timestamp")
 
 
 def evaluate_strategies(df: DataFrame, workload: str = "workload_id", eps: float = DEFAULT_EPS,

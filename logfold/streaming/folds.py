@@ -58,7 +58,7 @@ def fold_bounded(stream: DataFrame, path: str, checkpoint: str, order: Sequence[
     def sink(batch: DataFrame, batch_id: int) -> None:
         earlier = read_batches(spark, path, schema).where(F.col("batch") < batch_id)
         stored = earlier.groupBy("_agg_id").agg(F.max("count").alias("_stored"))
-        due = batch.withColumn("_due", last_emitted(F.col("_n"), eps))
+        due = batch.withColumn("_due", last_emitted("_n", eps))
         moved = due.join(stored, due[sig] == stored["_agg_id"], "left").where(
             F.col("_due") > F.coalesce(F.col("_stored"), F.lit(0)))
         write_batch(tag_record(moved.drop("_agg_id", "_stored", "_n"), sig, F.col("_due")).drop("_due"),
