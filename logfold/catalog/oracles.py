@@ -240,7 +240,7 @@ ORACLES["storage_smoothed"] = _with(*DAY_RUNS) + f"""
 SELECT pipeline, workload_id, {_round('mb, med, mad')}, outlier, round(avg(clean) OVER w3, {DIGITS}) AS smoothed
 FROM (SELECT *, mb > med + 3 * (mad + 1) AS outlier, CASE WHEN mb > med + 3 * (mad + 1) THEN med ELSE mb END AS clean
     FROM (SELECT *, median(abs(mb - med)) OVER w5 AS mad
-        FROM (SELECT *, median(mb) OVER w5 AS med FROM (SELECT pipeline, workload_id, storage / 1024 AS mb FROM runs)
+        FROM (SELECT *, median(mb) OVER w5 AS med FROM (SELECT pipeline, workload_id, storage / 16 AS mb FROM runs)
             WINDOW w5 AS (PARTITION BY pipeline ORDER BY workload_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
         WINDOW w5 AS (PARTITION BY pipeline ORDER BY workload_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)))
 WINDOW w3 AS (PARTITION BY pipeline ORDER BY workload_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"""
@@ -294,7 +294,7 @@ SELECT w.workload_id, round(w.dup_ratio, {DIGITS}) AS dup_ratio, b.pipeline, rou
     round(b.IPR, {DIGITS}) AS IPR, round(b.FLR, {DIGITS}) AS FLR, b.forwarded
 FROM (SELECT workload_id, max(dup_ratio) AS dup_ratio FROM normal GROUP BY ALL) w
 LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY workload_id ORDER BY SRR DESC, forwarded, pipeline) AS rn
-    FROM pairs WHERE SRR IS NOT NULL AND 1 - IPR <= 0.25 AND coalesce(FLR, 0) <= 0.4) b
+    FROM pairs WHERE SRR IS NOT NULL AND 1 - IPR <= 0.1 AND coalesce(FLR, 0) <= 0.5) b
     ON w.workload_id = b.workload_id AND b.rn = 1"""
 
 ORACLES["missing_runs"] = _with(DAILY) + """
@@ -305,12 +305,14 @@ WHERE workload_id NOT IN (SELECT workload_id FROM elog WHERE level = 'ERROR' AND
 ORACLES["ingest_completeness"] = """
 WITH ev AS (SELECT event_type AS run, user_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hour FROM events),
 ops AS (SELECT run, hour, count(*) AS c FROM ev GROUP BY ALL),
-docs AS (SELECT run, hour, count(*) AS c FROM (SELECT run, user_id, min(hour) AS hour FROM ev GROUP BY ALL) GROUP BY ALL),
-polls AS (SELECT o.run, o.hour AS poll, sum(o.c) OVER w AS ops, sum(coalesce(d.c, 0)) OVER w AS docs,
+docs AS (SELECT run, hour, count(*) AS c
+    FROM (SELECT run, user_id, min(hour) AS hour FROM ev GROUP BY ALL) GROUP BY ALL),
+polls AS (SELECT o.run, o.hour AS poll, sum(o.c) OVER w AS ops,
+    sum(CASE WHEN o.run IN ('click', 'signup') THEN o.c ELSE coalesce(d.c, 0) END) OVER w AS docs,
     row_number() OVER w AS i, sum(o.c) OVER (PARTITION BY o.run) * CASE WHEN o.run = 'view' THEN 2 ELSE 1 END AS target
     FROM ops o LEFT JOIN docs d ON o.run = d.run AND o.hour = d.hour WINDOW w AS (PARTITION BY o.run ORDER BY o.hour)),
-flats AS (SELECT *, CASE WHEN i > 3 AND docs > 0 AND docs = lag(docs) OVER (PARTITION BY run ORDER BY poll) THEN 1 ELSE 0 END AS flat
-    FROM polls),
+flats AS (SELECT *, CASE WHEN i > 3 AND docs > 0
+    AND docs = lag(docs) OVER (PARTITION BY run ORDER BY poll) THEN 1 ELSE 0 END AS flat FROM polls),
 blocks AS (SELECT *, sum(1 - flat) OVER (PARTITION BY run ORDER BY poll) AS block FROM flats),
 still AS (SELECT *, sum(flat) OVER (PARTITION BY run, block ORDER BY poll) AS stable FROM blocks),
 found AS (SELECT run, CAST(max(target) AS BIGINT) AS target, CAST(max(ops) AS BIGINT) AS ops,
@@ -338,10 +340,11 @@ ORACLES["contract_check"] = _with(AMPLIFIED, _schedule(DEFAULT_EPS), f"""signed
     FROM amplified)""", """folded AS (SELECT sig, n, e AS stored
     FROM (SELECT sig, count(*) AS n FROM signed GROUP BY sig) c ASOF JOIN steps ON c.n >= steps.e)""") + f"""
 SELECT CAST(sum(n) AS BIGINT) AS N, count(*) AS U, any_value(kept) AS "expected_U", round(sum(n) / count(*), {DIGITS}) AS CE,
-    round(any_value(total) / any_value(kept), {DIGITS}) AS "expected_CE", round(sum(stored) / sum(n), {DIGITS}) AS IPR_B,
-    1.0::DOUBLE AS IPR_C, count(*) = any_value(kept) AS distinct_ok,
+    round(any_value(total) / any_value(kept), {DIGITS}) AS "expected_CE",
+    round(sum(stored) / any_value(total), {DIGITS}) AS IPR_B, round(sum(n) / any_value(total), {DIGITS}) AS IPR_C,
+    sum(n) = any_value(total) AS lines_ok, count(*) = any_value(kept) AS distinct_ok,
     abs(sum(n) / count(*) - any_value(total) / any_value(kept)) < 1e-9 AS ce_ok,
-    sum(stored) / sum(n) >= 1 / 1.02 - 1e-9 AS bound_ok
+    sum(stored) / any_value(total) >= 1 / 1.02 - 1e-9 AS bound_ok
 FROM folded, size"""
 
 # Shaping

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, FloatType, LongType, StructField, StructType
 
 from logfold.catalog import views as V
 from logfold.functions import masking as K
@@ -213,7 +213,7 @@ def exclusion_report(spark, sf):
 
 @register
 def storage_smoothed(spark, sf):
-    return rounded(reports.storage_smoothed(daily_runs(spark, sf), unit=1024.0))
+    return rounded(reports.storage_smoothed(daily_runs(spark, sf), unit=16.0))
 
 
 @register
@@ -250,7 +250,7 @@ def restart_loss(spark, sf):
 @register
 def recommend_strategy(spark, sf):
     return rounded(advice.recommend(
-        *daily_pair(spark, sf, ("forwarded",)), 0.25, 0.4))
+        *daily_pair(spark, sf, ("forwarded",)), 0.1, 0.5))
 
 
 @register
@@ -265,7 +265,7 @@ def missing_runs(spark, sf):
 
 @register
 def ingest_completeness(spark, sf):
-    """Hourly polls of each event type; operations are all its events, documents its distinct users."""
+    """Hourly polls of each event type; some keep every event as a document, some one per user."""
     return advice.ingest_completeness(V.ingest_progress(spark, sf))
 
 

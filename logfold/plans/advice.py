@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logfold.functions import scalars as S
 from logfold.functions.schedule import DEFAULT_EPS, last_emitted
 from logfold.operators.amplify import distinct_target
 from logfold.operators.ranking import CHUNK_ROWS, HOT_ROWS, chunk_window, join_back, with_neighbours
@@ -43,7 +44,10 @@ def recommend(normal: DataFrame, failure: DataFrame, max_loss: float, max_crash_
 
 def validate_contract(df: DataFrame, total: int, dup_ratio: float, eps: float = DEFAULT_EPS,
                       sig: str = "sig") -> DataFrame:
-    """One row: does the stream hold what its duplicate ratio promises?"""
+    """One row: does the stream hold what its duplicate ratio promises?
+
+    Preserved shares are taken against ``total``, so lines that got lost show in them.
+    """
     counts = df.groupBy(sig).agg(F.count("*").alias("n")).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("U"),
         F.coalesce(F.sum(last_emitted("n", eps)), F.lit(0)).alias("bounded"))
@@ -52,11 +56,12 @@ def validate_contract(df: DataFrame, total: int, dup_ratio: float, eps: float =
     expected_ce = total / wanted
     return counts.select(
         "N", "U", F.lit(wanted).cast("long").alias("expected_U"),
-        (F.col("N") / F.col("U")).alias("CE"), F.lit(expected_ce).alias("expected_CE"),
-        (F.col("bounded") / F.col("N")).alias("IPR_B"), F.lit(1.0).alias("IPR_C"),
+        S.ratio_or_zero(F.col("N"), F.col("U")).alias("CE"), F.lit(expected_ce).alias("expected_CE"),
+        S.preserved(F.col("bounded"), F.lit(total)).alias("IPR_B"),
+        S.preserved(F.col("N"), F.lit(total)).alias("IPR_C"), (F.col("N") == total).alias("lines_ok"),
         (F.col("U") == wanted).alias("distinct_ok"),
-        (F.abs(F.col("N") / F.col("U") - expected_ce) < tolerance).alias("ce_ok"),
-        (F.col("bounded") / F.col("N") >= 1 / (1 + eps) - tolerance).alias("bound_ok"))
+        (F.abs(S.ratio_or_zero(F.col("N"), F.col("U")) - expected_ce) < tolerance).alias("ce_ok"),
+        (F.col("bounded") / F.lit(total) >= 1 / (1 + eps) - tolerance).alias("bound_ok"))
 
 
 def ingest_completeness(progress: DataFrame, target: str = "target", chunk_rows: int = CHUNK_ROWS,
