@@ -66,6 +66,11 @@ def chat_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.run_metrics(materialize(runs.evaluate_strategies(V.chat_log(spark, sf)), "runs"))
 
 
+def signed_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Signatures written once, since ranking reads them twice: first to count, then to number."""
+    return materialize(V.by_user(spark, sf, 10).select("sig", *V.EVENT_ORDER), "signed")
+
+
 # Signatures and collapse
 
 @register
@@ -94,13 +99,13 @@ def last_record_per_signature(spark, sf):
 
 @register
 def index_running_count(spark, sf):
-    return folding.running_counts(V.by_user(spark, sf, 10), V.EVENT_ORDER).select("event_id", "_agg_id", "count")
+    return folding.running_counts(signed_events(spark, sf), V.EVENT_ORDER).select("event_id", "_agg_id", "count")
 
 
 @register
 def first_sighting(spark, sf):
-    return folding.first_sightings(K.with_signature(V.line_log(spark, sf)), V.LINE_ORDER).select(
-        "sig", "doc_id", "pos", "message")
+    lines = K.with_signature(V.line_log(spark, sf)).select("sig", "doc_id", "pos", "message")
+    return folding.first_sightings(lines, V.LINE_ORDER)
 
 
 @register
@@ -110,7 +115,7 @@ def distinct_documents(spark, sf):
 
 @register
 def edge_emissions(spark, sf):
-    return folding.edge_emissions(V.by_user(spark, sf, 10), V.EVENT_ORDER).select("event_id", "_agg_id", "count")
+    return folding.edge_emissions(signed_events(spark, sf), V.EVENT_ORDER).select("event_id", "_agg_id", "count")
 
 
 @register

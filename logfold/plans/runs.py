@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logfold.functions import scalars as S
 from logfold.functions.schedule import DEFAULT_EPS, emissions_until, last_emitted
-from logfold.operators.ranking import HOT_ROWS, cut_points, join_back, running_sums
+from logfold.operators.ranking import HOT_ROWS, cut_points, join_back, join_small, running_sums
 from logfold.session import materialize
 
 PIPELINES = ("A", "B", "C")
@@ -95,7 +95,7 @@ def fold_restarted(df: DataFrame, order: Sequence[str], cut: float = 0.5, worklo
     the workload, so only the order columns of one slot are ever sorted.
     """
     cuts = cut_points(df, [workload], order, cut, hot_rows=hot_rows).drop("rows")
-    placed = join_back(df.select(workload, sig, size, *order), cuts, [workload])
+    placed = join_small(df.select(workload, sig, size, *order), cuts, [workload])
     after = F.struct(*order) > F.struct(*[F.col(f"cut_{c}").alias(c) for c in order])
     no_cut = F.col(f"cut_{order[0]}").isNull()
     return fold_workloads(placed, workload, eps, sig, size, F.when(no_cut | after, 1).otherwise(0))

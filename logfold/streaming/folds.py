@@ -20,8 +20,8 @@ from logfold.operators.ranking import HOT_ROWS, join_back, pick_rows, rank_rows
 from logfold.operators.tables import read_batches, read_latest, write_batch
 from logfold.session import materialize, scratch_scope
 
-STATE_SCHEMA = StructType([StructField("sig", StringType()), StructField("n", LongType()),
-                           StructField("complete", LongType())])
+STATE_SCHEMA = StructType([StructField("sig", StringType()), StructField("n", LongType())])
+MARK_SCHEMA = StructType([StructField("id", LongType())])
 
 
 def document_schema(df: DataFrame, sig: str = "sig") -> StructType:
@@ -80,18 +80,20 @@ def fold_emissions(stream: DataFrame, path: str, checkpoint: str, order: Sequenc
     spark = stream.sparkSession
     emitted_schema = document_schema(stream, sig)
     write_batch(spark.createDataFrame([], STATE_SCHEMA), f"{path}/state", -1)
+    write_batch(spark.range(1), f"{path}/complete", -1)
     write_batch(spark.createDataFrame([], emitted_schema), f"{path}/emitted", -1)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         rows = materialize(batch, "batch")
-        state = _counts_before(spark, f"{path}/state", batch_id)
+        state = _counts_before(spark, path, batch_id)
         seen = rows.groupBy(F.col(sig).alias("sig")).agg(F.count("*").alias("_new"))
         full = batch_id % compact_every == compact_every - 1
         joined = _full_state(seen, state) if full else join_back(seen, state, ["sig"], "left")
         counts = materialize(joined.select(
             "sig", F.coalesce("n", F.lit(0)).alias("_before"), F.coalesce("_new", F.lit(0)).alias("_new")), "counts")
-        write_batch(counts.select("sig", (F.col("_before") + F.col("_new")).alias("n"),
-                                  F.lit(int(full)).cast("long").alias("complete")), f"{path}/state", batch_id)
+        write_batch(counts.select("sig", (F.col("_before") + F.col("_new")).alias("n")), f"{path}/state", batch_id)
+        if full:
+            write_batch(spark.range(1), f"{path}/complete", batch_id)
         before = counts.where((F.col("_before") > 0) & (F.col("_new") > 0)).select(
             F.col("sig").alias(sig), "_before")
         numbered = join_back(rank_rows(rows, [sig], order, "_k", hot_rows), before, [sig], "left").withColumn(
@@ -116,12 +118,15 @@ def _full_state(seen: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def _counts_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """Counts after all earlier batches, read from the last complete write on."""
-    earlier = read_batches(spark, path, STATE_SCHEMA).where(F.col("batch") < batch_id)
-    base = earlier.where(F.col("complete") == 1).agg(F.max("batch")).first()[0]
-    if base is not None:
-        earlier = earlier.where(F.col("batch") >= base)
-    return earlier.groupBy("sig").agg(F.max("n").alias("n"))
+    """Counts after all earlier batches, read from the last complete write on.
+
+    Batches before that are pruned; a small table marks the complete ones.
+    """
+    base = (read_batches(spark, f"{path}/complete", MARK_SCHEMA).where(F.col("batch") < batch_id)
+            .agg(F.max("batch")).first()[0])
+    state = read_batches(spark, f"{path}/state", STATE_SCHEMA)
+    return state.where((F.col("batch") < batch_id) & (F.col("batch") >= base)).groupBy("sig").agg(
+        F.max("n").alias("n"))
 
 
 def read_emitted(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

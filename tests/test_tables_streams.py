@@ -94,6 +94,23 @@ def test_stream_bounded_counts(spark, rows, tmp_path):
     assert counts.get(1, 0) == 0 and counts[2] > 0
 
 
+def test_compacted_table_goes_on_under_the_same_checkpoint(spark, rows, tmp_path):
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {r.sig: r.stored for r in folding.edge_counts(df, 0.5).collect()}
+    places = iter([str(tmp_path / "out"), str(tmp_path / "out"), str(tmp_path / "next")])
+
+    def start(stream, out, check):
+        place = next(places)
+        if place.endswith("next"):
+            schema = folds.document_schema(df)
+            tables.compact_table(spark, str(tmp_path / "out"), place, schema, order=["count", "batch"])
+        return folds.fold_bounded(stream, place, check, ORDER, 0.5)
+
+    _, schema = feed(spark, rows, [200, 500], tmp_path, start)
+    found = folds.read_documents(spark, str(tmp_path / "next"), schema)
+    assert {r.sig: r["count"] for r in found.collect()} == want
+
+
 def test_repeated_batch_changes_nothing(spark, rows, tmp_path):
     """A batch whose commit was lost runs again with the same id."""
     out, schema = feed(spark, rows, [400], tmp_path, lambda s, o, c: folds.fold_emissions(s, o, c, ORDER, 0.1))
