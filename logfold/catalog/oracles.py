@@ -414,6 +414,11 @@ SELECT sig AS _agg_id, c AS count, event_id, message FROM (
     SELECT *, row_number() OVER (PARTITION BY sig ORDER BY ts_us DESC, event_id DESC) AS back,
         count(*) OVER (PARTITION BY sig) AS c FROM elog) WHERE back = 1"""
 
+ORACLES["stream_cri"] = _with(BY_USER) + """
+SELECT sig AS _agg_id, c AS count, event_id, ts_us, message FROM (
+    SELECT *, row_number() OVER (PARTITION BY sig ORDER BY ts_us DESC, event_id DESC) AS back,
+        count(*) OVER (PARTITION BY sig) AS c FROM elog) WHERE back = 1"""
+
 ORACLES["stream_edge"] = _with(BY_USER, _schedule(DEFAULT_EPS)) + """
 SELECT sig AS _agg_id, e AS count FROM (SELECT sig, count(*) AS n FROM elog GROUP BY sig) c ASOF JOIN steps ON c.n >= steps.e"""
 

@@ -396,13 +396,19 @@ def read_docker(spark, sf):
     return parsed.select(F.unix_micros("time").alias("time_us"), "log", "stream")
 
 
+def _container_logs(spark: SparkSession, sf: str) -> str:
+    """The event log as container log files whose lines hold JSON records."""
+    path = scratch_path(spark, "containers")
+    record = F.struct("level", "component", "message", F.col("event_id").cast("string").alias("event_id"))
+    V.by_user(spark, sf, 10).select(F.concat(
+        _stamp(F.col("ts_us")), F.lit("001Z stdout F "), F.to_json(record))).write.text(path)
+    return path
+
+
 @register
 def cri_to_documents(spark, sf):
     """The whole way: JSON records inside container lines, parsed, merged, signed and counted."""
-    path = scratch_path(spark, "chain")
-    log = V.by_user(spark, sf, 10)
-    log.select(F.concat(F.lit("2025-01-01T00:00:00.000000001Z stdout F "), F.to_json(
-        F.struct("level", "component", "message", F.col("event_id").cast("string").alias("event_id"))))).write.text(path)
+    path = _container_logs(spark, sf)
     merged = shaping.merge_json(files.read_cri_logs(spark, path, "*.txt"), "log", files.EVENT_SCHEMA)
     return folding.signature_counts(K.with_signature(shaping.route(merged, "kube.*")))
 
@@ -503,6 +509,18 @@ def stream_counts(spark, sf):
     return folds.read_documents(spark, out, schema).select("_agg_id", "count", "event_id", "message")
 
 
+@register
+def stream_cri(spark, sf):
+    """Container log files as a stream: parsed, merged, signed, counted and upserted."""
+    source, out, checkpoint = _container_logs(spark, sf), scratch_path(spark, "cri_out"), scratch_path(spark, "cri_check")
+    logs = files.stream_logs(spark, source, "*.txt", files_per_trigger=4)
+    merged = K.with_signature(shaping.merge_json(shaping.route(logs, "kube.*"), "log", files.EVENT_SCHEMA))
+    records = merged.select("sig", F.unix_micros("time").alias("ts_us"), F.col("event_id").cast("long"), "message")
+    folds.fold_counts(records, out, checkpoint, V.EVENT_ORDER).awaitTermination()
+    found = folds.read_documents(spark, out, folds.document_schema(records))
+    return found.select("_agg_id", "count", "event_id", "ts_us", "message")
+
+
 @register
 def stream_edge(spark, sf):
     out, schema = _stream(spark, sf, "edge", lambda s, o, c: folds.fold_bounded(s, o, c, V.EVENT_ORDER))
