@@ -5,7 +5,7 @@ Queries about files on disk (``compact``, ``storage_stats``) have no SQL twin.
 
 from __future__ import annotations
 
-from logfold.catalog.queries import AMPLIFY_FACTOR, AMPLIFY_RATIO, DAY_EPS, DIGITS
+from logfold.catalog.queries import AMPLIFY_FACTOR, AMPLIFY_RATIO, DAY_EPS, DIGITS, HIGH_FACTOR, HIGH_RATIO
 
 ORACLES: dict[str, str] = {}
 
@@ -322,15 +322,19 @@ SELECT *, least(done_poll, plateau_poll) AS complete_poll,
     CASE WHEN done_poll IS NOT NULL AND (plateau_poll IS NULL OR done_poll <= plateau_poll) THEN 'target'
          WHEN plateau_poll IS NOT NULL THEN 'plateau' ELSE 'open' END AS reason FROM found"""
 
-AMPLIFIED = f"""size AS (SELECT count(*) * {AMPLIFY_FACTOR} AS total,
-    CAST(round_even(count(*) * {AMPLIFY_FACTOR} * (1 - {AMPLIFY_RATIO}), 0) AS BIGINT) AS kept FROM documents),
+def _amplified(table: str, key: str, factor: int, ratio: float) -> str:
+    return f"""size AS (SELECT count(*) * {factor} AS total,
+    CAST(round_even(count(*) * {factor} * (1 - {ratio}), 0) AS BIGINT) AS kept FROM {table}),
 slots AS (SELECT i AS slot, CASE WHEN i < kept THEN i ELSE least(kept - 1, CAST(floor(kept * pow(
     CAST(CAST('0x' || substr(md5('42-' || i), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0, 2.0)) AS BIGINT)) END AS idx,
     row_number() OVER (ORDER BY md5('42-order-' || i), i) - 1 AS position
     FROM size, range((SELECT total FROM size)) AS t(i)),
-base AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents),
+base AS (SELECT *, row_number() OVER (ORDER BY {key}) - 1 AS idx FROM {table}),
 amplified AS (SELECT s.position, s.slot, s.idx, b.* EXCLUDE (idx) FROM slots s JOIN base b ON s.idx = b.idx)"""
 
+
+AMPLIFIED = _amplified("documents", "doc_id", AMPLIFY_FACTOR, AMPLIFY_RATIO)
+
 ORACLES["amplify"] = _with(AMPLIFIED) + """
 SELECT position, slot, idx AS "index", doc_id, source, epoch_us(TIMESTAMP '2025-01-01 00:00:00') + position AS ts_us
 FROM amplified"""
@@ -347,6 +351,16 @@ SELECT CAST(sum(n) AS BIGINT) AS N, count(*) AS U, any_value(kept) AS "expected_
     sum(stored) / any_value(total) >= 1 / 1.02 - 1e-9 AS bound_ok
 FROM folded, size"""
 
+ORACLES["high_duplication_runs"] = _with(
+    _amplified("events", "event_id", HIGH_FACTOR, HIGH_RATIO), f"""texts AS (SELECT event_type AS component,
+        CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
+        'user ' || {_letters('event_id', 6)} || ' sent ' || props AS message FROM amplified),
+elog AS (SELECT 1 AS workload_id, {_signature()} AS sig,
+    strlen(level) + strlen(component) + strlen(message) AS bytes FROM texts)""",
+    _schedule(DEFAULT_EPS), FOLD, _metrics("runs", "normal")) + f"""
+SELECT pipeline, N, M, reconstructed, forwarded, storage,
+    {_round('dup_ratio, bytes_per_doc, SRR, CE, IPR')} FROM normal"""
+
 # Shaping
 
 ORACLES["merge_json"] = """

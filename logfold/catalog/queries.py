@@ -25,6 +25,7 @@ QUERIES: dict[str, Query] = {}
 DAY_EPS = 0.5
 DIGITS = 6
 AMPLIFY_FACTOR, AMPLIFY_RATIO = 4, 0.75
+HIGH_FACTOR, HIGH_RATIO = 10, 0.9
 PROPS = StructType([StructField("k", LongType())])
 
 
@@ -294,6 +295,22 @@ def contract_check(spark, sf):
     return rounded(advice.validate_contract(stream, total, AMPLIFY_RATIO))
 
 
+@register
+def high_duplication_runs(spark, sf):
+    """Every event told apart by letters, then nine repeats for each on average: one hot-tailed
+    workload as seen at 90 % duplication, under all strategies."""
+    events = V.table(spark, sf, "events").select(
+        "event_id", F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level"),
+        F.col("event_type").alias("component"),
+        F.concat(F.lit("user "), S.letters("event_id", 6), F.lit(" sent "), F.col("props")).alias("message"))
+    total = events.count() * HIGH_FACTOR
+    stream = K.with_signature(amplify_duplicates(events, ["event_id"], total, HIGH_RATIO))
+    log = stream.select(F.lit(1).alias("workload_id"), "sig", V.record_bytes(*V.SIZED).alias("bytes"))
+    found = metrics.run_metrics(materialize(runs.evaluate_strategies(log), "runs"), ("forwarded",))
+    return rounded(found.select("pipeline", "dup_ratio", "N", "M", "reconstructed", "forwarded", "storage",
+                                "bytes_per_doc", "SRR", "CE", "IPR"))
+
+
 # Shaping
 
 @register
