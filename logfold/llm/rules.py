@@ -34,7 +34,7 @@ MEASURES = {
     "symbols_per_mille": (20, None),
     "upper_per_mille": (150, None),
     "dup_lines_per_mille": (400, None),
-    "repeats_per_mille": (350, None),
+    "repeats_per_mille": (450, None),
 }
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
 
