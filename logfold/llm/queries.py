@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logfold.llm import factors, rules
+from logfold.llm import bottomk, factors, rules
 from logfold.llm.texts import read
 
 
@@ -16,4 +16,8 @@ def op2_factorisation_machine(spark: SparkSession, folder: str) -> DataFrame:
     return factors.score(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_factorisation_machine)}
+def op7_bottom_k(spark: SparkSession, folder: str) -> DataFrame:
+    return bottomk.near_duplicates(read(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_factorisation_machine, op7_bottom_k)}
