@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logfold.llm import bottomk, factors, rules
+from logfold.llm import bottomk, factors, packing, rules, wavelet
 from logfold.llm.texts import read
 
 
@@ -16,8 +17,18 @@ def op2_factorisation_machine(spark: SparkSession, folder: str) -> DataFrame:
     return factors.score(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op4_wavelet_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    read_back = wavelet.round_trip(read(spark, folder, "documents"))
+    return read_back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_bottom_k(spark: SparkSession, folder: str) -> DataFrame:
     return bottomk.near_duplicates(read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_factorisation_machine, op7_bottom_k)}
+def op8_ordered_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read(spark, folder, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_factorisation_machine, op4_wavelet_matrix, op7_bottom_k, op8_ordered_packing)}
