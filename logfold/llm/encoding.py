@@ -97,6 +97,18 @@ class WordEncoder:
                 sizes = np.array([len(x) for x in ids], np.int64)
                 self._store(own, np.concatenate(ids), sizes if own is alone else sizes[::2] + sizes[1::2])
 
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of distinct words, each encoded once; nothing is remembered."""
+        self._forget()
+        self._learn(words)
+        where = np.fromiter((self.place[w] for w in words), np.int64, len(words))
+        since = np.where(where > 0, self.ends[where - 1], 0)
+        sizes = self.ends[where] - since
+        flat = np.arange(int(sizes.sum()), dtype=np.int64) + np.repeat(since - (np.cumsum(sizes) - sizes), sizes)
+        ids = self.ids[flat]
+        self._forget()
+        return ids, sizes
+
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): row i has ids[offsets[i]:offsets[i + 1]]; ``end`` is appended to each row."""
         texts = pc.fill_null(texts, "")

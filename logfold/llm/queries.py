@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfold.llm import bottomk, counting, factors, packing, rules, wavelet
+from logfold.llm import bottomk, counting, factors, packing, rules, wavelet, wordtable
 from logfold.llm.texts import read
 
 
@@ -31,8 +31,12 @@ def op8_ordered_packing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_word_table(spark: SparkSession, folder: str) -> DataFrame:
+    return wordtable.encode_decode(read(spark, folder, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counting.token_counts(read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_factorisation_machine, op4_wavelet_matrix, op7_bottom_k, op8_ordered_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_factorisation_machine, op4_wavelet_matrix, op7_bottom_k, op8_ordered_packing, op9_word_table, op10_token_counts)}
