@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfold.llm import bottomk, counting, factors, licenses, packing, rules, wavelet, wordtable
+from logfold.llm import bottomk, counting, factors, licenses, packing, pii, rules, wavelet, wordtable
 from logfold.llm.texts import read
 
 
@@ -26,6 +26,10 @@ def op5_license_rules(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_scan(read(spark, folder, "documents"))
 
 
+def op6_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(read(spark, folder, "documents"))
+
+
 def op7_bottom_k(spark: SparkSession, folder: str) -> DataFrame:
     return bottomk.near_duplicates(read(spark, folder, "documents"))
 
@@ -43,4 +47,4 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counting.token_counts(read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_factorisation_machine, op4_wavelet_matrix, op5_license_rules, op7_bottom_k, op8_ordered_packing, op9_word_table, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_factorisation_machine, op4_wavelet_matrix, op5_license_rules, op6_weak_supervision, op7_bottom_k, op8_ordered_packing, op9_word_table, op10_token_counts)}
