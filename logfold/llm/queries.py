@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfold.llm import bottomk, counting, factors, licenses, packing, pii, rules, wavelet, wordtable
+from logfold.llm import bottomk, counting, descent, factors, licenses, packing, pii, rules, wavelet, wordtable
 from logfold.llm.texts import read
 
 
@@ -17,6 +17,10 @@ def op2_factorisation_machine(spark: SparkSession, folder: str) -> DataFrame:
     return factors.score(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op3_nn_descent(spark: SparkSession, folder: str) -> DataFrame:
+    return descent.near_vectors(read(spark, folder, "embeddings"))
+
+
 def op4_wavelet_matrix(spark: SparkSession, folder: str) -> DataFrame:
     read_back = wavelet.round_trip(read(spark, folder, "documents"))
     return read_back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -47,4 +51,4 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counting.token_counts(read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_factorisation_machine, op4_wavelet_matrix, op5_license_rules, op6_weak_supervision, op7_bottom_k, op8_ordered_packing, op9_word_table, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_factorisation_machine, op3_nn_descent, op4_wavelet_matrix, op5_license_rules, op6_weak_supervision, op7_bottom_k, op8_ordered_packing, op9_word_table, op10_token_counts)}
