@@ -236,6 +236,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
 def keep_one(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
     """One document of each group, with its own columns; of rows that share a doc_id the first by text."""
     kept = materialize(near_duplicates(docs, words, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "kept")
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.join(kept, "doc_id").select(*(F.col(f"`{c}`") for c in docs.columns), order.alias("_order"))
-    return named.filter("_order = 1").drop("_order").unionByName(docs.filter("doc_id IS NULL"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.col("text").alias("order"))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("order"))
+    named = rows.join(kept, "doc_id").withColumn("first", first).filter("first = 1").select("row.*")
+    return named.unionByName(docs.filter("doc_id IS NULL"))

@@ -13,7 +13,6 @@ table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -245,21 +244,3 @@ def license_scan(docs: DataFrame) -> DataFrame:
         F.max(F.when(base, F.col("det.start"))).cast("long").alias("last_word"), names(base).alias("base_labels"), names(kept).alias("labels"),
         F.coalesce(F.max(F.when(kept, sure)), F.lit(0.0)).alias("score"))
     return plain.unionByName(found.drop("_uid"))
-
-
-def reference(text: str | None) -> tuple:
-    """The same scan of one text in plain Python, comparing all detections with all; for tests."""
-    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    joined = " ".join(words)
-    found = []
-    known = [(r.priority, r.label, r.pattern, False) for r in rules()] + [(1, label, phrase, True) for phrase, label in BASE.items()]
-    for k, (priority, label, pattern, base) in enumerate(known):
-        for m in re.finditer(_whole(pattern), joined):
-            start = joined.count(" ", 0, m.start())
-            found.append((start, start + m[0].count(" ") + 1, priority, k, label, base))
-    def hidden(d: tuple) -> bool:
-        return any(e[0] <= d[0] and e[1] >= d[1] and (e[2] > d[2] or e[2] == d[2] and ((e[1] - e[0]) > (d[1] - d[0]) or e[3] < d[3])) for e in found if e is not d)
-    base = [d for d in found if d[5]]
-    kept = [d for d in found if d[5] or not hidden(d)]
-    return (len(words), len(base), min((d[0] for d in base), default=None), max((d[0] for d in base), default=None),
-            ",".join(sorted({d[4] for d in base})), ",".join(sorted({d[4] for d in kept})), max((CONFIDENCE[d[2]] for d in kept), default=0.0))

@@ -32,6 +32,7 @@ from logfold.session import materialize, scratch_path
 #: Tokens at which a shard is closed.
 SHARD = 1 << 20
 BLOCK = 512
+TABLE = "part int, seq long, n_tokens long, n_docs long, payload binary"
 _MAGIC = b"WMX1"
 
 
@@ -191,7 +192,7 @@ def shards(docs: DataFrame, file: str = "word_bpe_49k.json", most: int = SHARD)
         if held:
             yield close()
 
-    return in_order(docs).mapInArrow(run, "part int, seq long, n_tokens long, n_docs long, payload binary")
+    return in_order(docs).mapInArrow(run, TABLE)
 
 
 def write(docs: DataFrame, path: str, file: str = "word_bpe_49k.json", most: int = SHARD) -> None:
@@ -215,7 +216,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "part", "seq", "inner", "n_tokens", "ids"])
                 yield from (rows.slice(k, 1000) for k in range(0, rows.num_rows, 1000))
 
-    table = spark.read.parquet(path)
+    table = spark.read.schema(TABLE).parquet(path)
     size = table.groupBy("part", "seq").agg(F.sum("n_tokens").alias("own"))
     # a number per part on top of a running sum in it, so that no window goes over all shards
     parts = size.groupBy("part").agg(F.sum("own").alias("own"))
