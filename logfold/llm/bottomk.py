@@ -22,6 +22,7 @@ whole. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ KEPT, SHARED = 64, 32
 SHORT = 12
 #: Nodes that a longer list compares with all others, in the first and the second round.
 CENTRES = (1, 6)
+#: Nodes with a list that share a file of the tables about them.
+FILE_ROWS = 20_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                          0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -124,32 +127,38 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
 
 
 class _Comparer:
-    """Estimates and confirms pairs of nodes, and keeps the links found so far."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, rare: DataFrame, words: int, percent: int):
-        self.nodes, self.percent = nodes, percent
-        wanted = materialize(rare.select("node").distinct(), "wanted")
-        texts = docs.select(F.col("doc_id").alias("node"), text_of().alias("_text")).join(wanted, "node").dropDuplicates(["node"])
+    """Estimates and confirms pairs of nodes, and keeps the component of every node that has a list."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, lists: DataFrame, words: int, percent: int):
+        self.percent = percent
+        wanted = materialize(lists.select("node").distinct(), "wanted")
+        # tables with a row per node with a list go into as many files as their rows need
+        self.files = max(1, math.ceil(wanted.count() / FILE_ROWS))
+        self.nodes = self.written(nodes.join(wanted, "node"), "listed")
         # rows that share a doc_id give one set
-        sets = materialize(full_sets(texts, words), "sets")
-        self.sets = sets
-        self.links: DataFrame | None = None
-        self.labels: DataFrame | None = None
-
-    def label(self, rows: DataFrame) -> DataFrame:
-        """Add the component of each node; its own number while it has no link."""
-        if self.labels is None:
-            return rows.withColumn("component", F.col("node"))
-        known = rows.join(self.labels, "node", "left")
-        return known.withColumn("component", F.coalesce("component", "node"))
+        texts = docs.select(F.col("doc_id").alias("node"), text_of().alias("_text")).join(wanted, "node").dropDuplicates(["node"])
+        self.sets = materialize(full_sets(texts, words), "sets")
+        self.labels = self.written(wanted.select("node", F.col("node").alias("component")), "labels")
+
+    def written(self, rows: DataFrame, name: str) -> DataFrame:
+        return materialize(rows.coalesce(self.files), name)
+
+    def label(self, rows: DataFrame, end: str = "node", name: str = "component") -> DataFrame:
+        """Add the component of a node."""
+        return rows.join(self.labels.select(F.col("node").alias(end), F.col("component").alias(name)), end)
 
     def _confirm(self, pairs: DataFrame) -> None:
+        """Compare whole sets, and join the components of pairs that are similar."""
         left = self.sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
         right = self.sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         links = pairs.join(left, "a").join(right, "b").filter(100 * both >= self.percent * (F.size("x") + F.size("y") - both)).select("a", "b")
-        links = materialize(links if self.links is None else links.union(self.links), "links")
-        self.links, self.labels = links, components(links)
+        ends = self.label(self.label(links, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct()
+        ends = self.written(ends, "links")
+        if ends.isEmpty():
+            return
+        moved = components(ends, self.files).select(F.col("node").alias("component"), F.col("component").alias("to"))
+        self.labels = self.written(self.labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
 
     def compare(self, pairs: DataFrame) -> None:
         """Link those of the pairs a, b that are similar; at first only the two closest of each b."""
@@ -161,14 +170,13 @@ class _Comparer:
         near = F.size(F.array_intersect(F.array_intersect(lowest, F.col("sa")), F.col("sb"))) / F.size(lowest)
         close = seen.withColumn("near", near).filter(F.col("near") >= F.when(whole, self.percent / 100 - 1e-9).otherwise(SHARED / KEPT))
         rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("near"), "a"))
-        close = materialize(close.select("a", "b", rank.alias("rank")), "close")
+        close = self.written(close.select("a", "b", rank.alias("rank")), "close")
         if close.isEmpty():
             return
         self._confirm(close.filter("rank <= 2").select("a", "b"))
         rest = close.filter("rank > 2").select("a", "b")
-        for end in ("a", "b"):
-            rest = self.label(rest.withColumnRenamed(end, "node")).withColumnRenamed("node", end).withColumnRenamed("component", f"c{end}")
-        rest = materialize(rest.filter("ca <> cb").select("a", "b"), "rest")
+        rest = self.label(self.label(rest, "a", "ca"), "b", "cb").filter("ca <> cb")
+        rest = self.written(rest.select("a", "b"), "rest")
         if not rest.isEmpty():
             self._confirm(rest)
 
@@ -209,7 +217,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     centre = long_lists.groupBy("value").agg(F.min_by("node", F.xxhash64("node", "value")).alias("a"))
     comparer.compare(_short_pairs(lists).union(long_lists.join(centre, "value").filter("a <> node").select("a", F.col("node").alias("b"))).distinct())
     for centres in (CENTRES[1], None):
-        members = materialize(comparer.label(long_lists.join(rare.select("node", "rare"), "node")), "members")
+        members = comparer.written(comparer.label(long_lists.join(rare.select("node", "rare"), "node")), "members")
         if members.isEmpty():
             break
         chosen = _centre_pairs(members, centres or 1 << 62)
@@ -218,14 +226,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
         new = chosen.join(others, "value").filter((F.col("ca") != F.col("cb")) & _alike(F.col("na"), F.col("nb"), percent))
         if centres is None:
             new = new.filter(first)
-        new = materialize(new.select("a", "b").distinct(), "pairs")
+        new = comparer.written(new.select("a", "b").distinct(), "pairs")
         if new.isEmpty():
             break
         comparer.compare(new)
-    if comparer.labels is not None:
-        named = groups.join(comparer.labels, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
-    else:
-        named = groups.withColumn("component_id", F.col("node"))
+    named = groups.join(comparer.labels, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
     slim = rows.select("doc_id", *key)
     out = slim.join(named.select(*key, "component_id"), key, "left")
     component = F.coalesce("component_id", F.col("doc_id").cast("long"))
