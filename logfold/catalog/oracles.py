@@ -1,6 +1,6 @@
 """DuckDB SQL for the registered queries, over the whole tables.
 
-Queries about files on disk (``compact``, ``storage_stats``) have no SQL twin.
+The file counts of ``compact`` and ``storage_stats`` have no SQL twin; ``compact_rows`` and ``compact_facts`` have.
 """
 
 from __future__ import annotations
@@ -28,12 +28,14 @@ def _signature(level: str = "level", component: str = "component", message: str
     return f"{level} || '|' || {component} || '|' || {_normalize(message)}"
 
 
-def _letters(index: str, width: int) -> str:
+def _letters(index: str) -> str:
     parts, shorter = [], 0
-    for p in range(width):
+    for p in range(14):
         parts.append(f"CASE WHEN {index} >= {shorter} THEN "
                      f"chr(CAST(97 + (({index} - {shorter}) // {26 ** p}) % 26 AS INTEGER)) ELSE '' END")
         shorter += 26 ** (p + 1)
+        if shorter >= 2 ** 63:
+            break
     return "(" + " || ".join(reversed(parts)) + ")"
 
 
@@ -49,7 +51,7 @@ def _event_log(entity: str) -> str:
         strlen(level) + strlen(component) + strlen(message) AS bytes FROM (
         SELECT event_id, epoch_us(ts) AS ts_us, CAST(CAST(ts AS DATE) - DATE '2024-01-01' + 1 AS INTEGER) AS workload_id,
             CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, event_type AS component,
-            'user ' || {_letters(entity, 5)} || ' ' || event_type || ' ' || props AS message FROM events))"""
+            'user ' || {_letters(entity)} || ' ' || event_type || ' ' || props AS message FROM events))"""
 
 
 BY_USER = _event_log("(user_id % 10)")
@@ -294,7 +296,7 @@ SELECT w.workload_id, round(w.dup_ratio, {DIGITS}) AS dup_ratio, b.pipeline, rou
     round(b.IPR, {DIGITS}) AS IPR, round(b.FLR, {DIGITS}) AS FLR, b.forwarded
 FROM (SELECT workload_id, max(dup_ratio) AS dup_ratio FROM normal GROUP BY ALL) w
 LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY workload_id ORDER BY SRR DESC, forwarded, pipeline) AS rn
-    FROM pairs WHERE SRR IS NOT NULL AND 1 - IPR <= 0.1 AND coalesce(FLR, 0) <= 0.5) b
+    FROM pairs WHERE SRR IS NOT NULL AND 1 - IPR <= 0.1 AND FLR <= 0.5) b
     ON w.workload_id = b.workload_id AND b.rn = 1"""
 
 ORACLES["missing_runs"] = _with(DAILY) + """
@@ -302,6 +304,22 @@ SELECT 'clean_slate' AS mode, p AS pipeline, workload_id
 FROM (SELECT DISTINCT workload_id FROM elog) w, (VALUES ('A'), ('B'), ('C')) AS t(p)
 WHERE workload_id NOT IN (SELECT workload_id FROM elog WHERE level = 'ERROR' AND message LIKE 'user a %')"""
 
+ORACLES["missing_runs_modes"] = _with(DAILY) + """
+SELECT 'failure' AS mode, p AS pipeline, workload_id
+FROM (SELECT DISTINCT workload_id FROM elog) w, (VALUES ('A'), ('B'), ('C')) AS t(p)
+WHERE workload_id NOT IN (SELECT workload_id FROM elog WHERE level = 'ERROR' AND message LIKE 'user a %')"""
+
+ORACLES["restart_null_times"] = _with(DAILY) + """
+SELECT workload_id, CAST(sum(n) AS BIGINT) AS N, count(*) AS U, CAST(sum(CASE WHEN n1 > 0 THEN n1 ELSE n END) AS BIGINT) AS kept
+FROM (SELECT workload_id, sig, count(*) AS n, count(*) FILTER (spot > floor(0.2 * total)) AS n1
+      FROM (SELECT workload_id, sig, count(*) OVER (PARTITION BY workload_id) AS total, row_number() OVER (PARTITION BY workload_id
+                ORDER BY CASE WHEN event_id % 3 <> 0 THEN ts_us END NULLS FIRST, event_id) AS spot FROM elog) GROUP BY ALL)
+GROUP BY workload_id"""
+
+ORACLES["exclusion_summary"] = _with(*CHAT_METRICS) + """
+SELECT coalesce(pipeline, 'all') AS pipeline, count(*) FILTER (NOT storage_valid) AS excluded, count(*) AS runs,
+    count(*) FILTER (NOT storage_valid) = 0 AS merged FROM normal GROUP BY ROLLUP (pipeline)"""
+
 ORACLES["ingest_completeness"] = """
 WITH ev AS (SELECT event_type AS run, user_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hour FROM events),
 ops AS (SELECT run, hour, count(*) AS c FROM ev GROUP BY ALL),
@@ -340,7 +358,7 @@ SELECT position, slot, idx AS "index", doc_id, source, epoch_us(TIMESTAMP '2025-
 FROM amplified"""
 
 ORACLES["contract_check"] = _with(AMPLIFIED, _schedule(DEFAULT_EPS), f"""signed AS (SELECT {_signature(
-    'upper(lang)', 'source', "('doc ' || " + _letters('doc_id', 6) + " || ' has ' || n_chars || ' chars')")} AS sig
+    'upper(lang)', 'source', "('doc ' || " + _letters('doc_id') + " || ' has ' || n_chars || ' chars')")} AS sig
     FROM amplified)""", """folded AS (SELECT sig, n, e AS stored
     FROM (SELECT sig, count(*) AS n FROM signed GROUP BY sig) c ASOF JOIN steps ON c.n >= steps.e)""") + f"""
 SELECT CAST(sum(n) AS BIGINT) AS N, count(*) AS U, any_value(kept) AS "expected_U", round(sum(n) / count(*), {DIGITS}) AS CE,
@@ -354,7 +372,7 @@ FROM folded, size"""
 ORACLES["high_duplication_runs"] = _with(
     _amplified("events", "event_id", HIGH_FACTOR, HIGH_RATIO), f"""texts AS (SELECT event_type AS component,
         CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
-        'user ' || {_letters('event_id', 6)} || ' sent ' || props AS message FROM amplified),
+        'user ' || {_letters('event_id')} || ' sent ' || props AS message FROM amplified),
 elog AS (SELECT 1 AS workload_id, {_signature()} AS sig,
     strlen(level) + strlen(component) + strlen(message) AS bytes FROM texts)""",
     _schedule(DEFAULT_EPS), FOLD, _metrics("runs", "normal")) + f"""
@@ -367,6 +385,10 @@ ORACLES["merge_json"] = """
 SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
     CASE WHEN event_type = 'error' THEN 'raw ' || props END AS message FROM events"""
 
+ORACLES["merge_json_open"] = """
+SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, CAST(NULL AS VARCHAR) AS message,
+    CASE WHEN event_type = 'error' THEN '{"k":"x' || user_id || '","extra":"' || event_id || '"}' END AS _rest FROM events"""
+
 ORACLES["json_paths"] = """
 SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, 0.0::DOUBLE AS absent FROM events"""
 
@@ -389,7 +411,7 @@ SELECT o_orderkey, CAST(split_part(o_orderpriority, '-', 1) AS BIGINT) AS level,
     CASE WHEN floor(o_totalprice - 100000) = 0 THEN o_custkey ELSE CAST(floor(o_totalprice - 100000) AS BIGINT) END AS documents
 FROM orders"""
 
-ORACLES["entity_letters"] = f"SELECT o_orderkey, {_letters('o_orderkey', 6)} AS token FROM orders"
+ORACLES["entity_letters"] = f"SELECT o_orderkey, {_letters('o_orderkey')} AS token FROM orders"
 
 ORACLES["log_file_fields"] = """
 SELECT c_custkey, 'kube.var.log.containers.log-workload-' || c_custkey || '_default_emitter-' || md5(c_name) || '.log' AS tag,
@@ -404,6 +426,10 @@ SELECT {_STAMP} AS time_us, CASE WHEN pos % 2 = 0 THEN 'stdout' ELSE 'stderr' EN
 FROM raw_lines
 WHERE 32 + strlen(CASE WHEN pos % 2 = 0 THEN 'stdout' ELSE 'stderr' END) + 2 + strlen(message) <= 2000"""
 
+ORACLES["cri_unparsed"] = _with(RAW_LINES) + f"""
+SELECT CASE WHEN pos % 3 <> 0 THEN {_STAMP} END AS time_us, CASE WHEN pos % 3 <> 0 THEN 'stdout' END AS stream,
+    message AS log, pos % 3 <> 0 AS parsed FROM raw_lines"""
+
 ORACLES["read_docker"] = _with(RAW_LINES) + f"SELECT {_STAMP} AS time_us, message AS log, 'stdout' AS stream FROM raw_lines"
 
 ORACLES["cri_to_documents"] = _with(BY_USER) + "SELECT sig, count(*) AS count FROM elog GROUP BY sig"
@@ -421,6 +447,15 @@ SELECT sig, event_id, ts_us, message FROM (
 ORACLES["upsert_snapshot"] = _LAST
 ORACLES["merge_on_read"] = _LAST
 
+ORACLES["compact_rows"] = _LAST
+
+ORACLES["compact_facts"] = _with(BY_USER) + """
+SELECT state, docs, CASE WHEN state = 'before' THEN twice ELSE 0 END AS superseded, state = 'after' AS settled, true AS stored
+FROM (SELECT count(DISTINCT sig) AS docs FROM elog), (VALUES ('before'), ('after')) AS t(state),
+    (SELECT count(*) AS twice FROM (SELECT sig FROM elog GROUP BY sig HAVING min(workload_id) <= 15 AND max(workload_id) > 15))"""
+
+ORACLES["append_table"] = _with(BY_USER) + "SELECT event_id, sig FROM elog"
+
 # Streams
 
 ORACLES["stream_counts"] = _with(BY_USER) + """

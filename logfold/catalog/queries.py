@@ -77,7 +77,7 @@ def signed_events(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def normalize_lines(spark, sf):
     lines = V.line_log(spark, sf)
-    return lines.select("doc_id", "pos", K.normalize(F.col("message")).alias("template"))
+    return K.with_template(lines, F.col("message")).select("doc_id", "pos", "template")
 
 
 @register
@@ -269,6 +269,30 @@ def missing_runs(spark, sf):
     return runs.missing_runs(matrix, done).select("mode", "pipeline", "workload_id")
 
 
+@register
+def missing_runs_modes(spark, sf):
+    """Two modes expected of every day; one was run for all, the other for days with early errors."""
+    log = V.daily_log(spark, sf)
+    modes = ("clean_slate", "failure")
+    matrix = runs.experiment_matrix(log.select("workload_id").distinct(), modes)
+    errors = log.where((F.col("level") == "ERROR") & F.col("message").startswith("user a "))
+    done = [runs.evaluate_strategies(part, eps=DAY_EPS).withColumn("mode", F.lit(mode)) for part, mode in zip((log, errors), modes)]
+    return runs.missing_runs(matrix, done[0].unionByName(done[1])).select("mode", "pipeline", "workload_id")
+
+
+@register
+def restart_null_times(spark, sf):
+    """The daily counts after a restart where a third of the records has no time."""
+    log = V.daily_log(spark, sf).withColumn("ts_us", F.when(F.col("event_id") % 3 != 0, F.col("ts_us")))
+    folded = runs.fold_restarted(log, V.EVENT_ORDER, 0.2, eps=DAY_EPS)
+    return folded.select("workload_id", "N", "U", "kept")
+
+
+@register
+def exclusion_summary(spark, sf):
+    return reports.exclusion_summary(chat_metrics(spark, sf))
+
+
 @register
 def ingest_completeness(spark, sf):
     """Hourly polls of each event type; some keep every event as a document, some one per user."""
@@ -288,7 +312,7 @@ def contract_check(spark, sf):
     """The documents, told apart by letters, amplified and folded again."""
     docs = V.table(spark, sf, "documents").select(
         "doc_id", F.upper("lang").alias("level"), F.col("source").alias("component"),
-        F.concat(F.lit("doc "), S.letters("doc_id", 6), F.lit(" has "), F.col("n_chars"),
+        F.concat(F.lit("doc "), S.letters("doc_id"), F.lit(" has "), F.col("n_chars"),
                  F.lit(" chars")).alias("message"))
     total = docs.count() * AMPLIFY_FACTOR
     stream = K.with_signature(amplify_duplicates(docs, ["doc_id"], total, AMPLIFY_RATIO))
@@ -302,7 +326,7 @@ def high_duplication_runs(spark, sf):
     events = V.table(spark, sf, "events").select(
         "event_id", F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level"),
         F.col("event_type").alias("component"),
-        F.concat(F.lit("user "), S.letters("event_id", 6), F.lit(" sent "), F.col("props")).alias("message"))
+        F.concat(F.lit("user "), S.letters("event_id"), F.lit(" sent "), F.col("props")).alias("message"))
     total = events.count() * HIGH_FACTOR
     stream = K.with_signature(amplify_duplicates(events, ["event_id"], total, HIGH_RATIO))
     log = stream.select(F.lit(1).alias("workload_id"), "sig", V.record_bytes(*V.SIZED).alias("bytes"))
@@ -321,6 +345,15 @@ def merge_json(spark, sf):
     return shaping.merge_json(rows, "log", PROPS).select("event_id", "k", "message")
 
 
+@register
+def merge_json_open(spark, sf):
+    """Records with a field of another type and a key outside of the schema lose neither."""
+    extra = F.concat(F.lit('{"k":"x'), F.col("user_id"), F.lit('","extra":"'), F.col("event_id"), F.lit('"}'))
+    rows = V.table(spark, sf, "events").select("event_id", F.when(
+        F.col("event_type") == "error", extra).otherwise(F.col("props")).alias("log"))
+    return shaping.merge_json(rows, "log", PROPS).select("event_id", "k", "message", "_rest")
+
+
 @register
 def json_paths(spark, sf):
     return V.table(spark, sf, "events").select(
@@ -369,7 +402,7 @@ def coerced_counts(spark, sf):
 
 @register
 def entity_letters(spark, sf):
-    return V.table(spark, sf, "orders").select("o_orderkey", S.letters("o_orderkey", 6).alias("token"))
+    return V.table(spark, sf, "orders").select("o_orderkey", S.letters("o_orderkey").alias("token"))
 
 
 @register
@@ -403,6 +436,16 @@ def read_cri(spark, sf):
     return parsed.select(F.unix_micros("time").alias("time_us"), "stream", "logtag", "log")
 
 
+@register
+def cri_unparsed(spark, sf):
+    """Every third document line is written without the container's fields and read back whole."""
+    path = scratch_path(spark, "cri")
+    lines = V.line_log(spark, sf)
+    framed = F.concat(_stamp(F.col("doc_id") * 1000000 + F.col("pos")), F.lit("789Z stdout F "), F.col("message"))
+    lines.select(F.when(F.col("pos") % 3 == 0, F.col("message")).otherwise(framed)).write.text(path)
+    return files.read_cri_logs(spark, path, "*.txt").select(F.unix_micros("time").alias("time_us"), "stream", "log", "parsed")
+
+
 @register
 def read_docker(spark, sf):
     path = scratch_path(spark, "docker")
@@ -485,6 +528,37 @@ def compact(spark, sf):
     return check.select("files", "docs", "superseded", "settled")
 
 
+@register
+def compact_rows(spark, sf):
+    """What a compacted table holds."""
+    path, schema = _keyed_table(spark, sf)
+    target = scratch_path(spark, "compacted")
+    tables.compact_table(spark, path, target, schema, "sig")
+    return tables.read_batches(spark, target, schema).drop("batch")
+
+
+@register
+def compact_facts(spark, sf):
+    """Documents, superseded rows and whether a table is settled, before and after compaction."""
+    path, schema = _keyed_table(spark, sf)
+    target = scratch_path(spark, "compacted")
+    tables.compact_table(spark, path, target, schema, "sig")
+    facts = [tables.settle_check(spark, p, schema, "sig").select(
+        F.lit(name).alias("state"), "docs", "superseded", "settled", (F.col("bytes") > 0).alias("stored"))
+        for name, p in (("before", path), ("after", target))]
+    return facts[0].unionByName(facts[1])
+
+
+@register
+def append_table(spark, sf):
+    """Every event of an append table written in two parts."""
+    log = V.by_user(spark, sf, 10).select("event_id", "sig")
+    path = scratch_path(spark, "appended")
+    for part in (0, 1):
+        tables.append_records(log.where(F.col("event_id") % 2 == part), path)
+    return spark.read.schema(log.schema).parquet(path)
+
+
 @register
 def storage_stats(spark, sf):
     """Bytes on disk of the three tables the strategies write for the same log."""

@@ -41,7 +41,7 @@ def event_log(spark: SparkSession, sf: str, entity: str) -> DataFrame:
     rows = table(spark, sf, "events").select(
         "event_id", micros("ts").alias("ts_us"), day.alias("workload_id"),
         F.when(kind == "error", "ERROR").otherwise("INFO").alias("level"), kind.alias("component"),
-        F.concat(F.lit("user "), letters(entity, 5), F.lit(" "), kind, F.lit(" "), F.col("props")).alias("message"))
+        F.concat(F.lit("user "), letters(entity), F.lit(" "), kind, F.lit(" "), F.col("props")).alias("message"))
     return with_signature(rows.withColumn("bytes", record_bytes(*SIZED)))
 
 

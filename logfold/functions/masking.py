@@ -31,16 +31,25 @@ def _replacement(token: str) -> str:
 
 
 def normalize(message: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
-    """Apply the masking rules in order. One projection, no Python per row.
+    """Apply the masking rules in order, as one expression that grows by a rule for a rule."""
+    text = message
+    for pattern, token, _ in rules:
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(_replacement(token)))
+    return text
+
+
+def with_template(df: DataFrame, message: Column, rules: Sequence[Rule] = DEFAULT_RULES, out: str = "template") -> DataFrame:
+    """Add the masked message; each rule is a step of its own on the text of the step before.
 
     Most messages lack most of the needles; looking for a plain text first spares them the
-    regex, at about half the cost for prose.
+    regex, at about half the cost for prose. As a step names its text, using it twice does not
+    double the expression.
     """
-    text = message
+    df = df.withColumn(out, message)
     for pattern, token, needle in rules:
-        masked = F.regexp_replace(text, F.lit(pattern), F.lit(_replacement(token)))
-        text = F.when(message.contains(needle), masked).otherwise(text) if needle else masked
-    return text
+        masked = F.regexp_replace(out, F.lit(pattern), F.lit(_replacement(token)))
+        df = df.withColumn(out, F.when(F.col(out).contains(needle), masked).otherwise(F.col(out)) if needle else masked)
+    return df
 
 
 def field(df: DataFrame, name: str, prefix: str = "log_") -> Column:
@@ -61,8 +70,9 @@ def signature(level: Column, component: Column, message: Column,
 
 def with_signature(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, out: str = "sig") -> DataFrame:
     """Add the signature column from level, component and message."""
-    return df.withColumn(
-        out, signature(field(df, "level"), field(df, "component"), field(df, "message"), rules))
+    level, component = field(df, "level"), field(df, "component")
+    masked = with_template(df, field(df, "message"), rules, out)
+    return masked.withColumn(out, F.concat_ws("|", level, component, F.col(out)))
 
 
 def tag_record(df: DataFrame, sig: str, count: Column) -> DataFrame:

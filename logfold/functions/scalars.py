@@ -62,14 +62,14 @@ def json_number(doc: Column, path: str) -> Column:
     return F.coalesce(F.get_json_object(doc, path).try_cast("double"), F.lit(0.0))
 
 
-def letters(index: str, width: int = 14) -> Column:
+def letters(index: str) -> Column:
     """Bijective base-26 token of an integer column or expression: 0 is a, 25 is z, 26 is aa.
 
     Digit p from the right exists once the index reaches the number of tokens that are
     at most p letters long. Fourteen letters cover a long.
     """
     parts, shorter = [], 0
-    for p in range(width):
+    for p in range(14):
         parts.append(f"if(({index}) >= {shorter}, "
                      f"chr(97 + pmod(cast(({index}) - {shorter} AS bigint) div {26 ** p}, 26)), '')")
         shorter += 26 ** (p + 1)

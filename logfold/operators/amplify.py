@@ -33,11 +33,15 @@ def amplify_duplicates(df: DataFrame, order: Sequence[str], total: int, dup_rati
     The first distinct records by ``order`` each appear once; the rest are repeats drawn with
     a power law. Position in the stream follows an MD5 order, timestamps step by 1 us. Slots
     are generated and ordered as narrow rows; the payload joins at the end, with the parts
-    of hot indices spread over copies of their one base row.
+    of hot indices spread over copies of their one base row. A base with fewer rows than the
+    stream needs distinct records is an error.
     """
     spark = df.sparkSession
     distinct = distinct_target(total, dup_ratio)
     repeats = total - distinct
+    rows = df.count()
+    if rows < distinct:
+        raise ValueError(f"{total} records at ratio {dup_ratio} need {distinct} distinct ones; the base has {rows}")
     slot = F.col("id")
     drawn = power_index(unit_hash(seed, slot), distinct, skew)
     slots = spark.range(total).select(

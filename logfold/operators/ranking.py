@@ -177,7 +177,8 @@ def cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], fractio
 
     Only a sliver of the rows is ever sorted: a histogram over ``slots`` equal ranges of the
     first order column, which must be numeric, tells which slot holds the cut, and only the
-    rows of that slot are ranked. A group whose share rounds down to nothing gets NULLs.
+    rows of that slot are ranked. A group whose share rounds down to nothing gets NULLs and
+    ``has_cut`` false; the order values of a cut may be NULL themselves.
     """
     keys, order = list(keys), list(order)
     rows = df.select(*keys, *order)
@@ -197,6 +198,6 @@ def cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], fractio
     sliver = materialize(
         join_back(slotted, wanted, [*keys, "_slot"]).select(*rows.columns, "_left"), "sliver")
     found = rank_rows(sliver, keys, order, "_n", hot_rows).where(F.col("_n") == F.col("_left"))
-    cuts = found.select(*keys, *[F.col(c).alias(f"cut_{c}") for c in order])
+    cuts = found.select(*keys, F.lit(True).alias("has_cut"), *[F.col(c).alias(f"cut_{c}") for c in order])
     return join_back(spans, cuts, keys, "left").select(
-        *keys, F.col("_rows").alias("rows"), *[f"cut_{c}" for c in order])
+        *keys, F.col("_rows").alias("rows"), F.coalesce("has_cut", F.lit(False)).alias("has_cut"), *[f"cut_{c}" for c in order])

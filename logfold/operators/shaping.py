@@ -4,26 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, MapType, StructField, StructType
 
 
-def merge_json(df: DataFrame, column: str, schema: StructType, keep: bool = False) -> DataFrame:
+def _read(item: StructField) -> Column:
+    """A field of the decoded object in its type, NULL where it does not fit."""
+    text = F.try_element_at("_parsed", F.lit(item.name))
+    if isinstance(item.dataType, (StructType, ArrayType, MapType)):
+        return F.from_json(text, item.dataType)
+    return text.try_cast(item.dataType)
+
+
+def merge_json(df: DataFrame, column: str, schema: StructType, keep: bool = False, rest: str = "_rest") -> DataFrame:
     """Decode a JSON string column and put its fields at the root.
 
     Text that is not a JSON object is kept as ``message``. Fields win over root columns of
-    the same name when they are present.
+    the same name when they are present. Each field is read on its own: one that does not
+    have its type is NULL and stays, like the keys outside of the schema, in the column
+    ``rest``, a JSON object (NULL if nothing is left over).
     """
-    full = StructType(schema.fields + [StructField("_corrupt", StringType())])
-    parsed = df.withColumn("_parsed", F.from_json(
-        F.col(column), full, {"columnNameOfCorruptRecord": "_corrupt"}))
-    is_object = F.col("_parsed").isNotNull() & F.col("_parsed._corrupt").isNull()
-    names = schema.fieldNames()
+    parsed = df.withColumn("_parsed", F.from_json(F.col(column), "map<string,string>"))
+    is_object = F.col("_parsed").isNotNull()
     columns = {}
-    for name in names:
-        value = F.when(is_object, F.col(f"_parsed.{name}"))
-        columns[name] = F.coalesce(value, F.col(name)) if name in df.columns else value
+    for item in schema.fields:
+        value = _read(item)
+        columns[item.name] = F.coalesce(value, F.col(item.name)) if item.name in df.columns else value
     raw = F.when(is_object, F.lit(None)).otherwise(F.col(column))
     columns["message"] = F.coalesce(columns["message"], raw) if "message" in columns else raw
+    # keys that no field took
+    taken = F.array(*(F.when(_read(item).isNotNull(), F.lit(item.name)) for item in schema.fields))
+    left = F.map_filter("_parsed", lambda k, _: ~F.coalesce(F.array_contains(F.array_compact(taken), k), F.lit(False)))
+    columns[rest] = F.when(F.size(left) > 0, F.to_json(left))
     out = [c for c in df.columns if c not in columns and (keep or c != column)]
     return parsed.select(*out, *[value.alias(name) for name, value in columns.items()])
 
@@ -57,6 +68,11 @@ def enrich(df: DataFrame, dimension: DataFrame, on: list[str]) -> DataFrame:
     """Left join with a dimension table.
 
     No hint: the dimension is broadcast when its size is below the session's limit. Beyond
-    that it is a sort-merge join whose hot keys adaptive execution splits.
+    that it is a sort-merge join whose hot keys adaptive execution splits. Of several rows with
+    one key the first by its other columns counts, so records are never multiplied.
     """
-    return df.join(dimension, on, "left")
+    others = [c for c in dimension.columns if c not in on]
+    if not others:
+        return df.join(dimension.distinct(), on, "left")
+    single = dimension.groupBy(*on).agg(F.min(F.struct(*others)).alias("_row")).select(*on, "_row.*")
+    return df.join(single, on, "left")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from logfold.operators.ranking import pick_rows
+from logfold.session import scratch_path
 
 TARGET_BYTES = 512 * 1024 * 1024
 
@@ -68,21 +69,28 @@ def compact_table(spark: SparkSession, source: str, target: str, schema: StructT
                   order: Sequence[str] = ("batch",), target_bytes: int = TARGET_BYTES) -> int:
     """Write the latest rows to a new folder in files of about ``target_bytes``.
 
-    Returns the number of files asked for; a small table ends up as one file.
+    The rows are written once to learn their size without the superseded ones, then in as many
+    files as that needs. Returns the number of files asked for.
     """
-    size = storage_stats(spark, source).first()["bytes"]
-    files = max(1, -(-size // target_bytes))
-    write_batch(read_latest(spark, source, schema, key, order).repartition(files), target, 0)
+    whole = scratch_path(spark, "latest")
+    rows = read_latest(spark, source, schema, key, order)
+    rows.write.parquet(whole)
+    files = max(1, -(-storage_stats(spark, whole).first()["bytes"] // target_bytes))
+    stored = spark.read.schema(rows.schema).parquet(whole)
+    write_batch(stored.coalesce(1) if files == 1 else stored.repartition(files, key), target, 0)
     return files
 
 
 def settle_check(spark: SparkSession, path: str, schema: StructType, key: str = "_agg_id",
-                 max_files: int = 1) -> DataFrame:
-    """One row: is the table fully compacted, so that its size may be compared?"""
+                 target_bytes: int = TARGET_BYTES) -> DataFrame:
+    """One row: is the table fully compacted, so that its size may be compared?
+
+    A compacted table has no superseded rows and no more files than its size needs.
+    """
     per_key = read_batches(spark, path, schema).groupBy(key).agg(F.count("*").alias("n"))
     rows = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("docs"))
     both = storage_stats(spark, path).unionByName(rows, allowMissingColumns=True).agg(
         *[F.max(c).alias(c) for c in ("files", "bytes", "rows", "docs")])
     return both.select(
         "files", "bytes", "docs", (F.col("rows") - F.col("docs")).alias("superseded"),
-        ((F.col("files") <= max_files) & (F.col("rows") == F.col("docs"))).alias("settled"))
+        ((F.col("files") <= F.greatest(F.lit(1), F.ceil(F.col("bytes") / target_bytes))) & (F.col("rows") == F.col("docs"))).alias("settled"))

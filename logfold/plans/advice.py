@@ -29,11 +29,11 @@ def recommend(normal: DataFrame, failure: DataFrame, max_loss: float, max_crash_
     """Per workload the strategy that saves most within both loss bounds.
 
     ``normal`` carries the ``forwarded`` column; ties go to fewer forwarded records, then to
-    the first name. Workloads where nothing qualifies keep NULLs.
+    the first name. Workloads where nothing qualifies, or whose crash loss is unknown, keep NULLs.
     """
     runs = with_failure(normal, failure)
     fits = (F.col("SRR").isNotNull() & (1 - F.col("IPR") <= max_loss)
-            & (F.coalesce(F.col("FLR"), F.lit(0.0)) <= max_crash_loss))
+            & F.coalesce(F.col("FLR") <= max_crash_loss, F.lit(False)))
     rank = F.when(fits, F.struct((-F.col("SRR")).alias("a"), F.col("forwarded").alias("b"),
                                  F.col("pipeline").alias("c")))
     pick = F.struct("pipeline", "SRR", "IPR", "FLR", "forwarded")

@@ -13,6 +13,7 @@ from logfold.operators.ranking import (CHUNK_ROWS, HOT_ROWS, chunk_window, join_
                                        rank_rows, with_neighbours)
 from logfold.plans.metrics import BASELINE, OUTLIER_FACTOR
 from logfold.plans.runs import PIPELINES
+from logfold.session import materialize
 
 CATEGORIES = ("low", "med", "high")
 GROUP = ["pipeline", "category"]
@@ -72,6 +73,14 @@ def exclusion_report(metrics: DataFrame) -> DataFrame:
     return join_small(excluded, counts, ["pipeline"]).withColumn("factor", F.lit(OUTLIER_FACTOR))
 
 
+def exclusion_summary(metrics: DataFrame) -> DataFrame:
+    """Excluded and all runs of every pipeline, clean ones included, and of ``all`` together."""
+    counts = materialize(metrics.groupBy("pipeline").agg(
+        F.count_if(~F.col("storage_valid")).alias("excluded"), F.count("*").alias("runs")), "exclusions")
+    both = counts.unionByName(counts.agg(F.lit("all").alias("pipeline"), F.sum("excluded").alias("excluded"), F.sum("runs").alias("runs")))
+    return both.withColumn("merged", F.col("excluded") == 0)
+
+
 def category_grid(metrics: DataFrame) -> DataFrame:
     """All pipelines and categories, whether or not there are runs: nine fixed rows."""
     cells = [(p, c) for p in PIPELINES for c in CATEGORIES]

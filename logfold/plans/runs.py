@@ -97,8 +97,7 @@ def fold_restarted(df: DataFrame, order: Sequence[str], cut: float = 0.5, worklo
     cuts = cut_points(df, [workload], order, cut, hot_rows=hot_rows).drop("rows")
     placed = join_small(df.select(workload, sig, size, *order), cuts, [workload])
     after = F.struct(*order) > F.struct(*[F.col(f"cut_{c}").alias(c) for c in order])
-    no_cut = F.col(f"cut_{order[0]}").isNull()
-    return fold_workloads(placed, workload, eps, sig, size, F.when(no_cut | after, 1).otherwise(0))
+    return fold_workloads(placed, workload, eps, sig, size, F.when(~F.col("has_cut") | after, 1).otherwise(0))
 
 
 def cumulative_runs(df: DataFrame, workload: str = "workload_id", sig: str = "sig",
@@ -133,5 +132,9 @@ def experiment_matrix(workloads: DataFrame, modes: Sequence[str] = ("clean_slate
 
 
 def missing_runs(matrix: DataFrame, runs: DataFrame) -> DataFrame:
-    """Expected runs without a result row."""
-    return matrix.join(runs, ["pipeline", "workload_id"], "left_anti")
+    """Expected runs without a result row.
+
+    A run counts for its own mode; runs without a ``mode`` column count for every mode.
+    """
+    keys = ["mode", "pipeline", "workload_id"] if "mode" in runs.columns else ["pipeline", "workload_id"]
+    return matrix.join(runs, keys, "left_anti")

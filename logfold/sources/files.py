@@ -37,15 +37,17 @@ def read_json_logs(spark: SparkSession, path: str, schema: StructType = EVENT_SC
 def parse_cri(lines: DataFrame, column: str = "value") -> DataFrame:
     """Split container log lines into time, stream, logtag and log.
 
-    The first three fields hold no blank, so a four-way split does it without a regex. Lines
-    of another format are dropped. Digits below a microsecond are cut off.
+    The first three fields hold no blank, so a four-way split does it without a regex. A line
+    of another format is kept whole in ``log``, with ``parsed`` false and the other fields NULL.
+    Digits below a microsecond are cut off.
     """
     part = F.col("_parts")
     rest = [c for c in lines.columns if c != column]
-    return (lines.withColumn("_parts", F.split(column, " ", 4))
-            .where((F.size(part) == 4) & (part[0] != "") & part[1].isin(*CRI_STREAMS))
-            .select(*rest, part[0].try_cast("timestamp").alias("time"), part[1].alias("stream"),
-                    part[2].alias("logtag"), part[3].alias("log")))
+    fits = F.coalesce((F.size(part) == 4) & (F.get(part, F.lit(0)) != "") & F.get(part, F.lit(1)).isin(*CRI_STREAMS), F.lit(False))
+    field = lambda i: F.when(F.col("parsed"), F.get(part, F.lit(i)))
+    return (lines.withColumn("_parts", F.split(column, " ", 4)).withColumn("parsed", fits)
+            .select(*rest, field(0).try_cast("timestamp").alias("time"), field(1).alias("stream"),
+                    field(2).alias("logtag"), F.coalesce(field(3), F.col(column)).alias("log"), "parsed"))
 
 
 def file_fields(path: Column) -> dict[str, Column]:
@@ -71,10 +73,11 @@ def read_cri_logs(spark: SparkSession, path: str, glob: str = "*.log",
 def read_docker_logs(spark: SparkSession, path: str, extra: StructType | None = None) -> DataFrame:
     """JSON lines whose ``time`` is the event time; log and stream are the usual other fields.
 
-    A time without a zone is UTC.
+    A time without a zone is UTC. A line that does not parse is kept in ``_corrupt``.
     """
     schema = extra or StructType([StructField("log", StringType()), StructField("stream", StringType())])
-    raw = spark.read.schema(StructType([StructField("time", StringType())] + schema.fields)).json(path)
+    full = StructType([StructField("time", StringType()), *schema.fields, StructField("_corrupt", StringType())])
+    raw = spark.read.schema(full).option("columnNameOfCorruptRecord", "_corrupt").json(path)
     zoned = F.when(F.col("time").rlike("(Z|[+-][0-9]{2}:?[0-9]{2})$"), F.col("time")).otherwise(
         F.concat("time", F.lit("Z")))
     return raw.withColumn("time", zoned.try_cast("timestamp"))
@@ -107,9 +110,10 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
         value = F.trim(F.col(item.name))
         if item.name == "settled":
             value = F.lower(value) != "false"
-        if isinstance(item.dataType, (IntegerType, LongType)):
-            value = value.try_cast("double")
-        columns.append(value.try_cast(item.dataType).alias(item.name))
+        exact = value.try_cast(item.dataType)
+        if isinstance(item.dataType, (IntegerType, LongType)):  # a double holds whole numbers up to 2^53 only
+            exact = F.coalesce(exact, value.try_cast("double").try_cast(item.dataType))
+        columns.append(exact.alias(item.name))
     return raw.select(*columns)
 
 

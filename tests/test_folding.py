@@ -73,6 +73,8 @@ def test_amplify_keeps_its_promise(spark, ratio, salt_rows, hot_rows):
     assert sorted(r.position for r in rows) == list(range(400))
     assert len({r.doc for r in rows}) == distinct_target(400, ratio)
     assert len({r.timestamp for r in rows}) == 400
+    with pytest.raises(ValueError, match="distinct"):
+        amplify_duplicates(base.limit(3), ["doc"], 400, 0.5)
     plain = amplify_duplicates(base, ["doc"], 400, ratio).collect()
     assert {(r.position, r.doc) for r in plain} == {(r.position, r.doc) for r in rows}
     check = advice.validate_contract(out.select(F.col("doc").cast("string").alias("sig")), 400, ratio).first()

@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -72,7 +73,7 @@ def test_letters(spark):
             out = chr(97 + rest) + out
         return out
 
-    numbers = [0, 25, 26, 27, 51, 52, 701, 702, 18277, 18278, 475253, 475254, 10 ** 12, 2 ** 62]
+    numbers = [0, 25, 26, 27, 51, 52, 701, 702, 18277, 18278, 475253, 475254, 26 ** 6, 321272406, 12356630, 10 ** 12, 2 ** 62, 2 ** 63 - 1]
     assert values(column(spark, numbers, "long"), S.letters("v")) == [token(n) for n in numbers]
 
 
@@ -172,3 +173,11 @@ def test_no_schedule_without_growth(spark):
     with pytest.raises(ValueError):
         emission_counts(1e-9)
     assert math.isclose(len(emission_counts(1e-9, 1000)), 1000)
+
+
+def test_many_masking_rules_plan_quickly(spark):
+    rules = [(f"word{k}", "{W}", f"ord{k}") for k in range(30)] + [(r"\{W\}!", "{E}", "{W}")]
+    df = spark.createDataFrame([("word3 word29 word7! else",)], "message string")
+    start = time.time()
+    assert K.with_template(df, F.col("message"), rules).first().template == "{W} {W}9 {E} else"
+    assert time.time() - start < 20

@@ -228,6 +228,8 @@ def test_missing_runs(spark):
     done = spark.createDataFrame([("A", 1), ("B", 1), ("C", 1), ("A", 2)], "pipeline string, workload_id int")
     lacking = runs.missing_runs(matrix, done)
     assert {(r.pipeline, r.workload_id) for r in lacking.collect()} == {("B", 2), ("C", 2)} and lacking.count() == 4
+    lacking = runs.missing_runs(matrix, done.withColumn("mode", F.lit("failure")))
+    assert lacking.count() == 8 and lacking.where("mode = 'clean_slate'").count() == 6
 
 
 def test_duplication(spark):

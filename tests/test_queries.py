@@ -4,6 +4,8 @@ import compare
 import pytest
 
 import __spark_entry__ as contract
+from logfold.catalog.oracles import ORACLES
+from logfold.catalog.queries import QUERIES
 
 WITHOUT_SQL = {"compact", "storage_stats"}
 
@@ -14,7 +16,7 @@ def con(small):
 
 
 def test_all_queries_have_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 

@@ -32,13 +32,16 @@ def test_cri_logs(spark, tmp_path):
         "2025-01-01T00:00:00Z stdin F no", "garbage", "2025-01-01T00:00:00Z stdout F " + "x" * 500])
     write(tmp_path / "other.txt", ["2025-01-01T00:00:00Z stdout F skipped"])
     logs = files.read_cri_logs(spark, str(tmp_path), files.WORKLOAD_GLOB, 400)
-    rows = logs.select(F.unix_micros("time").alias("us"), "stream", "logtag", "log", "tag", "kubernetes").collect()
+    every = logs.select(F.unix_micros("time").alias("us"), "stream", "logtag", "log", "tag", "kubernetes", "parsed").collect()
+    assert [(r.us, r.stream, r.logtag, r.log) for r in every if not r.parsed] == [
+        (None, None, None, "2025-01-01T00:00:00Z stdin F no"), (None, None, None, "garbage")]
+    rows = [r for r in every if r.parsed]
     assert [(r.us - 1735689600000000, r.stream, r.logtag, r.log) for r in rows] == [
         (123456, "stdout", "F", json.dumps(EVENT)), (500000, "stderr", "P", " two  blanks"), (0, "stdout", "F", "")]
     assert rows[0].tag.startswith("kube.") and rows[0].tag.endswith("." + name)
     assert rows[0].kubernetes.asDict() == {"pod_name": "log-workload-ab12", "namespace_name": "default",
                                            "container_name": "emitter", "container_id": "0123abcd"}
-    merged = shaping.lift(shaping.merge_json(logs, "log", files.EVENT_SCHEMA), "kubernetes", "k8s_")
+    merged = shaping.lift(shaping.merge_json(logs.where("parsed"), "log", files.EVENT_SCHEMA), "kubernetes", "k8s_")
     rows = merged.orderBy(F.desc("component"), F.desc("message")).collect()
     assert (rows[0].message, rows[0].component, rows[0].k8s_pod_name) == (EVENT["message"], "info", "log-workload-ab12")
     assert (rows[1].message, rows[1].level) == (" two  blanks", None)
@@ -54,6 +57,25 @@ def test_merge_json_edge_cases(spark):
     assert "log" in shaping.merge_json(df, "log", schema, keep=True).columns
 
 
+def test_merge_json_loses_nothing(spark):
+    schema = StructType([StructField("message", StringType()), StructField("n", LongType())])
+    df = spark.createDataFrame([('{"message":"m","n":"abc","x":{"y":1}}',), ('{"n":3}',)], "log string")
+    rows = shaping.merge_json(df, "log", schema).collect()
+    assert [tuple(r) for r in rows] == [("m", None, '{"n":"abc","x":"{\\"y\\":1}"}'), (None, 3, None)]
+
+
+def test_docker_line_that_does_not_parse(spark, tmp_path):
+    write(tmp_path / "a.log", ["not json", json.dumps({"time": "2025-01-01T00:00:00", "log": "m"})])
+    rows = files.read_docker_logs(spark, str(tmp_path)).collect()
+    assert sorted((r.log or "", r._corrupt or "") for r in rows) == [("", "not json"), ("m", "")]
+
+
+def test_runs_keep_large_whole_numbers(spark, tmp_path):
+    write(tmp_path / "runs.csv", ["pipeline,workload_id,seed,N,M", "A,1,9007199254740993,9007199254740993,2.0"])
+    row = files.read_runs(spark, str(tmp_path)).first()
+    assert (row.seed, row.N, row.M) == (9007199254740993, 9007199254740993, 2)
+
+
 def test_docker_logs(spark, tmp_path):
     write(tmp_path / "a.log", [json.dumps({"time": "2025-01-01T00:00:00.250", "log": "l", "stream": "stdout"}),
                                json.dumps({"time": "2025-01-01T02:00:00.250+02:00", "log": "m"})])
