@@ -16,7 +16,6 @@ from logfold.session import materialize
 HOT_ROWS = 4_000_000
 HOT_KEYS = 100_000
 CHUNK_ROWS = 1_000_000
-MEDIAN_ROWS = 1_000_000
 
 
 def join_back(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -157,18 +156,19 @@ def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "med
                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """Exact median per group; NULLs do not count.
 
-    Groups of checked size use the built-in aggregate, which holds a group's distinct values
-    in memory. Beyond that the one or two middle rows are found by rank.
+    Equal values are counted before they are shuffled, so a value that most rows share is one
+    row. The middle lies where the running count of the distinct values reaches it.
     """
     keys = list(keys)
-    values = df.where(F.col(value).isNotNull()).select(*keys, value)
-    counts = values.groupBy(*keys).agg(F.count("*").alias("_size"))
-    if (counts.agg(F.max("_size")).first()[0] or 0) <= min(hot_rows, MEDIAN_ROWS):
-        return values.groupBy(*keys).agg(F.median(value).alias(out))
-    ranked = rank_rows(values, keys, [value], "_n", hot_rows)
-    middle = join_small(ranked, counts, keys).where(
-        (F.col("_n") == F.floor((F.col("_size") + 1) / 2)) | (F.col("_n") == F.floor(F.col("_size") / 2) + 1))
-    return middle.groupBy(*keys).agg(F.avg(value).alias(out))
+    times = materialize(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_times")), "times")
+    sizes = times.groupBy(*keys).agg(F.sum("_times").alias("_size"))
+    upto = running_sums(times.withColumn("_own", F.col("_times")), keys, [value], {"_upto": "_own"}, hot_rows=hot_rows)
+    since = F.col("_upto") - F.col("_times")
+    holds = lambda at: (at > since) & (at <= F.col("_upto"))
+    low, high = F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1
+    middle = join_small(upto, sizes, keys)
+    return middle.groupBy(*keys).agg(
+        ((F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2).alias(out))
 
 
 def cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], fraction: float,

@@ -99,3 +99,10 @@ def test_pick_rows(skewed):
         group = sorted((t, i) for k, t, i in rows if k == key)
         assert last[key] == (*group[-1], len(group))
         assert first[key] == group[0]
+
+
+def test_median_of_equal_values_counts_them_before_the_shuffle(spark):
+    df = spark.range(20_000).select(F.lit(1).alias("k"), F.when(F.col("id") < 19_999, 7.0).otherwise(9.0).alias("v"))
+    assert R.group_median(df, ["k"], "v", "m", 1000).collect()[0].m == 7.0
+    even = spark.createDataFrame([(1, 1), (1, 2), (2, None), (2, 5)], "k int, v int")
+    assert {r.k: r.m for r in R.group_median(even, ["k"], "v", "m").collect()} == {1: 1.5, 2: 5.0}
