@@ -269,18 +269,20 @@ def train(kind: np.ndarray, code: np.ndarray, length: np.ndarray, count: np.ndar
     return Model(weights, table)
 
 
-_PLACES = "array<struct<kind:int,start:long,end:long,votes:int,length:int>>"
+_PLACES_TYPE = "array<struct<kind:int,start:long,end:long,votes:int,length:int>>"
+
+
+def _places(texts: pa.Array) -> list[list[dict]]:
+    """The candidates of each text; a cheap look by Arrow leaves most texts alone."""
+    maybe = pc.match_substring_regex(texts, "[0-9@=]|[A-Z][a-z]+ (?:[A-Z]\\. )?[A-Z][a-z]").to_pylist()
+    return [[s._asdict() for s in candidates(x, base_spans(x))] if hit else [] for x, hit in zip(texts.to_pylist(), maybe, strict=True)]
 
 
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace the last column, _text, by its candidates."""
     fields = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("votes", pa.int32()), ("length", pa.int32())]))
     for batch in slices(batches, "_text"):
-        texts = batch.column("_text")
-        # a cheap look by Arrow leaves most texts alone
-        maybe = pc.match_substring_regex(texts, "[0-9@=]|[A-Z][a-z]+ (?:[A-Z]\\. )?[A-Z][a-z]").to_pylist()
-        found = [[s._asdict() for s in candidates(x, base_spans(x))] if hit else [] for x, hit in zip(texts.to_pylist(), maybe, strict=True)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(found, fields)],
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(_places(batch.column("_text")), fields)],
                                          names=[*batch.schema.names[:-1], "places"])
 
 
@@ -311,7 +313,7 @@ def _chooser(model: Model) -> Callable[[list[dict]], list[dict]]:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and spans; one row per document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    proposed = docs.select("doc_id", text_of().alias("_text")).mapInArrow(_propose, f"doc_id {kind}, places {_PLACES}")
+    proposed = docs.select("doc_id", text_of().alias("_text")).mapInArrow(_propose, f"doc_id {kind}, places {_PLACES_TYPE}")
     proposed = materialize(proposed, "places")
     model = fit(proposed)
 
@@ -342,18 +344,15 @@ def masked(text: str, places: list[dict]) -> str:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with personal data replaced by its kind; n_chars, if there is such a column, follows the text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    proposed = docs.select("doc_id", text_of().alias("_text")).mapInArrow(_propose, f"doc_id {kind}, places {_PLACES}")
+    proposed = docs.select("doc_id", text_of().alias("_text")).mapInArrow(_propose, f"doc_id {kind}, places {_PLACES_TYPE}")
     model = fit(proposed.select("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         choose = _chooser(model)
         for batch in slices(batches, "text"):
             text = pc.fill_null(batch.column("text"), "")
-            marked = next(_propose(iter([pa.RecordBatch.from_arrays([text], names=["_text"])])), None) if batch.num_rows == 1 else pa.concat_tables(
-                [pa.Table.from_batches([b]) for b in _propose(iter([pa.RecordBatch.from_arrays([text], names=["_text"])]))]).combine_chunks()
-            places = marked.column("places").to_pylist()
             new = pa.array([None if old is None else masked(old, choose(own)) if own else old
-                            for old, own in zip(batch.column("text").to_pylist(), places, strict=True)], batch.schema.field("text").type)
+                            for old, own in zip(batch.column("text").to_pylist(), _places(text), strict=True)], batch.schema.field("text").type)
             columns = {n: batch.column(n) for n in batch.schema.names} | {"text": new}
             if "n_chars" in columns:
                 size = pc.utf8_length(new).cast(columns["n_chars"].type)

@@ -56,16 +56,3 @@ def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array
         offsets = np.concatenate(([0], np.cumsum(real)))[offsets]
         codes = codes[real]
     return codes, known, offsets
-
-
-def cut(count: int, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    for row in range(count):
-        yield row, int(offsets[row]), int(offsets[row + 1])
-
-
-def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
-    """The Arrow schema of a DDL schema, for mapInArrow functions."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
