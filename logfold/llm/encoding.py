@@ -33,7 +33,7 @@ def vocabulary(name: str) -> str:
 class WordEncoder:
     """Ids of texts as one flat array; remembers the words it has met, up to ``most`` of them."""
 
-    def __init__(self, file: str = "word_bpe_49k.json", most: int = 800_000):
+    def __init__(self, file: str = "word_bpe_49k.json", most: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary(file))

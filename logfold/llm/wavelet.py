@@ -54,11 +54,10 @@ class WaveletMatrix:
         symbols = number[ids]
         packed, counts = [], []
         for level in range(max(1, int(len(alphabet) - 1).bit_length()) - 1, -1, -1):
-            bits = (symbols >> level) & 1 == 1
+            bits = (symbols & symbols.dtype.type(1 << level)) != 0
             packed.append(np.packbits(bits))
-            whole = np.zeros(-(-len(bits) // BLOCK) * BLOCK, np.uint8)
-            whole[:len(bits)] = bits
-            counts.append(np.concatenate(([0], np.cumsum(whole.reshape(-1, BLOCK).sum(axis=1, dtype=np.uint32)))).astype(np.uint32))
+            ones = np.bitwise_count(np.pad(packed[-1], (0, -len(packed[-1]) % (BLOCK // 8)))).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32)
+            counts.append(np.concatenate(([0], np.cumsum(ones))).astype(np.uint32))
             symbols = np.concatenate((symbols[~bits], symbols[bits]))
         return cls(alphabet, len(ids), packed, counts, doc_ids, present, sizes)
 
@@ -180,7 +179,7 @@ def shards(docs: DataFrame, file: str = "word_bpe_49k.json", most: int = SHARD)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": [seq], "n_tokens": [matrix.length],
                                                "n_docs": [len(names)], "payload": [matrix.to_bytes()]})
 
-        for batch in slices(batches, "_text", 2 << 20):
+        for batch in slices(batches, "_text"):
             flat, offsets = word_encoder(file).encode(batch.column("_text"), END)
             ids.append(flat)
             sizes.append(np.diff(offsets))
