@@ -41,7 +41,11 @@ KEPT, SHARED = 64, 32
 #: Nodes in an inverted list that gives all its pairs.
 SHORT = 12
 #: Nodes that a longer list compares with all others, in the first and the second round.
-CENTRES = (1, 6)
+CENTRES = (1, 12)
+#: Values that members of a long list are compared by, and those that large similar sets share of them at least.
+FINE, FINE_SHARED = 160, 100
+#: Nodes of a long list for each part that it is dealt into.
+PART = 128
 #: Nodes with a list that share a file of the tables about them.
 FILE_ROWS = 20_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -126,6 +130,11 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def _fine(items: str) -> Column:
+    """The lowest ``FINE`` hashes of a whole set, as 32-bit numbers."""
+    return F.transform(F.slice(items, 1, FINE), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+
+
 class _Comparer:
     """Estimates and confirms pairs of nodes, and keeps the component of every node that has a list."""
 
@@ -195,7 +204,30 @@ def _centre_pairs(members: DataFrame, centres: int) -> DataFrame:
     own = members.join(split, "value")
     order = F.row_number().over(Window.partitionBy("value").orderBy(F.xxhash64("node", "value")))
     chosen = own.filter("component <> most").withColumn("order", order).filter(F.col("order") <= centres)
-    return chosen.select("value", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("rare").alias("ra"))
+    return chosen.select("value", *(F.col(k).alias(f"{k}a") for k in _SIDE))
+
+
+#: What a member of a long list brings to a comparison.
+_SIDE = ("node", "component", "n", "shared", "fine")
+
+
+def _close_members(chosen: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of chosen and other members of a list that may be similar, each pair in the first of its long lists.
+
+    The test is part of the join, so pairs that fail are never rows. For sets of up to ``FINE`` shingles it is exact
+    but for collisions of 32-bit hashes, which can only let more pairs through.
+    """
+    # a long list is dealt over tasks: the chosen by their number, the others once for each part
+    parts = members.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / PART).cast("long").alias("parts"))
+    chosen = chosen.join(parts, "value").withColumn("part", F.pmod(F.xxhash64("nodea"), F.col("parts"))).drop("parts")
+    others = members.join(parts, "value").select("value", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+                                                 *(F.col(k).alias(f"{k}b") for k in _SIDE))
+    both = F.size(F.array_intersect("finea", "fineb"))
+    small = (F.col("na") <= FINE) & (F.col("nb") <= FINE)
+    near = F.when(small, 100 * both >= percent * (F.col("na") + F.col("nb") - both)).otherwise(both >= FINE_SHARED)
+    first = F.element_at(F.array_intersect("shareda", "sharedb"), 1) == F.col("value")
+    test = (F.col("componenta") != F.col("componentb")) & _alike(F.col("na"), F.col("nb"), percent) & first & near
+    return chosen.join(others, ["value", "part"]).filter(test).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
@@ -216,20 +248,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     # a short list costs all its pairs, a long one starts with one centre
     centre = long_lists.groupBy("value").agg(F.min_by("node", F.xxhash64("node", "value")).alias("a"))
     comparer.compare(_short_pairs(lists).union(long_lists.join(centre, "value").filter("a <> node").select("a", F.col("node").alias("b"))).distinct())
-    for centres in (CENTRES[1], None):
-        members = comparer.written(comparer.label(long_lists.join(rare.select("node", "rare"), "node")), "members")
-        if members.isEmpty():
-            break
-        chosen = _centre_pairs(members, centres or 1 << 62)
-        others = members.select("value", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("rare").alias("rb"))
-        first = F.element_at(F.array_intersect("ra", "rb"), 1) == F.col("value")  # each pair in one of its lists
-        new = chosen.join(others, "value").filter((F.col("ca") != F.col("cb")) & _alike(F.col("na"), F.col("nb"), percent))
-        if centres is None:
-            new = new.filter(first)
-        new = comparer.written(new.select("a", "b").distinct(), "pairs")
-        if new.isEmpty():
-            break
-        comparer.compare(new)
+    # lists with much the same nodes mostly have the same lowest node by a hash: they become one, with all their nodes
+    lowest = long_lists.groupBy("value").agg(F.min_by("node", F.xxhash64("node")).alias("list"))
+    long_lists = comparer.written(long_lists.join(lowest, "value").select(F.col("list").alias("value"), "node", "n").distinct(), "merged")
+    shared = long_lists.groupBy("node").agg(F.sort_array(F.collect_list("value")).alias("shared"))
+    sides = comparer.written(shared.join(comparer.sets.select("node", _fine("items").alias("fine")), "node"), "sides")
+    for centres in (CENTRES[1], 1 << 62):
+        members = comparer.label(long_lists.select("node", "value", "n")).join(sides, "node")
+        new = comparer.written(_close_members(_centre_pairs(members, centres), members, percent).distinct(), "pairs")
+        if not new.isEmpty():
+            comparer.compare(new)
     named = groups.join(comparer.labels, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
     slim = rows.select("doc_id", *key)
     out = slim.join(named.select(*key, "component_id"), key, "left")

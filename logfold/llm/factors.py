@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from logfold.llm.texts import slices, text_of, words_of
 from logfold.session import materialize
@@ -173,8 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict[st
     return {**model, "v": model["v"].reshape(SIZE, FACTORS)}
 
 
-def scored(rows: DataFrame, schema: str, model: dict[str, np.ndarray]) -> DataFrame:
+def scored(rows: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """Replace the last column, _text, by the score."""
+    schema = StructType([*rows.schema.fields[:-1], StructField("score", DoubleType())])
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,13 +185,13 @@ def scored(rows: DataFrame, schema: str, model: dict[str, np.ndarray]) -> DataFr
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(values)],
                                              names=[*batch.schema.names[:-1], "score"])
 
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted; one row per document."""
     rows = docs.select("doc_id", text_of().alias("_text"))
-    out = scored(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", fit(docs, labels, max_rows))
+    out = scored(rows, fit(docs, labels, max_rows))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
@@ -197,4 +199,4 @@ def filter_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROW
     """The documents with a score of at least ``GOOD``, with their own columns."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     rows = docs.select(row, text_of().alias("_text"))
-    return scored(rows, f"_row {docs.schema.simpleString()}", fit(docs, labels, max_rows)).filter(F.col("score") >= GOOD).select("_row.*")
+    return scored(rows, fit(docs, labels, max_rows)).filter(F.col("score") >= GOOD).select("_row.*")

@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from logfold.llm.texts import slices, text_of, words_of
@@ -170,6 +171,6 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     slim = docs.select(row, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_lang"),
                        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), text_of().alias("_text"))
-    kind = docs.schema.simpleString()
-    measured = slim.mapInArrow(_count, f"_row {kind}, _lang string, _source string, {COUNTS}")
+    # a schema object, as column names may hold anything
+    measured = slim.mapInArrow(_count, StructType([*slim.schema.fields[:-1], *StructType.fromDDL(COUNTS).fields]))
     return judge(measured, bounds).filter("kept").select("_row.*")
