@@ -45,7 +45,7 @@ CENTRES = (1, 12)
 #: Values that members of a long list are compared by, and those that large similar sets share of them at least.
 FINE, FINE_SHARED = 160, 100
 #: Nodes of a long list for each part that it is dealt into.
-PART = 128
+PART = 512
 #: Nodes with a list that share a file of the tables about them.
 FILE_ROWS = 20_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -150,7 +150,7 @@ class _Comparer:
         self.labels = self.written(wanted.select("node", F.col("node").alias("component")), "labels")
 
     def written(self, rows: DataFrame, name: str) -> DataFrame:
-        return materialize(rows.coalesce(self.files), name)
+        return materialize(rows.repartition(self.files), name)
 
     def label(self, rows: DataFrame, end: str = "node", name: str = "component") -> DataFrame:
         """Add the component of a node."""

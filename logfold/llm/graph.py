@@ -16,7 +16,7 @@ def components(links: DataFrame, files: int | None = None) -> DataFrame:
     that adaptive execution can split. ``files`` is the number of files of a written table, for links that are known
     to be few.
     """
-    written = lambda df, name: materialize(df.coalesce(files) if files else df, name)
+    written = lambda df, name: materialize(df.repartition(files) if files else df, name)
     ends = written(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "ends")
     labels = written(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels")
     while True:
