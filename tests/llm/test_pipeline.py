@@ -23,8 +23,11 @@ def test_stages(spark):
 
 
 def test_odd_tables(spark, odd_docs, no_docs, tmp_path):
-    labels = spark.createDataFrame([(3, 1, 0), (5, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int")
-    for k, docs in enumerate((odd_docs, no_docs)):
+    labels = spark.createDataFrame([(5, 0, 0), (6, 0, 0), (10, 0, 0), (None, None, None), *((1000 + k, 1, 0) for k in range(30))],
+                                   "doc_id long, quality int, toxic int")
+    # the odd texts are all too short or repeat themselves: some plain ones are left
+    plain = [(1000 + k, " ".join(f"w{k}ord{i}" for i in range(80)), "en", "s", 1, None, None, None) for k in range(30)]
+    for k, docs in enumerate((odd_docs.union(spark.createDataFrame(plain, odd_docs.schema)), no_docs)):
         folder = str(tmp_path / str(k))
         labels.write.parquet(f"{folder}/labels.parquet")
         docs.write.parquet(f"{folder}/documents.parquet")
