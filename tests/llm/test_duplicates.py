@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from logfold.llm import bottomk, descent, graph
 
@@ -136,3 +137,22 @@ def test_vector_links_equal_brute_force(spark):
     want = brute_vectors(rows)
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out} == want
     assert descent.near_vectors(table.limit(0)).collect() == []
+
+
+def crowded(draw):
+    """Two groups of more vectors than a list holds whose only links to each other are their weakest, and pairs without other neighbours."""
+    first, second, *others = np.linalg.qr(draw.normal(size=(64, 64)))[0]
+    turn = np.arccos(0.985)
+    second = np.cos(turn) * first + np.sin(turn) * second
+    rows = [v for base in (first, second) for v in vectors(draw, base, 150, 0.004)]
+    for base in others[:30]:
+        rows += [base, vectors(draw, base, 1, 0.19)[0]]
+    return [(k, v.tolist(), 0) for k, v in enumerate(rows)]
+
+
+@pytest.mark.parametrize("whole", [0, descent.WHOLE])
+def test_links_beyond_full_lists(spark, monkeypatch, whole):
+    monkeypatch.setattr(descent, "WHOLE", whole, raising=False)
+    rows = crowded(np.random.default_rng(4))
+    out = descent.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out} == brute_vectors(rows)
