@@ -156,3 +156,23 @@ def test_links_beyond_full_lists(spark, monkeypatch, whole):
     rows = crowded(np.random.default_rng(4))
     out = descent.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out} == brute_vectors(rows)
+
+
+def test_audit_sees_small_groups(spark):
+    # a large group that is found outweighs the links of a pair that is not
+    draw = np.random.default_rng(8)
+    base, other = np.linalg.qr(draw.normal(size=(24, 2)))[0].T
+    x = [*vectors(draw, base, 300, 0.05), other, vectors(draw, other, 1, 0.1)[0]]
+    table = spark.createDataFrame([(k, "g", v.tolist(), len(x)) for k, v in enumerate(x)], "id long, grp string, x array<float>, group_size long")
+    labels = spark.createDataFrame([(k, 0) for k in range(300)], "node long, component long")
+    assert [tuple(r) for r in descent.audit(table, labels).collect()] == [("g", 0.0)]
+    alone = table.filter("id in (0, 300)")
+    assert descent.audit(alone, labels).collect() == []
+
+
+def test_label_that_cannot_be_settled_is_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(descent, "WHOLE", 0)
+    monkeypatch.setattr(descent, "ROUNDS", 0)
+    rows = crowded(np.random.default_rng(9))
+    out = descent.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out} == brute_vectors(rows)
