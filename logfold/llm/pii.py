@@ -46,8 +46,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TEL = re.compile(r"(?<![0-9A-Za-z+.(-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z-])")
 SSN = re.compile(r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
-SECRET = re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abp]-[0-9A-Za-z-]{10,}|[0-9a-f]{32,64}"
-                    r"|(?<==)[^\s\"'=]{8,64}|(?<== \")[^\s\"']{8,64}|(?<=: \")[^\s\"']{8,64})(?![0-9A-Za-z])")
+# no upper bounds: the end of a run of its characters ends a secret
+SECRET = re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abp]-[0-9A-Za-z-]{10,}|[0-9a-f]{32,}"
+                    r"|(?<==)[^\s\"'=]{8,}|(?<== \")[^\s\"']{8,}|(?<=: \")[^\s\"']{8,})(?![0-9A-Za-z])")
 #: Overlapping proposals: every pair of neighbours is looked at.
 NAME = re.compile(r"(?<![0-9A-Za-z])(?=([A-Z][a-z]+ (?:[A-Z]\. )?[A-Z][a-z]+(?![0-9A-Za-z])))")
 

@@ -1,6 +1,7 @@
 """License scans and personal data against plain Python."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -117,3 +118,16 @@ def test_reliabilities_are_recovered():
     assert np.abs(says - right).max() < 0.05
     found = dict(zip(code.tolist(), true, strict=True))
     assert np.mean((np.array([found[c] for c in ((votes + 1) * 3 ** np.arange(4)).sum(axis=1)]) > 0.5) == truth) > 0.93
+
+
+def test_long_secrets_are_masked_whole(spark):
+    draw = random.Random(2)
+    made = lambda n, own="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(draw.choices(own, k=n))
+    secrets = [f"{made(36)}.{made(52)}.{made(42)}", made(87), made(87), made(128, "0123456789abcdef"), "ghp_" + made(60), made(50_000)]
+    texts = [x.format(s) for x, s in zip(["token={} end", 'the api_key: "{}" end', "secret={}", "key {} end", "token {} end", "secret={} end"], secrets, strict=True)]
+    for text, secret in zip(texts, secrets, strict=True):
+        spans = [text[s.start:s.end] for s in pii.candidates(text, pii.base_spans(text)) if pii.KINDS[s.kind] == "secret"]
+        assert spans == [secret]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert out[0] == "token=[SECRET] end" and out[1] == 'the api_key: "[SECRET]" end' and out[2] == "secret=[SECRET]" and out[5] == "secret=[SECRET] end"
