@@ -49,6 +49,9 @@ IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[
 # no upper bounds: the end of a run of its characters ends a secret
 SECRET = re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abp]-[0-9A-Za-z-]{10,}|[0-9a-f]{32,}"
                     r"|(?<==)[^\s\"'=]{8,}|(?<== \")[^\s\"']{8,}|(?<=: \")[^\s\"']{8,})(?![0-9A-Za-z])")
+#: What every secret holds or follows, and what any span holds or follows; read by Arrow too.
+SECRET_LOOK = "[0-9=\"]|AKIA|gh[pousr]_|xox[abp]-|[a-f]{32}"
+LOOK = SECRET_LOOK + "|@|[A-Z][a-z]+ (?:[A-Z]\\. )?[A-Z][a-z]"
 #: Overlapping proposals: every pair of neighbours is looked at.
 NAME = re.compile(r"(?<![0-9A-Za-z])(?=([A-Z][a-z]+ (?:[A-Z]\. )?[A-Z][a-z]+(?![0-9A-Za-z])))")
 
@@ -125,6 +128,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 _ANY_DIGIT = re.compile("[0-9]")
+_MAYBE_SECRET = re.compile(SECRET_LOOK)
 _WORD = re.compile("[A-Za-z]+")
 
 
@@ -192,8 +196,8 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[Span]:
     taken = [(s, e) for _, s, e in base]
     proposals: list[tuple[int, re.Pattern]] = []
     if _ANY_DIGIT.search(text):
-        proposals += [(4, TEL), (5, SSN), (6, IBAN), (7, SECRET)]
-    elif "=" in text or '"' in text:
+        proposals += [(4, TEL), (5, SSN), (6, IBAN)]
+    if _MAYBE_SECRET.search(text):
         proposals.append((7, SECRET))
     proposals.append((8, NAME))
     for kind, pattern in proposals:
@@ -275,7 +279,7 @@ _PLACES_TYPE = "array<struct<kind:int,start:long,end:long,votes:int,length:int>>
 
 def _places(texts: pa.Array) -> list[list[dict]]:
     """The candidates of each text; a cheap look by Arrow leaves most texts alone."""
-    maybe = pc.match_substring_regex(texts, "[0-9@=]|[A-Z][a-z]+ (?:[A-Z]\\. )?[A-Z][a-z]").to_pylist()
+    maybe = pc.match_substring_regex(texts, LOOK).to_pylist()
     return [[s._asdict() for s in candidates(x, base_spans(x))] if hit else [] for x, hit in zip(texts.to_pylist(), maybe, strict=True)]
 
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from logfold.llm import licenses, pii
 from logfold.llm.queries import QUERIES
@@ -131,3 +132,15 @@ def test_long_secrets_are_masked_whole(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
     assert out[0] == "token=[SECRET] end" and out[1] == 'the api_key: "[SECRET]" end' and out[2] == "secret=[SECRET]" and out[5] == "secret=[SECRET] end"
+
+
+def test_cheap_look_lets_every_proposal_through():
+    texts = ['password: "correcthorsebattery"', 'the password = "correcthorsebattery" it is', "pwd=correcthorsebattery", "token ghp_" + "abcdefghijkl" * 3, "xoxb-abcdefghijkl",
+             "AKIA" + "ABCDEFGH" * 2, "key " + "abcdef" * 6, "mail x@y.z", "by Ada B. Lovelace", "dear Ada Lovelace", "call 212-456-7890"]
+    spans = [[(p["kind"], x[p["start"]:p["end"]]) for p in own] for x, own in zip(texts, pii._places(pa.array(texts)), strict=True)]
+    assert all(spans), spans
+    assert spans[0] == [(7, "correcthorsebattery")]
+    # a digit elsewhere changes nothing
+    for x, own in zip(texts, spans, strict=True):
+        later = [(p["kind"], (x + " 1")[p["start"]:p["end"]]) for p in pii._places(pa.array([x + " 1"]))[0]]
+        assert later == own
