@@ -15,8 +15,8 @@ For sets of up to ``KEPT`` shingles the overlap bound is exact. For larger sets
 their values where 0.8 is expected: below that with a probability under 1e-6, for a pair exactly at the limit.
 
 Null and empty texts, or texts without words: size 0, linked with nothing, kept. Fewer words than a shingle: the
-sequence as one shingle. Documents are identified by doc_id: rows that share one are one node. A null doc_id joins
-the component of its copies; without such copies it is kept with a null component. Very long texts are read
+sequence as one shingle. Documents are identified by doc_id: rows that share one are in one component, which links
+the near copies of each of their texts. A null doc_id joins the component of its copies; without such copies it is kept with a null component. Very long texts are read
 whole. An empty table gives an empty result.
 """
 
@@ -84,19 +84,21 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
 
 
+def _identity(rows: list[np.ndarray]) -> list[pa.Array]:
+    """The size and the two sums of each set."""
+    with np.errstate(over="ignore"):
+        return [pa.array(np.array(x, np.int64)) for x in (
+            [len(own) for own in rows], [own.sum(dtype=np.int64) for own in rows],
+            [_mix(own.view(np.uint64)).view(np.int64).sum(dtype=np.int64) for own in rows])]
+
+
 def sketches(docs: DataFrame, words: int = 4) -> DataFrame:
     """doc_id, n, s1, s2 (which identify the set) and the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            n, s1, s2, kept = [], [], [], []
-            with np.errstate(over="ignore"):
-                for own in shingle_sets(batch.column("_text"), words):
-                    n.append(len(own))
-                    s1.append(own.sum(dtype=np.int64))
-                    s2.append(_mix(own.view(np.uint64)).view(np.int64).sum(dtype=np.int64))
-                    kept.append(own[:KEPT])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.array(x, np.int64)) for x in (n, s1, s2)), _lists(kept)],
+            own = list(shingle_sets(batch.column("_text"), words))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_identity(own), _lists([x[:KEPT] for x in own])],
                                              names=["doc_id", "n", "s1", "s2", "sketch"])
 
     return docs.select("doc_id", text_of().alias("_text")).mapInArrow(
@@ -104,13 +106,14 @@ def sketches(docs: DataFrame, words: int = 4) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, words: int = 4) -> DataFrame:
-    """node and its whole set; docs has node and _text."""
+    """first, n, s1, s2 and the whole set; docs has first and _text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(list(shingle_sets(batch.column("_text"), words)))], names=["node", "items"])
+            own = list(shingle_sets(batch.column("_text"), words))
+            yield pa.RecordBatch.from_arrays([batch.column("first"), *_identity(own), _lists(own)], names=["first", "n", "s1", "s2", "items"])
 
-    return docs.mapInArrow(run, "node long, items array<long>")
+    return docs.mapInArrow(run, "first long, n long, s1 long, s2 long, items array<long>")
 
 
 def rare_values(nodes: DataFrame, percent: int) -> DataFrame:
@@ -138,15 +141,17 @@ def _fine(items: str) -> Column:
 class _Comparer:
     """Estimates and confirms pairs of nodes, and keeps the component of every node that has a list."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, lists: DataFrame, words: int, percent: int):
+    def __init__(self, docs: DataFrame, groups: DataFrame, nodes: DataFrame, lists: DataFrame, words: int, percent: int):
         self.percent = percent
         wanted = materialize(lists.select("node").distinct(), "wanted")
         # tables with a row per node with a list go into as many files as their rows need
         self.files = max(1, math.ceil(wanted.count() / FILE_ROWS))
         self.nodes = self.written(nodes.join(wanted, "node"), "listed")
-        # rows that share a doc_id give one set
-        texts = docs.select(F.col("doc_id").alias("node"), text_of().alias("_text")).join(wanted, "node").dropDuplicates(["node"])
-        self.sets = materialize(full_sets(texts, words), "sets")
+        # the text of a node is one of its first document, which may have others
+        named = materialize(groups.join(wanted, "node"), "named")
+        texts = docs.select(F.col("doc_id").cast("long").alias("first"), text_of().alias("_text")).join(named.select("first").distinct(), "first", "left_semi")
+        sets = full_sets(texts, words).join(named, ["first", "n", "s1", "s2"]).dropDuplicates(["node"])
+        self.sets = materialize(sets.select("node", "items"), "sets")
         self.labels = self.written(wanted.select("node", F.col("node").alias("component")), "labels")
 
     def written(self, rows: DataFrame, name: str) -> DataFrame:
@@ -230,20 +235,32 @@ def _close_members(chosen: DataFrame, members: DataFrame, percent: int) -> DataF
     return chosen.join(others, ["value", "part"]).filter(test).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
 
 
+def _sets_of_one_id(slim: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links a, b between the sets of documents that share a doc_id."""
+    own = slim.filter("doc_id IS NOT NULL AND n > 0")
+    one = F.struct("n", "s1", "s2")
+    several = own.groupBy("doc_id").agg(F.min(one).alias("least"), F.max(one).alias("most")).filter("least <> most").select("doc_id")
+    several = materialize(several, "several")
+    sets = own.join(several, "doc_id").join(groups, ["n", "s1", "s2"]).select("doc_id", "node").distinct()
+    least = sets.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return materialize(sets.join(least, "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b"), "same_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per document."""
     rows = materialize(sketches(docs, words), "sketches")
     key = ["n", "s1", "s2"]
-    groups = rows.filter("n > 0").groupBy(*key).agg(F.min("doc_id").cast("long").alias("node"))
-    groups = materialize(groups, "groups")
-    nodes = (rows.filter("doc_id IS NOT NULL").withColumn("node", F.col("doc_id").cast("long"))
-             .join(groups, [*key, "node"]).dropDuplicates(["node"]).select("node", "n", "sketch"))
+    groups = rows.filter("n > 0").groupBy(*key).agg(F.min("doc_id").cast("long").alias("first"))
+    # sets are numbered, as documents that share a doc_id may have several; writing keeps the numbers
+    groups = materialize(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
+    nodes = (rows.withColumn("first", F.col("doc_id").cast("long"))
+             .join(groups, [*key, "first"]).dropDuplicates(["node"]).select("node", "n", "sketch"))
     nodes = materialize(nodes, "nodes")
     rare = materialize(rare_values(nodes, percent), "rare")
     lists = rare.select("node", "n", F.explode("rare").alias("value"))
     size = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     lists = materialize(lists.join(size, "value"), "lists")
-    comparer = _Comparer(docs, nodes, lists, words, percent)
+    comparer = _Comparer(docs, groups, nodes, lists, words, percent)
     long_lists = lists.filter(F.col("size") > SHORT)
     # a short list costs all its pairs, a long one starts with one centre
     centre = long_lists.groupBy("value").agg(F.min_by("node", F.xxhash64("node", "value")).alias("a"))
@@ -258,8 +275,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
         new = comparer.written(_close_members(_centre_pairs(members, centres), members, percent).distinct(), "pairs")
         if not new.isEmpty():
             comparer.compare(new)
-    named = groups.join(comparer.labels, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
+    labels = comparer.labels
     slim = rows.select("doc_id", *key)
+    same_id = _sets_of_one_id(slim, groups)
+    if not same_id.isEmpty():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(same_id))
+    named = groups.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # a component is named by its smallest doc_id
+    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = named.join(smallest, "component")
     out = slim.join(named.select(*key, "component_id"), key, "left")
     component = F.coalesce("component_id", F.col("doc_id").cast("long"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),

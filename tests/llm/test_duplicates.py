@@ -91,6 +91,16 @@ def test_odd_documents(odd_docs, no_docs):
     assert bottomk.near_duplicates(no_docs).collect() == [] and bottomk.keep_one(no_docs).collect() == []
 
 
+def test_every_text_of_an_id_links_its_copies(spark):
+    draw = random.Random(7)
+    texts = [[f"t{k}w{j}" for j in range(60)] for k in range(3)]
+    near = lambda own: " ".join([*own[:-1], f"new{draw.randrange(10 ** 9)}"])
+    rows = [(10, " ".join(texts[0])), (10, " ".join(texts[1])), (10, " ".join(texts[2])), (11, near(texts[0])), (12, near(texts[1])), (13, near(texts[2])),
+            (14, " ".join(f"other{j}" for j in range(60))), (9, near(texts[1]))]
+    out = bottomk.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(9, 9), (10, 9), (10, 9), (10, 9), (11, 9), (12, 9), (13, 9), (14, 14)]
+
+
 def test_sketch_is_the_lowest_hashes(spark):
     text = " ".join(f"w{k}" for k in range(300))
     own = next(bottomk.shingle_sets(pa.array([text]), 4))
