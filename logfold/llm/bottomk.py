@@ -138,6 +138,11 @@ def _fine(items: str) -> Column:
     return F.transform(F.slice(items, 1, FINE), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
 
 
+def _lost(fine: str) -> Column:
+    """How many of these numbers equal an earlier one, which a count of distinct ones leaves out."""
+    return F.size(fine) - F.size(F.array_distinct(fine))
+
+
 class _Comparer:
     """Estimates and confirms pairs of nodes, and keeps the component of every node that has a list."""
 
@@ -213,21 +218,21 @@ def _centre_pairs(members: DataFrame, centres: int) -> DataFrame:
 
 
 #: What a member of a long list brings to a comparison.
-_SIDE = ("node", "component", "n", "shared", "fine")
+_SIDE = ("node", "component", "n", "shared", "fine", "lost")
 
 
 def _close_members(chosen: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Pairs of chosen and other members of a list that may be similar, each pair in the first of its long lists.
 
     The test is part of the join, so pairs that fail are never rows. For sets of up to ``FINE`` shingles it is exact
-    but for collisions of 32-bit hashes, which can only let more pairs through.
+    but for collisions of 32-bit hashes, which can only let more pairs through: those within a set are added.
     """
     # a long list is dealt over tasks: the chosen by their number, the others once for each part
     parts = members.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / PART).cast("long").alias("parts"))
     chosen = chosen.join(parts, "value").withColumn("part", F.pmod(F.xxhash64("nodea"), F.col("parts"))).drop("parts")
     others = members.join(parts, "value").select("value", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
                                                  *(F.col(k).alias(f"{k}b") for k in _SIDE))
-    both = F.size(F.array_intersect("finea", "fineb"))
+    both = F.size(F.array_intersect("finea", "fineb")) + F.least("losta", "lostb")
     small = (F.col("na") <= FINE) & (F.col("nb") <= FINE)
     near = F.when(small, 100 * both >= percent * (F.col("na") + F.col("nb") - both)).otherwise(both >= FINE_SHARED)
     first = F.element_at(F.array_intersect("shareda", "sharedb"), 1) == F.col("value")
@@ -269,7 +274,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     lowest = long_lists.groupBy("value").agg(F.min_by("node", F.xxhash64("node")).alias("list"))
     long_lists = comparer.written(long_lists.join(lowest, "value").select(F.col("list").alias("value"), "node", "n").distinct(), "merged")
     shared = long_lists.groupBy("node").agg(F.sort_array(F.collect_list("value")).alias("shared"))
-    sides = comparer.written(shared.join(comparer.sets.select("node", _fine("items").alias("fine")), "node"), "sides")
+    sides = comparer.written(shared.join(comparer.sets.select("node", _fine("items").alias("fine")), "node").withColumn("lost", _lost("fine")), "sides")
     for centres in (CENTRES[1], 1 << 62):
         members = comparer.label(long_lists.select("node", "value", "n")).join(sides, "node")
         new = comparer.written(_close_members(_centre_pairs(members, centres), members, percent).distinct(), "pairs")

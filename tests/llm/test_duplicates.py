@@ -101,6 +101,18 @@ def test_every_text_of_an_id_links_its_copies(spark):
     assert sorted((r.doc_id, r.component_id) for r in out) == [(9, 9), (10, 9), (10, 9), (10, 9), (11, 9), (12, 9), (13, 9), (14, 14)]
 
 
+def test_colliding_hashes_lose_no_pair(spark):
+    # two hashes of both sets fall on the same 31 bits; the sets share exactly 80 %
+    one, other = [5, 5 + (1 << 40), 7, 8, 9], [5, 5 + (1 << 40), 7, 8]
+    rows = [(1, k, k, len(x), [1], x) for k, x in enumerate((one, other))]
+    members = spark.createDataFrame(rows, "value long, node long, component long, n long, shared array<long>, items array<long>")
+    members = members.withColumn("fine", bottomk._fine("items"))
+    if "lost" in bottomk._SIDE:
+        members = members.withColumn("lost", bottomk._lost("fine"))
+    chosen = members.filter("node = 0").selectExpr("value", *(f"{k} AS {k}a" for k in bottomk._SIDE))
+    assert [tuple(r) for r in bottomk._close_members(chosen, members, 80).collect()] == [(0, 1)]
+
+
 def test_sketch_is_the_lowest_hashes(spark):
     text = " ".join(f"w{k}" for k in range(300))
     own = next(bottomk.shingle_sets(pa.array([text]), 4))
