@@ -59,4 +59,42 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM m JOIN k USING (rid)"""
 
 
-ORACLES = {"op1_quality_rules": rules_sql()}
+#: conv_id % 100 of 64-bit ids; crc32 is spelled out over the decimal digits.
+TRIE_SQL = """
+WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+                  CAST(length(coalesce(text, '')) AS BIGINT) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list({'k': k, 'chars': chars} ORDER BY turn NULLS FIRST, k) AS own FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, own, conv_id - conv_id % 100 AS base,
+             xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                 lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h FROM l),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.own, [])[1:h.h], h.own[h.h + 1:]) AS s FROM h LEFT JOIN l b ON b.conv_id = h.base),
+p AS (SELECT conv_id, len(s) AS n, d, list_transform(s[1:d], lambda x: x.k) AS node, CASE WHEN d > 0 THEN s[d].chars ELSE 0 END AS chars
+      FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM r)),
+g AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, min(chars) AS chars,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends FROM p GROUP BY node, d),
+c AS (SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS n_children FROM g WHERE d > 0 GROUP BY ALL),
+v AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN c USING (node, d)),
+u AS (SELECT node[1:a] AS node, a AS d, CAST(sum((n_children = 0)::INT) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved
+      FROM (SELECT *, unnest(range(d + 1)) AS a FROM v) GROUP BY ALL)
+SELECT v.conv_id, v.d AS depth, q.conv_id AS parent_conv_id, v.n_convs, v.n_children, u.n_leaves, u.saved AS saved_tokens, v.ends AS ends_sha256
+FROM v JOIN u USING (node, d) LEFT JOIN g q ON v.d > 0 AND q.d = v.d - 1 AND q.node = v.node[1:v.d - 1]"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id,
+                  {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+b AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM b GROUP BY ALL),
+t AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * s.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, s GROUP BY term, s.n),
+m AS (SELECT row, doc_id, 25 + (75 * len(w) * s.n) // s.l AS m FROM d, s),
+x AS (SELECT item_id, row, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM t JOIN q USING (term) JOIN f USING (term) JOIN m USING (row) GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank, doc_id, score
+      FROM x JOIN m USING (row) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10"""
+
+
+ORACLES = {"op1_quality_rules": rules_sql(), "op11_prefix_trie": TRIE_SQL, "op12_length_strata": SEARCH_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfold.llm import bottomk, counting, descent, factors, licenses, packing, pii, rules, wavelet, wordtable
+from logfold.llm import bottomk, counting, descent, factors, licenses, packing, pii, rules, strata, suffixes, trie, wavelet, wordtable
 from logfold.llm.texts import read
 
 
@@ -51,4 +51,18 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counting.token_counts(read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_factorisation_machine, op3_nn_descent, op4_wavelet_matrix, op5_license_rules, op6_weak_supervision, op7_bottom_k, op8_ordered_packing, op9_word_table, op10_token_counts)}
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(read(spark, folder, "conversations"))
+
+
+def op12_length_strata(spark: SparkSession, folder: str) -> DataFrame:
+    return strata.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+def op13_suffix_merge(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_factorisation_machine, op3_nn_descent, op4_wavelet_matrix, op5_license_rules, op6_weak_supervision, op7_bottom_k,
+    op8_ordered_packing, op9_word_table, op10_token_counts, op11_prefix_trie, op12_length_strata, op13_suffix_merge)}
