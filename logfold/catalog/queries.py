@@ -596,7 +596,7 @@ def _stream(spark, sf, label, start):
 
 @register
 def stream_counts(spark, sf):
-    out, schema = _stream(spark, sf, "counts", lambda s, o, c: folds.fold_counts(s, o, c, V.EVENT_ORDER))
+    out, schema = _stream(spark, sf, "counts", lambda s, o, c: folds.fold_counts(s, o, c, V.EVENT_ORDER, merge_every=2))
     return folds.read_documents(spark, out, schema).select("_agg_id", "count", "event_id", "message")
 
 
@@ -621,5 +621,5 @@ def stream_edge(spark, sf):
 @register
 def stream_emissions(spark, sf):
     out, schema = _stream(spark, sf, "emissions", lambda s, o, c: folds.fold_emissions(
-        s, o, c, V.EVENT_ORDER, compact_every=2))
+        s, o, c, V.EVENT_ORDER))
     return folds.read_emitted(spark, out, schema).select("event_id", "_agg_id", "count")

@@ -1,27 +1,36 @@
 """Folding streams of records that carry a signature column.
 
-Every sink writes per batch id and replaces what that id wrote before, so a restart from
-the checkpoint neither loses nor doubles anything. Records are ordered by their own order
-columns within a batch; batches follow each other.
+What a strategy knows of a signature lives in Spark's own state store, keyed by signature, so a batch reads and
+writes the keys it touches and nothing else, and a restart from the checkpoint neither loses nor doubles anything.
+Records are ordered by their own order columns within a batch; batches follow each other. Sort keys are compared with
+NULL first, as in batch.
+
+The record-level fold holds one batch's records of one signature in a task: bound a batch (``files_per_trigger`` of
+the source), which bounds its hottest signature too. The other folds hold one record per signature.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from logfold.functions.masking import tag_record
-from logfold.functions.schedule import DEFAULT_EPS, emission_table, last_emitted
-from logfold.operators.ranking import HOT_ROWS, join_back, pick_rows, rank_rows
-from logfold.operators.tables import read_batches, read_latest, write_batch
-from logfold.session import materialize, scratch_scope
+from logfold.functions.schedule import DEFAULT_EPS
+from logfold.operators.published import KEEP, MERGE_EVERY, publish_batch, read_current
+from logfold.operators.ranking import pick_rows
+from logfold.session import ROCKSDB, scratch_scope
 
-STATE_SCHEMA = StructType([StructField("sig", StringType()), StructField("n", LongType())])
-MARK_SCHEMA = StructType([StructField("id", LongType())])
+#: What the state holds of a signature: its records so far and the count it was last emitted with.
+STATE = StructType([StructField("n", LongType()), StructField("emitted", LongType())])
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Order of the stored documents: the larger count is the later one.
+LATER = ("count", "batch")
 
 
 def document_schema(df: DataFrame, sig: str = "sig") -> StructType:
@@ -29,114 +38,123 @@ def document_schema(df: DataFrame, sig: str = "sig") -> StructType:
     return tag_record(df, sig, F.lit(0)).schema
 
 
-def _start(frame: DataFrame, sink, checkpoint: str, mode: str, trigger: dict | None) -> StreamingQuery:
-    return (frame.writeStream.outputMode(mode).foreachBatch(sink)
-            .option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"availableNow": True})).start())
+def next_emission(emitted: int, eps: float) -> int:
+    """The count of the emission after the one at count ``emitted`` (0: none yet); there is no last one."""
+    if emitted == 0:
+        return 1
+    return max(emitted + 1, math.ceil(emitted * (1 + eps))) if eps > 0 else emitted + 1
 
 
-def fold_counts(stream: DataFrame, path: str, checkpoint: str, order: Sequence[str], sig: str = "sig",
-                trigger: dict | None = None) -> StreamingQuery:
-    """Exact running counts: each batch upserts the documents of the signatures it touched.
+def _sort_key(order: Sequence[str], row: Row) -> tuple:
+    return tuple((row[c] is not None, row[c]) for c in order)
 
-    Counting is a streaming aggregate, partly aggregated before its shuffle, so a hot
-    signature costs one row per task; its state recovers from the checkpoint.
-    """
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        write_batch(tag_record(batch, sig, F.col("_n")).drop("_n"), path, batch_id)
 
-    return _start(pick_rows(stream, sig, order, count="_n"), sink, checkpoint, "update", trigger)
+class _Fold(StatefulProcessor):
+    """Keeps (n, emitted) of each signature."""
 
+    def __init__(self, columns: Sequence[str], order: Sequence[str], eps: float):
+        self.columns, self.order, self.eps = list(columns), list(order), eps
 
-def fold_bounded(stream: DataFrame, path: str, checkpoint: str, order: Sequence[str],
-                 eps: float = DEFAULT_EPS, sig: str = "sig", trigger: dict | None = None) -> StreamingQuery:
-    """Bounded re-emission per batch: write a signature only when its schedule value moved."""
-    spark = stream.sparkSession
-    schema = document_schema(stream, sig)
-    write_batch(spark.createDataFrame([], schema), path, -1)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("counts", STATE)
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        earlier = read_batches(spark, path, schema).where(F.col("batch") < batch_id)
-        stored = earlier.groupBy("_agg_id").agg(F.max("count").alias("_stored"))
-        due = batch.withColumn("_due", last_emitted("_n", eps))
-        moved = due.join(stored, due[sig] == stored["_agg_id"], "left").where(
-            F.col("_due") > F.coalesce(F.col("_stored"), F.lit(0)))
-        write_batch(tag_record(moved.drop("_agg_id", "_stored", "_n"), sig, F.col("_due")).drop("_due"),
-                    path, batch_id)
+    def load(self) -> tuple[int, int]:
+        return tuple(self.state.get()) if self.state.exists() else (0, 0)
 
-    return _start(pick_rows(stream, sig, order, count="_n"), sink, checkpoint, "update", trigger)
+    def emit(self, row: Row, count: int) -> Row:
+        return Row(*self.columns, "_n")(*[row[c] for c in self.columns], count)
 
+    def close(self) -> None:
+        pass
 
-def fold_emissions(stream: DataFrame, path: str, checkpoint: str, order: Sequence[str],
-                   eps: float = DEFAULT_EPS, sig: str = "sig", trigger: dict | None = None,
-                   compact_every: int = 50, hot_rows: int = HOT_ROWS) -> StreamingQuery:
-    """Bounded re-emission record by record; emitted records go to ``path/emitted``.
-
-    A record's occurrence number is its rank within the batch plus what earlier batches
-    counted. The ranking splits hot signatures, which a keyed stateful function could not.
-    Counts live in ``path/state`` as deltas; every ``compact_every`` batches all of them are
-    written again, and readers start from there.
-    """
-    spark = stream.sparkSession
-    emitted_schema = document_schema(stream, sig)
-    write_batch(spark.createDataFrame([], STATE_SCHEMA), f"{path}/state", -1)
-    write_batch(spark.range(1), f"{path}/complete", -1)
-    write_batch(spark.createDataFrame([], emitted_schema), f"{path}/emitted", -1)
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        rows = materialize(batch, "batch")
-        state = _counts_before(spark, path, batch_id)
-        seen = rows.groupBy(F.col(sig).alias("sig")).agg(F.count("*").alias("_new"))
-        full = batch_id % compact_every == compact_every - 1
-        joined = _full_state(seen, state) if full else join_back(seen, state, ["sig"], "left")
-        counts = materialize(joined.select(
-            "sig", F.coalesce("n", F.lit(0)).alias("_before"), F.coalesce("_new", F.lit(0)).alias("_new")), "counts")
-        write_batch(counts.select("sig", (F.col("_before") + F.col("_new")).alias("n")), f"{path}/state", batch_id)
-        if full:
-            write_batch(spark.range(1), f"{path}/complete", batch_id)
-        before = counts.where((F.col("_before") > 0) & (F.col("_new") > 0)).select(
-            F.col("sig").alias(sig), "_before")
-        numbered = join_back(rank_rows(rows, [sig], order, "_k", hot_rows), before, [sig], "left").withColumn(
-            "_k", F.col("_k") + F.coalesce("_before", F.lit(0))).drop("_before")
-        if eps > 0:
-            schedule = F.broadcast(emission_table(spark, eps))
-            numbered = numbered.join(schedule, F.col("_k") == F.col("e"), "left_semi")
-        write_batch(tag_record(numbered, sig, F.col("_k")).drop("_k"), f"{path}/emitted", batch_id)
 
+class EveryRecord(_Fold):
+    """Emits the records whose number is due: the first, then whenever the count has grown by ``eps``."""
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before, emitted = self.load()
+        ordered = sorted(rows, key=partial(_sort_key, self.order))
+        upto, due = before + len(ordered), next_emission(emitted, self.eps)
+        while due <= upto:
+            yield self.emit(ordered[due - before - 1], due)
+            emitted, due = due, next_emission(due, self.eps)
+        self.state.update((upto, emitted))
+
+
+class LastRecord(_Fold):
+    """Emits a signature's last record of the batch, with the last count that was due, if one became due."""
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        n, emitted = self.load()
+        last, last_key, stored = None, None, emitted
+        for row in rows:  # one record is held, however many there are
+            n += 1
+            own = _sort_key(self.order, row)
+            if last is None or own > last_key:
+                last, last_key = row, own
+        due = next_emission(emitted, self.eps)
+        while due <= n:
+            emitted, due = due, next_emission(due, self.eps)
+        self.state.update((n, emitted))
+        if emitted > stored:
+            yield self.emit(last, emitted)
+
+
+def _folded(stream: DataFrame, processor: type[_Fold], order: Sequence[str], eps: float, sig: str) -> DataFrame:
+    """The stream's emissions with their ``_n``, by a processor over Spark's state store (RocksDB, which it needs)."""
+    stream.sparkSession.conf.set(_PROVIDER, ROCKSDB)
+    out = StructType(stream.schema.fields + [StructField("_n", LongType())])
+    return stream.groupBy(sig).transformWithState(processor(stream.columns, order, eps), out, "Append", "none")
+
+
+def _start(frame: DataFrame, sink, checkpoint: str, mode: str, trigger: dict | None) -> StreamingQuery:
+    return (frame.writeStream.outputMode(mode).foreachBatch(sink)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def _upsert(path: str, sig: str, merge_every: int, keep: int):
     def sink(batch: DataFrame, batch_id: int) -> None:
-        with scratch_scope(spark):
-            fold(batch, batch_id)
+        with scratch_scope(batch.sparkSession):
+            publish_batch(tag_record(batch, sig, F.col("_n")).drop("_n"), path, batch_id, "_agg_id", LATER, merge_every, keep)
+    return sink
 
-    return _start(stream, sink, checkpoint, "append", trigger)
 
+def fold_counts(stream: DataFrame, path: str, checkpoint: str, order: Sequence[str], sig: str = "sig",
+                trigger: dict | None = None, merge_every: int = MERGE_EVERY, keep: int = KEEP) -> StreamingQuery:
+    """Exact running counts: each batch upserts the documents of the signatures it touched.
 
-def _full_state(seen: DataFrame, state: DataFrame) -> DataFrame:
-    """Old and new counts of all signatures, by union and aggregate."""
-    return (seen.select("sig", F.lit(0).cast("long").alias("n"), "_new")
-            .unionByName(state.select("sig", "n", F.lit(0).cast("long").alias("_new")))
-            .groupBy("sig").agg(F.sum("n").alias("n"), F.sum("_new").alias("_new")))
+    Counting is a streaming aggregate, partly aggregated before its shuffle, so a hot
+    signature costs one row per task.
+    """
+    return _start(pick_rows(stream, sig, order, count="_n"), _upsert(path, sig, merge_every, keep), checkpoint, "update", trigger)
 
 
-def _counts_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """Counts after all earlier batches, read from the last complete write on.
+def fold_bounded(stream: DataFrame, path: str, checkpoint: str, order: Sequence[str],
+                 eps: float = DEFAULT_EPS, sig: str = "sig", trigger: dict | None = None,
+                 merge_every: int = MERGE_EVERY, keep: int = KEEP) -> StreamingQuery:
+    """Bounded re-emission per batch: upsert a signature only when its schedule value moved."""
+    return _start(_folded(stream, LastRecord, order, eps, sig), _upsert(path, sig, merge_every, keep), checkpoint, "append", trigger)
+
+
+def fold_emissions(stream: DataFrame, path: str, checkpoint: str, order: Sequence[str],
+                   eps: float = DEFAULT_EPS, sig: str = "sig", trigger: dict | None = None) -> StreamingQuery:
+    """Bounded re-emission record by record; emitted records are appended to ``path`` by Spark's file sink.
 
-    Batches before that are pruned; a small table marks the complete ones.
+    Which records are emitted does not depend on how they are cut into batches.
     """
-    base = (read_batches(spark, f"{path}/complete", MARK_SCHEMA).where(F.col("batch") < batch_id)
-            .agg(F.max("batch")).first()[0])
-    state = read_batches(spark, f"{path}/state", STATE_SCHEMA)
-    return state.where((F.col("batch") < batch_id) & (F.col("batch") >= base)).groupBy("sig").agg(
-        F.max("n").alias("n"))
+    emitted = _folded(stream, EveryRecord, order, eps, sig)
+    return append_stream(tag_record(emitted, sig, F.col("_n")).drop("_n"), path, checkpoint, trigger)
 
 
 def read_emitted(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """All records emitted so far."""
-    return read_batches(spark, f"{path}/emitted", schema).drop("batch")
+    """All records emitted so far; the sink's own log tells which files count."""
+    return spark.read.schema(schema).parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The keyed table behind a folded stream: the latest document of each signature."""
-    return read_latest(spark, path, schema, "_agg_id", ("count", "batch"))
+    return read_current(spark, path, schema, "_agg_id", LATER)
 
 
 def append_stream(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

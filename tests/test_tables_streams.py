@@ -3,13 +3,21 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from logfold.operators import folding, tables
+from logfold.operators import folding, published, tables
 from logfold.streaming import folds
 
 ORDER = ["t", "id"]
 SCHEMA = "sig string, t long, id long, message string"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # a stream starts one Python worker for each
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(3)
@@ -74,7 +82,7 @@ def test_stream_emissions_do_not_depend_on_batches(spark, rows, tmp_path, cuts):
     df = spark.createDataFrame(rows, SCHEMA)
     want = {r.id: r["count"] for r in folding.edge_emissions(df, ORDER, 0.1).collect()}
     out, schema = feed(spark, rows, cuts, tmp_path, lambda s, o, c: folds.fold_emissions(
-        s, o, c, ORDER, 0.1, compact_every=2, hot_rows=150))
+        s, o, c, ORDER, 0.1))
     assert {r.id: r["count"] for r in folds.read_emitted(spark, out, schema).collect()} == want
 
 
@@ -91,26 +99,65 @@ def test_stream_bounded_counts(spark, rows, tmp_path):
     want = {r.sig: r.stored for r in folding.edge_counts(df, 0.5).collect()}
     out, schema = feed(spark, rows, [100, 102, 500], tmp_path, lambda s, o, c: folds.fold_bounded(s, o, c, ORDER, 0.5))
     assert {r.sig: r["count"] for r in folds.read_documents(spark, out, schema).collect()} == want
-    written = tables.read_batches(spark, out, schema).groupBy("batch").count().collect()
+    written = published.read_published(spark, out, schema).groupBy("batch").count().collect()
     counts = {r.batch: r["count"] for r in written}
     assert counts.get(1, 0) == 0 and counts[2] > 0
 
 
-def test_compacted_table_goes_on_under_the_same_checkpoint(spark, rows, tmp_path):
-    df = spark.createDataFrame(rows, SCHEMA)
-    want = {r.sig: r.stored for r in folding.edge_counts(df, 0.5).collect()}
-    places = iter([str(tmp_path / "out"), str(tmp_path / "out"), str(tmp_path / "next")])
-
-    def start(stream, out, check):
-        place = next(places)
-        if place.endswith("next"):
-            schema = folds.document_schema(df)
-            tables.compact_table(spark, str(tmp_path / "out"), place, schema, order=["count", "batch"])
-        return folds.fold_bounded(stream, place, check, ORDER, 0.5)
-
-    _, schema = feed(spark, rows, [200, 500], tmp_path, start)
-    found = folds.read_documents(spark, str(tmp_path / "next"), schema)
-    assert {r.sig: r["count"] for r in found.collect()} == want
+@pytest.mark.parametrize("fold,want_of", [
+    (folds.fold_counts, lambda df: {r.sig: (r.id, r["count"]) for r in folding.index_documents(df, ORDER).collect()}),
+    (lambda *a, **b: folds.fold_bounded(*a, 0.5, **b), lambda df: {r.sig: r.stored for r in folding.edge_counts(df, 0.5).collect()})])
+def test_table_is_merged_while_it_is_written_and_read(spark, rows, tmp_path, monkeypatch, fold, want_of):
+    """A reader beside the stream sees whole batches only, and what it has opened stays readable through a merge."""
+    schema = folds.document_schema(spark.createDataFrame([], SCHEMA))
+    seen, held, swap = [], [], published._swap_pointer
+
+    def watched(session, path, state):
+        seen.append(folds.read_documents(spark, path, schema).count())
+        held.append((folds.read_documents(spark, path, schema), seen[-1]))
+        swap(session, path, state)
+        seen.append(folds.read_documents(spark, path, schema).count())
+
+    monkeypatch.setattr(published, "_swap_pointer", watched)
+    out, _ = feed(spark, rows, [5, 60, 200, 500, 501, 700], tmp_path, lambda s, o, c: fold(s, o, c, ORDER, merge_every=2))
+    assert len(seen) == 14 and seen == sorted(seen)
+    assert [frame.count() for frame, _ in held] == [n for _, n in held]
+    folders = published.live_folders(spark, out)
+    assert len(folders) < 7 and any("merged-" in f for f in folders)
+    found = folds.read_documents(spark, out, schema).collect()
+    want = want_of(spark.createDataFrame(rows, SCHEMA))
+    assert {r.sig: (r.id, r["count"]) if isinstance(want[r.sig], tuple) else r["count"] for r in found} == want
+
+
+def test_replaced_folders_go_after_a_while(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k long, v long"
+    for batch_id in range(9):
+        for _ in range(2 if batch_id == 4 else 1):  # one batch is written twice
+            frame = spark.range(batch_id, batch_id + 3).selectExpr("id AS k", f"{batch_id} * 10L AS v")
+            published.publish_batch(frame, path, batch_id, "k", merge_every=3, keep=2)
+    rows = published.read_current(spark, path, frame.schema, "k").collect()
+    assert {r.k: r.v for r in rows} == {k: min(k, 8) * 10 for k in range(11)}
+    on_disk = {p.name for p in (tmp_path / "t").iterdir() if p.is_dir()}
+    assert len(on_disk) < 9 and {f.rsplit("/", 1)[1] for f in published.live_folders(spark, path)} <= on_disk
+    assert published.read_current(spark, str(tmp_path / "none"), frame.schema, "k").count() == 0
+
+
+def test_state_reads_do_not_grow_with_the_stream(spark, tmp_path):
+    """Thirty batches of equal make: the last read as little state as the tenth, though the table has grown."""
+    source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    for k in range(30):
+        values = [(f"s{j}" if j < 20 else f"new{k}-{j}", k, 100 * k + j, "m") for j in range(40)]
+        spark.createDataFrame(values, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    query = folds.fold_emissions(stream, out, check, ORDER, 0.1)
+    query.awaitTermination()
+    steps = [p for p in query.recentProgress if p["numInputRows"]]
+    assert len(steps) == 30
+    reads = [p["stateOperators"][0]["customMetrics"]["rocksdbGetCount"] for p in steps]
+    assert max(reads[20:]) <= 1.2 * max(reads[5:12])
+    rows = spark.read.schema(SCHEMA).parquet(source)
+    want = {r.id: r["count"] for r in folding.edge_emissions(rows, ORDER, 0.1).collect()}
+    assert {r.id: r["count"] for r in folds.read_emitted(spark, out, folds.document_schema(rows)).collect()} == want
 
 
 def test_repeated_batch_changes_nothing(spark, rows, tmp_path):
