@@ -1,14 +1,18 @@
 """Encoding whole texts with the tokenizers library, each distinct word of a task once.
 
 The library drops white space and never merges across it, so a text's ids are those of its words in order. Words
-are looked up in a table of the task; unknown ones are encoded together, with a control character between
-them whose single id marks the ends. The path of the vocabulary is a parameter.
+are looked up in a table of the Python worker, which holds at most ``MOST`` words: when it is full, the half that was
+used last stays. Unknown words of letters go to the library's merge model alone; other ones are encoded together, with a
+control character between them whose single id marks the ends. The path of the vocabulary is a parameter; a
+vocabulary for which any of this does not hold is refused.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +23,13 @@ from pyspark.sql import functions as F
 from logfold.llm.texts import text_of, words_of
 
 END = 1
+#: Words that a worker remembers, at some 250 bytes each; bytes of text that are encoded at a time.
+MOST, SLICE = 300_000, 8 << 20
 _MARK = "\x01"
 _LETTERS = re.compile("[a-zà-öø-ÿ]+")
+_WORD = re.compile("[a-zà-öø-ÿA-ZÀ-ÖØ-Þ]+")
+#: What a vocabulary must treat alike to be encoded word by word.
+_PROBES = ("don't stop", "Ab\tc\nd  e\x0bf\x0c g ", "ÀÉ naïve été", "x1 22,, a.b (c) é́", "日本 語", "'s 123 !!,, 's")
 
 
 def vocabulary(name: str) -> str:
@@ -31,22 +40,54 @@ def vocabulary(name: str) -> str:
 
 
 class WordEncoder:
-    """Ids of texts as one flat array; remembers the words it has met, up to ``most`` of them."""
+    """Ids of texts as one flat array; remembers the words it has met, up to ``most`` of them beside those of one slice."""
 
-    def __init__(self, file: str = "word_bpe_49k.json", most: int = 1_500_000):
+    def __init__(self, file: str = "word_bpe_49k.json", most: int = MOST):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary(file))
         self.most = most
         mark = self._plain(_MARK)
         self.mark = mark[0] if len(mark) == 1 else None
+        # bytes beyond ASCII have letters of their own in the merge model's alphabet
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.tokenizer.pre_tokenizer else lambda x: [(x, None)]
+        self.spelt = {ord(c): "".join(x for x, _ in split(c)) for c in "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"}
         self._forget()
+        self._check(file)
+
+    def _check(self, file: str) -> None:
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        alike = all("<|" in t for t in special)
+        for text in _PROBES:
+            words = text.split()
+            whole = self._plain(text)
+            alike &= whole == [i for w in words for i in self._plain(w)] == [i for w in words for i in self._plain(w.translate(_LOWER))]
+        for word in ("a", "naïve", "ÀÉ", "thonre", "onnten", "Zürich", "w" * 300):
+            alike &= self._plain(word) == self._letters(word)
+            alike &= self._plain(word + ",") == self._plain(word) + self._plain(",") and self._plain(word + ".") == self._plain(word) + self._plain(".")
+        if not alike:
+            raise ValueError(f"{file}: not a lower-casing vocabulary that drops white space and keeps words apart")
+
+    def _letters(self, word: str) -> list[int]:
+        """Ids of a word of letters."""
+        return [x.id for x in self.tokenizer.model.tokenize(word.lower().translate(self.spelt))]
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.seen = np.zeros(1 << 14, np.int64)
+        self.used = self.clock = 0
+
+    def _shrink(self) -> None:
+        """Keep the half of the words that was used last."""
+        names, have = list(self.place), len(self.place)
+        stay = np.sort(np.argsort(self.seen[:have], kind="stable")[have - min(have, self.most // 2):])
+        ids, sizes = self._ids_at(stay)
+        seen, clock = self.seen[stay], self.clock
+        self._forget()
+        self._store([names[k] for k in stay.tolist()], ids, sizes)
+        self.seen[:len(stay)], self.clock = seen, clock
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -58,7 +99,8 @@ class WordEncoder:
             return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
         ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), 20_000):
-            flat = np.array(self._plain(f" {_MARK} ".join(words[at:at + 20_000])), np.uint32)
+            whole = f" {_MARK} ".join(words[at:at + 20_000])
+            flat = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, np.uint32)
             marks = flat == self.mark
             sizes.append(np.diff(np.concatenate(([-1], np.flatnonzero(marks), [len(flat)]))) - 1)
             ids.append(flat[~marks])
@@ -68,6 +110,7 @@ class WordEncoder:
         have, ends = len(self.place), self.used + np.cumsum(sizes)
         while have + len(words) > len(self.ends):
             self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+            self.seen = np.concatenate((self.seen, np.zeros_like(self.seen)))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.ends[have:have + len(words)] = ends
@@ -75,10 +118,6 @@ class WordEncoder:
         self.used += len(ids)
         self.place.update(zip(words, range(have, have + len(words)), strict=True))
 
-    def _of(self, word: str) -> np.ndarray:
-        k = self.place[word]
-        return self.ids[self.ends[k - 1] if k else 0:self.ends[k]]
-
     def _learn(self, words: list[str]) -> None:
         # a word with the mark, or one that may hold a special token, goes alone
         alone = [w for w in words if _MARK in w or "<|" in w]
@@ -89,23 +128,34 @@ class WordEncoder:
         for w in alone:
             rest.pop(w, None)
         plain = [w for w in rest if w not in self.place]
-        self._store(plain, *self.encode_words(plain))
+        letters = [w for w in plain if _WORD.fullmatch(w)]
+        ids, sizes, tokenize, spelt = array("I"), array("q"), self.tokenizer.model.tokenize, self.spelt
+        for word in letters:
+            found = tokenize(word if word.isascii() and word.islower() else word.lower().translate(spelt))
+            ids.extend([x.id for x in found])
+            sizes.append(len(found))
+        self._store(letters, np.array(ids, np.uint32), np.array(sizes, np.int64))
+        others = [w for w in plain if w not in self.place]
+        self._store(others, *self.encode_words(others))
+        if alone:
+            found = [self._plain(w) for w in alone]
+            self._store(alone, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
         both = [w for w in words if w in marked]
-        for own, ids in ((alone, [np.array(self._plain(w), np.uint32) for w in alone]),
-                         (both, [x for w in both for x in (self._of(w[:-1]), self._of(w[-1]))])):
-            if own:
-                sizes = np.array([len(x) for x in ids], np.int64)
-                self._store(own, np.concatenate(ids), sizes if own is alone else sizes[::2] + sizes[1::2])
+        if both:
+            ids, sizes = self._ids_at(np.fromiter((self.place[x] for w in both for x in (w[:-1], w[-1])), np.int64, 2 * len(both)))
+            self._store(both, ids, sizes[::2] + sizes[1::2])
+
+    def _ids_at(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of remembered words, one after the other."""
+        since = np.where(where > 0, self.ends[where - 1], 0)
+        sizes = self.ends[where] - since
+        return self.ids[np.arange(int(sizes.sum())) + np.repeat(since - (np.cumsum(sizes) - sizes), sizes)], sizes
 
     def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes) of distinct words, each encoded once; nothing is remembered."""
         self._forget()
         self._learn(words)
-        where = np.fromiter((self.place[w] for w in words), np.int64, len(words))
-        since = np.where(where > 0, self.ends[where - 1], 0)
-        sizes = self.ends[where] - since
-        flat = np.arange(int(sizes.sum()), dtype=np.int64) + np.repeat(since - (np.cumsum(sizes) - sizes), sizes)
-        ids = self.ids[flat]
+        ids, sizes = self._ids_at(np.fromiter((self.place[w] for w in words), np.int64, len(words)))
         self._forget()
         return ids, sizes
 
@@ -117,9 +167,14 @@ class WordEncoder:
         codes, known, offsets = words_of(texts, lower=not special)
         words = known.to_pylist()
         if len(self.place) + len(words) > self.most:
-            self._forget()
-        self._learn([w for w in words if w not in self.place and w])
-        where = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
+            self._shrink()
+        where = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(where < 0)
+        missing = [words[k] for k in new.tolist()]
+        self._learn([w for w in missing if w])
+        where[new] = np.fromiter(map(self.place.get, missing, repeat(-1)), np.int64, len(new))
+        self.clock += 1
+        self.seen[where[where >= 0]] = self.clock
         until = self.ends[where]
         since = np.where(where > 0, self.ends[where - 1], 0)
         sizes = (until - since)[codes]
@@ -139,6 +194,9 @@ class WordEncoder:
         return out, rows + np.arange(count + 1)
 
 
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
 @functools.cache
 def word_encoder(file: str) -> WordEncoder:
     """One encoder for all tasks of a Python worker."""

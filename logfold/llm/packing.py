@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from logfold.llm.encoding import END, in_order, word_encoder
+from logfold.llm.encoding import END, SLICE, in_order, word_encoder
 from logfold.llm.texts import slices
 
 WIDTH = 2048
@@ -147,7 +147,7 @@ def pack(docs: DataFrame, file: str = "word_bpe_49k.json", width: int = WIDTH) -
 
         held = 0
         kind = None
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE):
             kind = batch.schema.field("doc_id").type
             flat, offsets = encoder.encode(batch.column("_text"), END)
             kept.append(flat)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logfold.llm.encoding import END, in_order, word_encoder
+from logfold.llm.encoding import END, SLICE, in_order, word_encoder
 from logfold.llm.texts import slices
 from logfold.session import materialize, scratch_path
 
@@ -58,7 +58,10 @@ class WaveletMatrix:
             packed.append(np.packbits(bits))
             ones = np.bitwise_count(np.pad(packed[-1], (0, -len(packed[-1]) % (BLOCK // 8)))).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32)
             counts.append(np.concatenate(([0], np.cumsum(ones))).astype(np.uint32))
-            symbols = np.concatenate((symbols[~bits], symbols[bits]))
+            parted, zeros = np.empty_like(symbols), len(symbols) - int(counts[-1][-1])
+            np.compress(bits, symbols, out=parted[zeros:])
+            np.compress(np.logical_not(bits, out=bits), symbols, out=parted[:zeros])
+            symbols = parted
         return cls(alphabet, len(ids), packed, counts, doc_ids, present, sizes)
 
     def to_bytes(self) -> bytes:
@@ -179,7 +182,7 @@ def shards(docs: DataFrame, file: str = "word_bpe_49k.json", most: int = SHARD)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": [seq], "n_tokens": [matrix.length],
                                                "n_docs": [len(names)], "payload": [matrix.to_bytes()]})
 
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE):
             flat, offsets = word_encoder(file).encode(batch.column("_text"), END)
             ids.append(flat)
             sizes.append(np.diff(offsets))
