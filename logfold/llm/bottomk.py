@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from logfold.llm.graph import components
@@ -207,31 +208,40 @@ def _short_pairs(lists: DataFrame) -> DataFrame:
     return one.select("a", F.explode(F.expr("slice(own, i + 2, size(own))")).alias("b")).distinct()
 
 
-def _centre_pairs(members: DataFrame, centres: int) -> DataFrame:
-    """The nodes of each list that is not of one component, with ``centres`` of those outside its largest component."""
+def _open_lists(members: DataFrame) -> DataFrame:
+    """value, node, n, component and most, the largest component, of the lists that are not of one component; ids only."""
     by = members.groupBy("value", "component").agg(F.count(F.lit(1)).alias("c"))
     split = by.groupBy("value").agg(F.max_by("component", "c").alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    own = members.join(split, "value")
-    order = F.row_number().over(Window.partitionBy("value").orderBy(F.xxhash64("node", "value")))
-    chosen = own.filter("component <> most").withColumn("order", order).filter(F.col("order") <= centres)
-    return chosen.select("value", *(F.col(k).alias(f"{k}a") for k in _SIDE))
+    return members.join(split.select("value", "most"), "value")
+
+
+def _chosen(opened: DataFrame, centres: int | None) -> DataFrame:
+    """value, node, part: all or ``centres`` nodes of each list outside its largest component, in parts of about PART."""
+    outside = opened.filter("component <> most").select("value", "node")
+    if centres is not None:
+        order = F.row_number().over(Window.partitionBy("value").orderBy(F.xxhash64("node", "value")))
+        outside = outside.withColumn("order", order).filter(F.col("order") <= centres).drop("order")
+    parts = outside.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / PART).cast("long").alias("parts"))
+    return outside.join(parts, "value").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
 
 
 #: What a member of a long list brings to a comparison.
 _SIDE = ("node", "component", "n", "shared", "fine", "lost")
 
 
-def _close_members(chosen: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _close_members(opened: DataFrame, chosen: DataFrame, sides: DataFrame, percent: int) -> DataFrame:
     """Pairs of chosen and other members of a list that may be similar, each pair in the first of its long lists.
 
-    The test is part of the join, so pairs that fail are never rows. For sets of up to ``FINE`` shingles it is exact
+    The test is part of the join, so pairs that fail are never rows. A list is dealt over as many parts as its chosen
+    nodes need, and its other members are copied for each. For sets of up to ``FINE`` shingles it is exact
     but for collisions of 32-bit hashes, which can only let more pairs through: those within a set are added.
     """
-    # a long list is dealt over tasks: the chosen by their number, the others once for each part
-    parts = members.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / PART).cast("long").alias("parts"))
-    chosen = chosen.join(parts, "value").withColumn("part", F.pmod(F.xxhash64("nodea"), F.col("parts"))).drop("parts")
-    others = members.join(parts, "value").select("value", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
-                                                 *(F.col(k).alias(f"{k}b") for k in _SIDE))
+    opened = opened.select("value", "node", "component", "n")
+    parts = chosen.select("value", "parts").distinct()
+    others = (opened.join(parts, "value").join(sides, "node")
+              .select("value", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *(F.col(k).alias(f"{k}b") for k in _SIDE)))
+    chosen = chosen.select("value", "node", "part").join(opened, ["value", "node"]).join(sides, "node").select(
+        "value", "part", *(F.col(k).alias(f"{k}a") for k in _SIDE))
     both = F.size(F.array_intersect("finea", "fineb")) + F.least("losta", "lostb")
     small = (F.col("na") <= FINE) & (F.col("nb") <= FINE)
     near = F.when(small, 100 * both >= percent * (F.col("na") + F.col("nb") - both)).otherwise(both >= FINE_SHARED)
@@ -251,8 +261,8 @@ def _sets_of_one_id(slim: DataFrame, groups: DataFrame) -> DataFrame:
     return materialize(sets.join(least, "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b"), "same_id")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; one row per document."""
+def _components_of_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, s1, s2 of every document; n, s1, s2, first, node of every set; node, component of sets with a list)."""
     rows = materialize(sketches(docs, words), "sketches")
     key = ["n", "s1", "s2"]
     groups = rows.filter("n > 0").groupBy(*key).agg(F.min("doc_id").cast("long").alias("first"))
@@ -275,13 +285,21 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     long_lists = comparer.written(long_lists.join(lowest, "value").select(F.col("list").alias("value"), "node", "n").distinct(), "merged")
     shared = long_lists.groupBy("node").agg(F.sort_array(F.collect_list("value")).alias("shared"))
     sides = comparer.written(shared.join(comparer.sets.select("node", _fine("items").alias("fine")), "node").withColumn("lost", _lost("fine")), "sides")
-    for centres in (CENTRES[1], 1 << 62):
-        members = comparer.label(long_lists.select("node", "value", "n")).join(sides, "node")
-        new = comparer.written(_close_members(_centre_pairs(members, centres), members, percent).distinct(), "pairs")
+    for centres in (CENTRES[1], None):
+        opened = comparer.written(_open_lists(comparer.label(long_lists.select("node", "value", "n"))), "opened")
+        if opened.isEmpty():
+            break
+        chosen = comparer.written(_chosen(opened, centres), "chosen")
+        new = comparer.written(_close_members(opened, chosen, sides, percent).distinct(), "pairs")
         if not new.isEmpty():
             comparer.compare(new)
-    labels = comparer.labels
-    slim = rows.select("doc_id", *key)
+    return rows.select("doc_id", *key), groups, comparer.labels
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; one row per document."""
+    slim, groups, labels = _components_of_sets(docs, words, percent)
+    key = ["n", "s1", "s2"]
     same_id = _sets_of_one_id(slim, groups)
     if not same_id.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(same_id))
@@ -295,10 +313,35 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
                       F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
+def _with_set(docs: DataFrame, words: int) -> DataFrame:
+    """The documents as ``row``, with doc_id, _text and the n, s1, s2 of their sets."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", text_of().alias("_text"))
+    schema = StructType([*rows.schema.fields, *(StructField(name, LongType()) for name in ("n", "s1", "s2"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            own = list(shingle_sets(batch.column("_text"), words))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_identity(own)], names=[*batch.schema.names, "n", "s1", "s2"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def keep_one(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
-    """One document of each group, with its own columns; of rows that share a doc_id the first by text."""
-    kept = materialize(near_duplicates(docs, words, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "kept")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.col("text").alias("order"))
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("order"))
-    named = rows.join(kept, "doc_id").withColumn("first", first).filter("first = 1").select("row.*")
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each group of near copies, with its own columns: that of the smallest doc_id, of several the first by text.
+
+    Groups are of texts: documents that share a doc_id stay if their texts are no near copies. A document without an id
+    goes if its set equals another one's; documents without words all stay.
+    """
+    slim, groups, labels = _components_of_sets(docs, words, percent)
+    key = ["n", "s1", "s2"]
+    named = groups.join(labels, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *key)).alias("best")
+    kept = slim.filter("n > 0").distinct().join(named, key).groupBy("component").agg(best)
+    kept = materialize(kept.select(*(F.col(f"best.{c}").alias(f"_{c}") for c in ("doc_id", *key))), "kept")
+    rows = _with_set(docs, words)
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+    for c in key:
+        same &= F.col(c) == F.col(f"_{c}")
+    first = F.row_number().over(Window.partitionBy("doc_id", *key).orderBy("_text"))
+    chosen = rows.filter("n > 0").join(kept, same, "left_semi").withColumn("first", first).filter("first = 1").select("row.*")
+    return chosen.unionByName(rows.filter("n = 0").select("row.*"))

@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -43,6 +45,12 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+# The same matches in linear time: an e-mail starts where the run of characters before its @ does, an address at the
+# head of a run of digits, and what such a run fails to be its rest fails to be too.
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
+_HEAD_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+
 TEL = re.compile(r"(?<![0-9A-Za-z+.(-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z-])")
 SSN = re.compile(r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
@@ -109,20 +117,33 @@ def _card(x: str) -> bool:
 
 
 def _ip(x: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in x.split("."))
+    parts = [p.lstrip("0") for p in x.split(".")]
+    return all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
 
 
 def _phone(x: str) -> bool:
     return 9 <= len(_digits(x)) <= 15
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """The spans that EMAIL finds."""
+    at = 0
+    for run in _LOCAL.finditer(text):
+        start = max(run.start(), at)  # the last address may have taken the head of this run
+        if start < run.end() and text[run.end():run.end() + 1] == "@":
+            domain = _DOMAIN.match(text, run.end() + 1)
+            if domain:
+                at = domain.end()
+                yield start, at
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the base kinds: leftmost matches that pass their check, without retries."""
     out = []
     if "@" in text:
-        out += [(0, *m.span()) for m in EMAIL.finditer(text)]
+        out += [(0, *span) for span in emails(text)]
     if _ANY_DIGIT.search(text):
-        for kind, pattern, passes in ((1, IP, _ip), (2, CARD, _card), (3, PHONE, _phone)):
+        for kind, pattern, passes in ((1, _HEAD_IP, _ip), (2, CARD, _card), (3, PHONE, _phone)):
             out += [(kind, *m.span()) for m in pattern.finditer(text) if passes(m[0])]
     return out
 
@@ -193,7 +214,8 @@ def edge_vote(kind: str, before: str, after: str) -> int:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[Span]:
     """Base spans and further proposals with their votes; proposals within a base span are left out."""
     found = list(base)
-    taken = [(s, e) for _, s, e in base]
+    taken = sorted((s, e) for _, s, e in base)
+    starts, furthest = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
     proposals: list[tuple[int, re.Pattern]] = []
     if _ANY_DIGIT.search(text):
         proposals += [(4, TEL), (5, SSN), (6, IBAN)]
@@ -205,7 +227,8 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[Span]:
             start, end = m.span(pattern.groups)
             if kind == 8 and list_vote("name", text[start:end]) < 0 and context_vote("name", text[max(0, start - AROUND):start], "") <= 0:
                 continue
-            if not any(s <= start and end <= e for s, e in taken):
+            before = bisect_right(starts, start)  # base spans that start at or before it
+            if not before or furthest[before - 1] < end:
                 found.append((kind, start, end))
     out = []
     for kind, start, end in found:

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from logfold.llm import licenses, pii
 from logfold.llm.queries import QUERIES
@@ -144,3 +146,23 @@ def test_cheap_look_lets_every_proposal_through():
     for x, own in zip(texts, spans, strict=True):
         later = [(p["kind"], (x + " 1")[p["start"]:p["end"]]) for p in pii._places(pa.array([x + " 1"]))[0]]
         assert later == own
+
+
+def test_base_spans_equal_the_plain_patterns():
+    draw = random.Random(3)
+    for _ in range(3000):
+        text = "".join(draw.choice("a1.@-+ %x0(") for _ in range(draw.randrange(40)))
+        want = [(0, *m.span()) for m in pii.EMAIL.finditer(text)]
+        want += [(k, *m.span()) for k, pattern, passes in ((1, pii.IP, pii._ip), (2, pii.CARD, pii._card), (3, pii.PHONE, pii._phone))
+                 for m in pattern.finditer(text) if passes(m[0])]
+        assert pii.base_spans(text) == want, text
+
+
+@pytest.mark.parametrize("text", [
+    "7" * 1_000_000, "x" * 1_000_000 + "@", "@" + "x" * 1_000_000, "a@" * 300_000, "1." * 400_000, "a.b@c" * 150_000, "0" * 20_000 + "1.2.3.4 ",
+    "me@example.org " * 50_000, "f" * 1_000_000 + "g", "=" + "y" * 500_000 + "Z", "A" + "b" * 500_000 + " C"])
+def test_long_runs_take_linear_time(text):
+    begin = time.process_time()
+    base = pii.base_spans(text)
+    pii.candidates(text, base)
+    assert time.process_time() - begin < 6  # some 1 s; with quadratic patterns hours
