@@ -177,6 +177,12 @@ _RUN_COLUMNS = f"pipeline, workload_id, {_round('dup_ratio')}, N, M"
 ORACLES["strategy_runs"] = _with(*DAY_RUNS) + f"""
 SELECT {_RUN_COLUMNS}, storage, reconstructed, forwarded FROM runs"""
 
+ORACLES["measured_runs"] = f"""SELECT pipeline, workload_id, dup_ratio, N, M, reconstructed, forwarded, true AS settled, true AS stored
+FROM ({ORACLES["strategy_runs"]})"""
+
+ORACLES["sketched_duplication"] = _with(DAILY) + """
+SELECT component, CAST(count(*) AS BIGINT) AS N, CAST(count(DISTINCT sig) AS BIGINT) AS U, true AS within_two_percent FROM elog GROUP BY component"""
+
 ORACLES["cut_records"] = _with(DAILY, CUT) + """
 SELECT workload_id, total AS rows, ts_us AS cut_ts_us, event_id AS cut_event_id
 FROM placed WHERE spot = floor(0.5 * total)"""
@@ -234,7 +240,8 @@ ORACLES["storage_line"] = _with(*CHAT_METRICS) + f"""
 SELECT pipeline, workload_id, round(storage / 1048576, {DIGITS}) AS storage_mb, storage_valid AS included FROM normal"""
 
 ORACLES["exclusion_report"] = _with(*CHAT_METRICS) + f"""
-SELECT pipeline, workload_id, round(bloat, 1) AS bloat, excluded, runs FROM (
+SELECT pipeline, workload_id, round(bloat, 1) AS bloat, excluded, runs, CAST(1.5 AS DOUBLE) AS factor,
+    'wl' || workload_id || '(' || coalesce(format('{{:.1f}}', round(bloat, 1)), 'nan') || 'x)' AS label FROM (
     SELECT *, count(*) FILTER (NOT storage_valid) OVER (PARTITION BY pipeline) AS excluded,
         count(*) OVER (PARTITION BY pipeline) AS runs FROM normal) WHERE NOT storage_valid"""
 
@@ -444,7 +451,7 @@ SELECT {_RUN_COLUMNS}, storage, reconstructed, 'false' AS failed, CAST(NULL AS B
 _LAST = _with(BY_USER) + """
 SELECT sig, event_id, ts_us, message FROM (
     SELECT *, row_number() OVER (PARTITION BY sig ORDER BY ts_us DESC, event_id DESC) AS back FROM elog) WHERE back = 1"""
-ORACLES["upsert_snapshot"] = _LAST
+ORACLES["upsert_snapshot"] = ORACLES["upsert_bucketed"] = _LAST
 ORACLES["merge_on_read"] = _LAST
 
 ORACLES["compact_rows"] = _LAST

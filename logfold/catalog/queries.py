@@ -14,7 +14,7 @@ from logfold.functions import scalars as S
 from logfold.operators import folding, shaping, tables
 from logfold.operators.amplify import amplify_duplicates
 from logfold.operators.ranking import cut_points, group_median
-from logfold.plans import advice, metrics, reports, runs
+from logfold.plans import advice, measured, metrics, reports, runs, sketches
 from logfold.session import materialize, scratch_path
 from logfold.sources import files
 from logfold.streaming import folds
@@ -153,6 +153,28 @@ def strategy_runs(spark, sf):
         "pipeline", "workload_id", "dup_ratio", "N", "M", "storage", "reconstructed", "forwarded"))
 
 
+@register
+def measured_runs(spark, sf):
+    """The strategies' tables of the daily log, written and measured by their files and stored counts."""
+    root = scratch_path(spark, "strategies")
+    log = V.daily_log(spark, sf).select("workload_id", "sig", "level", "component", "message", *V.EVENT_ORDER)
+    measured.store_strategies(log, root, V.EVENT_ORDER, DAY_EPS)
+    return rounded(measured.measure_runs(spark, root, DAY_EPS).select(
+        "pipeline", "workload_id", "dup_ratio", "N", "M", "reconstructed", "forwarded", "settled", (F.col("storage") > 0).alias("stored")))
+
+
+@register
+def sketched_duplication(spark, sf):
+    """Signatures of each component over all days, from sketches stored by component and day, against the exact count."""
+    path = scratch_path(spark, "sketches")
+    log = V.daily_log(spark, sf).select("component", "workload_id", "sig")
+    sketches.store_sketches(log, path, ["component", "workload_id"])
+    exact = runs.duplication(log, ["component"]).select("component", "N", "U")
+    merged = sketches.estimated_duplication(spark, path, ["component"]).select("component", F.col("N").alias("lines"), F.col("U").alias("guess"))
+    close = (F.abs(F.col("guess") - F.col("U")) <= 0.02 * F.col("U")) & (F.col("lines") == F.col("N"))
+    return exact.join(merged, "component").select("component", "N", "U", close.alias("within_two_percent"))
+
+
 @register
 def cut_records(spark, sf):
     return cut_points(V.daily_log(spark, sf), ["workload_id"], V.EVENT_ORDER, 0.5).select(
@@ -214,7 +236,7 @@ def storage_line(spark, sf):
 @register
 def exclusion_report(spark, sf):
     return rounded(reports.exclusion_report(chat_metrics(spark, sf)).select(
-        "pipeline", "workload_id", "bloat", "excluded", "runs"))
+        "pipeline", "workload_id", "bloat", "excluded", "runs", "label", "factor"))
 
 
 @register
@@ -504,6 +526,16 @@ def upsert_snapshot(spark, sf):
     return tables.upsert(once, second, "sig", V.EVENT_ORDER)
 
 
+@register
+def upsert_bucketed(spark, sf):
+    """The second half upserted into a bucketed snapshot of the first, twice; the snapshot is not shuffled."""
+    first, second = _halves(spark, sf)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    snapshot = tables.write_bucketed(first, scratch_path(spark, "snapshot"), "sig", buckets)
+    once = tables.write_bucketed(tables.upsert_bucketed(snapshot, second, "sig", V.EVENT_ORDER), scratch_path(spark, "snapshot"), "sig", buckets)
+    return tables.upsert_bucketed(once, second, "sig", V.EVENT_ORDER)
+
+
 def _keyed_table(spark, sf):
     first, second = _halves(spark, sf)
     path = scratch_path(spark, "keyed")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructField, StructType
 
 
-def _read(item: StructField) -> Column:
-    """A field of the decoded object in its type, NULL where it does not fit."""
-    text = F.try_element_at("_parsed", F.lit(item.name))
+def _read(item: StructField, text: Column | None = None) -> Column:
+    """A field of the decoded object, or the given text of it, in its type; NULL where it does not fit."""
+    if text is None:
+        text = F.try_element_at("_parsed", F.lit(item.name))
     if isinstance(item.dataType, (StructType, ArrayType, MapType)):
         return F.from_json(text, item.dataType)
     return text.try_cast(item.dataType)
@@ -31,9 +32,14 @@ def merge_json(df: DataFrame, column: str, schema: StructType, keep: bool = Fals
         columns[item.name] = F.coalesce(value, F.col(item.name)) if item.name in df.columns else value
     raw = F.when(is_object, F.lit(None)).otherwise(F.col(column))
     columns["message"] = F.coalesce(columns["message"], raw) if "message" in columns else raw
-    # keys that no field took
-    taken = F.array(*(F.when(_read(item).isNotNull(), F.lit(item.name)) for item in schema.fields))
-    left = F.map_filter("_parsed", lambda k, _: ~F.coalesce(F.array_contains(F.array_compact(taken), k), F.lit(False)))
+    # keys that no field took: each key is held against its own field only
+    def untaken(key: Column, text: Column) -> Column:
+        test = F
+        for item in schema.fields:
+            test = test.when(key == F.lit(item.name), _read(item, text).isNull())
+        return test.otherwise(F.lit(True)) if schema.fields else F.lit(True)
+
+    left = F.map_filter("_parsed", untaken)
     columns[rest] = F.when(F.size(left) > 0, F.to_json(left))
     out = [c for c in df.columns if c not in columns and (keep or c != column)]
     return parsed.select(*out, *[value.alias(name) for name, value in columns.items()])

@@ -7,6 +7,7 @@ it. Readers take the latest row of each key. Compaction writes that view to a ne
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,3 +95,40 @@ def settle_check(spark: SparkSession, path: str, schema: StructType, key: str =
     return both.select(
         "files", "bytes", "docs", (F.col("rows") - F.col("docs")).alias("superseded"),
         ((F.col("files") <= F.greatest(F.lit(1), F.ceil(F.col("bytes") / target_bytes))) & (F.col("rows") == F.col("docs"))).alias("settled"))
+
+
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """Write a snapshot in ``buckets`` buckets of its key, one sorted file each, and open it.
+
+    Rows that already come in as many partitions by key, as ``upsert_bucketed`` gives them, are not moved.
+    """
+    spark = df.sparkSession
+    name = f"snapshot_{uuid.uuid4().hex}"
+    placed = df.repartition(buckets, key)
+    placed.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def open_bucketed(spark: SparkSession, path: str, schema: StructType, key: str, buckets: int) -> DataFrame:
+    """Open a bucketed snapshot of another session: the folder itself does not say how it is bucketed."""
+    name = f"snapshot_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def upsert_bucketed(snapshot: DataFrame, batch: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Insert or replace by key in a bucketed snapshot, the later row by ``order`` wins, of equal ones the batch's.
+
+    The batch is combined by key and meets the snapshot bucket by bucket, so only the batch is shuffled: once, if there are as
+    many buckets as shuffle partitions. Keys are never NULL.
+    """
+    columns = snapshot.columns
+    payload = [c for c in columns if c != key]
+    checked = F.coalesce(F.col(key), F.raise_error(F.lit(f"{key} of an upsert is NULL")).cast(batch.schema[key].dataType))
+    newest = batch.groupBy(checked.alias(key)).agg(F.max_by(F.struct(*payload), F.struct(*order)).alias("_new"))
+    old = snapshot.select(key, F.struct(*payload).alias("_old"))
+    rank = lambda side: F.struct(*[F.col(f"{side}.{c}").alias(c) for c in order])
+    wins = F.col("_old").isNull() | (F.col("_new").isNotNull() & (rank("_new") >= rank("_old")))
+    met = old.join(newest, key, "full_outer").select(key, F.when(wins, F.col("_new")).otherwise(F.col("_old")).alias("_row"))
+    return met.select(key, "_row.*").select(*columns)

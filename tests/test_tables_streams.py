@@ -174,3 +174,56 @@ def test_repeated_batch_changes_nothing(spark, rows, tmp_path):
 def test_append_stream(spark, rows, tmp_path):
     out, _ = feed(spark, rows, [300], tmp_path, lambda s, o, c: folds.append_stream(s, o, c))
     assert spark.read.parquet(out).count() == len(rows)
+
+
+def test_bucketed_upsert_shuffles_the_batch_once(spark, rows, tmp_path):
+    df = spark.createDataFrame(rows, SCHEMA)
+    first, second = df.where("id < 500"), df.where("id >= 300 AND id % 3 > 0")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = str(tmp_path / "snapshot")
+    snapshot = tables.write_bucketed(folding.last_records(first, ORDER), path, "sig", buckets)
+    want = keyed(folding.last_records(first.unionByName(second), ORDER))
+    opened = tables.open_bucketed(spark, path, snapshot.schema, "sig", buckets)
+    for table in (snapshot, opened):
+        upserted = tables.upsert_bucketed(table, second, "sig", ORDER)
+        plan = upserted._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange") == 1
+        assert keyed(upserted.select("sig", "t", "id", "message")) == want
+    again = tables.write_bucketed(upserted, str(tmp_path / "next"), "sig", buckets)
+    assert keyed(tables.upsert_bucketed(again, second, "sig", ORDER).select("sig", "t", "id", "message")) == want
+    with pytest.raises(Exception, match="upsert is NULL"):
+        tables.upsert_bucketed(again, spark.createDataFrame([(None, 1, 1, "m")], SCHEMA), "sig", ORDER).collect()
+
+
+def test_runs_are_measured_from_what_is_stored(spark, rows, tmp_path):
+    """Counts, documents and settledness follow the files: a superseded document unsettles its workload and no other."""
+    from logfold.plans import measured, metrics, runs
+    log = spark.createDataFrame(rows, SCHEMA).withColumn("workload_id", F.col("id") % 3).withColumn("bytes", F.lit(10).cast("long"))
+    root = str(tmp_path / "strategies")
+    measured.store_strategies(log, root, ORDER, 0.5)
+    key = ["pipeline", "workload_id", "dup_ratio", "N", "M", "reconstructed", "forwarded"]
+    sorted_rows = lambda df: sorted(map(tuple, df.select(*key).collect()))
+    found = measured.measure_runs(spark, root, 0.5)
+    assert sorted_rows(found) == sorted_rows(runs.evaluate_strategies(log, eps=0.5))
+    assert all(r.settled and r.storage > 0 for r in found.collect())
+    # what B keeps is the record it emitted last
+    emitted = folding.edge_emissions(log.where("workload_id = 1"), ORDER, 0.5)
+    want = {r.sig: (r.id, r["count"]) for r in folding.last_records(emitted, ["count"]).collect()}
+    assert {r.sig: (r.id, r["count"]) for r in spark.read.parquet(f"{root}/B").where("workload_id = 1").collect()} == want
+    stored = spark.read.parquet(f"{root}/C").where("workload_id = 2").limit(1)
+    materialized = spark.createDataFrame(stored.collect(), stored.schema)
+    materialized.write.mode("append").partitionBy("workload_id").parquet(f"{root}/C")
+    later = {(r.pipeline, r.workload_id): r for r in measured.measure_runs(spark, root, 0.5).collect()}
+    assert [k for k, r in later.items() if not r.settled] == [("C", 2)] and later["C", 2].M == {(r.pipeline, r.workload_id): r.M for r in found.collect()}["C", 2]
+    flagged = metrics.run_metrics(measured.measure_runs(spark, root, 0.5)).where("NOT storage_valid").select("pipeline", "workload_id").collect()
+    assert ("C", 2) in {tuple(r) for r in flagged}
+
+
+def test_sketches_of_parts_merge_to_the_whole(spark, tmp_path):
+    from logfold.plans import sketches
+    path = str(tmp_path / "sketches")
+    for day in range(4):  # each day shows new and known signatures
+        sketches.store_sketches(spark.range(day * 3000, day * 3000 + 9000).selectExpr(f"{day} AS day", "concat('s', id) AS sig"), path, ["day"])
+    whole = sketches.estimated_duplication(spark, path).first()
+    assert whole.N == 36_000 and abs(whole.U - 18_000) < 360
+    assert all(abs(r.U - 9000) < 180 for r in sketches.estimated_duplication(spark, path, ["day"]).collect())
