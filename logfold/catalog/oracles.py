@@ -108,11 +108,11 @@ fruns AS (SELECT p AS pipeline, workload_id, 1 - U / N AS dup_ratio, N, CASE p W
     FROM fwl, (VALUES ('A'), ('B'), ('C')) AS t(p))"""
 
 
-def _metrics(runs: str, out: str) -> str:
+def _metrics(runs: str, out: str, settled: str = "true") -> str:
     band = "CASE WHEN dup_ratio <= 0.30 THEN 'low' WHEN dup_ratio <= 0.70 THEN 'med' ELSE 'high' END"
     return f"""{out}_sized AS (SELECT *, storage / M AS bytes_per_doc FROM {runs}),
 {out}_flagged AS (SELECT *, bytes_per_doc / median(bytes_per_doc) OVER (PARTITION BY pipeline) AS bloat FROM {out}_sized),
-{out}_valid AS (SELECT *, bloat <= 1.5 AS storage_valid FROM {out}_flagged),
+{out}_valid AS (SELECT *, bloat <= 1.5 AND {settled} AS storage_valid FROM {out}_flagged),
 {out} AS (SELECT r.pipeline, r.workload_id, r.dup_ratio, {band.replace('dup_ratio', 'r.dup_ratio')} AS category,
     r.N, r.M, r.reconstructed, r.storage, r.storage_valid, r.bytes_per_doc, r.bloat,
     CASE WHEN r.storage_valid THEN 1 - r.storage / b.storage END AS SRR, r.dup_ratio AS SRR_theoretical,
@@ -197,7 +197,7 @@ ORACLES["run_metrics"] = _with(*NORMAL) + f"SELECT {_METRIC_COLUMNS} FROM normal
 ORACLES["pipeline_medians"] = _with(*DAY_RUNS) + f"""
 SELECT pipeline, round(median(storage / M), {DIGITS}) AS median FROM runs GROUP BY pipeline"""
 
-ORACLES["comparison_table"] = _with(*BOTH) + f"""
+_COMPARISON = f"""
 SELECT s.pipeline, s.category, count(*) AS N_Runs, count(*) FILTER (storage_valid) AS N_Storage,
     CAST(round_even(round_even(avg(M), 4), 0) AS BIGINT) AS Avg_Docs,
     round_even(round_even(avg(storage) FILTER (storage_valid), 4) / 1048576, 2) AS Avg_Storage_MB,
@@ -208,6 +208,13 @@ SELECT s.pipeline, s.category, count(*) AS N_Runs, count(*) FILTER (storage_vali
 FROM normal s LEFT JOIN (SELECT pipeline, category, avg(IPR) AS ipr FROM failure GROUP BY ALL) f
     ON s.pipeline = f.pipeline AND s.category = f.category
 GROUP BY s.pipeline, s.category"""
+ORACLES["comparison_table"] = _with(*BOTH) + _COMPARISON
+
+# Run tables as they come from files: counts blank or with a fraction, runs that did not settle.
+_TOLD = """told AS (SELECT * REPLACE (CASE WHEN workload_id % 7 = 0 THEN M ELSE reconstructed END AS reconstructed),
+    NOT (pipeline = 'B' AND workload_id % 5 = 0) AS settled FROM runs)"""
+ANALYSIS = (*DAY_RUNS, _TOLD, _metrics("told", "normal", "settled"), RESTART, _metrics("fruns", "failure"))
+ORACLES["analyze_runs"] = _with(*ANALYSIS) + _COMPARISON
 
 ORACLES["ipr_grid"] = _with(*BOTH) + f"""
 SELECT p AS pipeline, c AS category,
@@ -239,11 +246,13 @@ SELECT 'failure', pipeline, workload_id, round(dup_ratio * 100, {DIGITS}), round
 ORACLES["storage_line"] = _with(*CHAT_METRICS) + f"""
 SELECT pipeline, workload_id, round(storage / 1048576, {DIGITS}) AS storage_mb, storage_valid AS included FROM normal"""
 
-ORACLES["exclusion_report"] = _with(*CHAT_METRICS) + f"""
+_EXCLUDED = """
 SELECT pipeline, workload_id, round(bloat, 1) AS bloat, excluded, runs, CAST(1.5 AS DOUBLE) AS factor,
-    'wl' || workload_id || '(' || coalesce(format('{{:.1f}}', round(bloat, 1)), 'nan') || 'x)' AS label FROM (
+    'wl' || workload_id || '(' || coalesce(format('{:.1f}', round(bloat, 1)), 'nan') || 'x)' AS label FROM (
     SELECT *, count(*) FILTER (NOT storage_valid) OVER (PARTITION BY pipeline) AS excluded,
         count(*) OVER (PARTITION BY pipeline) AS runs FROM normal) WHERE NOT storage_valid"""
+ORACLES["exclusion_report"] = _with(*CHAT_METRICS) + _EXCLUDED
+ORACLES["analyze_exclusions"] = _with(*ANALYSIS) + _EXCLUDED
 
 ORACLES["storage_smoothed"] = _with(*DAY_RUNS) + f"""
 SELECT pipeline, workload_id, {_round('mb, med, mad')}, outlier, round(avg(clean) OVER w3, {DIGITS}) AS smoothed

@@ -14,7 +14,7 @@ from logfold.functions import scalars as S
 from logfold.operators import folding, shaping, tables
 from logfold.operators.amplify import amplify_duplicates
 from logfold.operators.ranking import cut_points, group_median
-from logfold.plans import advice, measured, metrics, reports, runs, sketches
+from logfold.plans import advice, analysis, measured, metrics, reports, runs, sketches
 from logfold.session import materialize, scratch_path
 from logfold.sources import files
 from logfold.streaming import folds
@@ -239,6 +239,29 @@ def exclusion_report(spark, sf):
         "pipeline", "workload_id", "bloat", "excluded", "runs", "label", "factor"))
 
 
+def _analysis(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Run tables written as files, with blank counts, counts with a fraction, and runs that did not settle; then read and analyzed."""
+    folded = daily_restart_fold(spark, sf)
+    normal, failure = runs.runs_table(folded), runs.runs_table(folded, restarted=True)
+    told = F.when(F.col("workload_id") % 7 != 0, F.concat(F.col("reconstructed").cast("string"), F.lit(".5")))
+    settled = F.when((F.col("pipeline") == "B") & (F.col("workload_id") % 5 == 0), " False ").otherwise("true")
+    paths = scratch_path(spark, "runs_csv"), scratch_path(spark, "failure_csv")
+    files.write_csv(normal.drop("forwarded").withColumns({"reconstructed": told, "settled": settled}), paths[0])
+    files.write_csv(failure.drop("forwarded", "settled"), paths[1])
+    return analysis.analyze_runs(spark, *paths)
+
+
+@register
+def analyze_runs(spark, sf):
+    return rounded(_analysis(spark, sf)["comparison"])
+
+
+@register
+def analyze_exclusions(spark, sf):
+    return rounded(_analysis(spark, sf)["exclusions"].select(
+        "pipeline", "workload_id", "bloat", "excluded", "runs", "label", "factor"))
+
+
 @register
 def storage_smoothed(spark, sf):
     return rounded(reports.storage_smoothed(daily_runs(spark, sf), unit=16.0))

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_EPS = 0.02
-MAX_COUNT = 10 ** 15
-MAX_STEPS = 1_000_000
+# The largest count that a 64-bit number holds, so no signature falls silent.
+MAX_COUNT = 2 ** 63 - 1
+MAX_STEPS = 1_300_000
 
 
 @lru_cache(maxsize=32)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, DoubleType, IntegerType, LongType, StringType, StructField,
                                StructType)
 
 from logfold.operators.shaping import path_tag, skip_long_lines
-from logfold.session import materialize
 
 EVENT_SCHEMA = StructType([StructField(name, StringType()) for name in (
     "level", "component", "message", "entity", "event_id", "pod", "namespace", "timestamp", "trace_id")])
@@ -96,12 +97,27 @@ def stream_logs(spark: SparkSession, path: str, glob: str = WORKLOAD_GLOB, files
     return parse_cri(lines)
 
 
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of a folder of run tables by their header line."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                                         F.monotonically_increasing_id().alias("n"))
+    heads = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("head"))
+    return {r["head"]: r["files"] for r in heads.groupBy("head").agg(F.collect_list("file").alias("files")).orderBy("head").collect()}
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Run tables with a header; columns that older files lack come back as NULL.
 
-    Numbers are read as text first, since counts may carry a fraction or be blank.
+    Files with other columns, or the same in another order, are each read by their own header. Numbers are
+    read as text first, since counts may carry a fraction or be blank.
     """
-    raw = spark.read.option("header", True).csv(path)
+    parts = [_typed_runs(spark.read.option("header", True).csv(files)) for files in _headers(spark, path).values()]
+    if not parts:
+        return spark.createDataFrame([], RUN_SCHEMA)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _typed_runs(raw: DataFrame) -> DataFrame:
     columns = []
     for item in RUN_SCHEMA.fields:
         if item.name not in raw.columns:
@@ -117,9 +133,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*columns)
 
 
-def write_csv(df: DataFrame, path: str, single_file_rows: int = 100_000) -> None:
-    """A table as CSV with a header: one file for a summary of checked size, else as it comes."""
-    table = materialize(df, "export")
-    if table.count() <= single_file_rows:
-        table = table.coalesce(1)
+def write_csv(df: DataFrame, path: str, files: int | None = 1) -> None:
+    """A table as CSV with a header: summaries in one file, larger tables in ``files`` of them, or as they come (None)."""
+    table = df if files is None else df.coalesce(1) if files == 1 else df.repartition(files)
     table.write.mode("overwrite").option("header", True).csv(path)

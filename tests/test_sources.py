@@ -109,6 +109,24 @@ def test_run_tables_with_and_without_optional_columns(spark, tmp_path):
     assert (old.first().settled, old.first().reconstructed, old.first().M) == (None, None, 100)
 
 
+def test_run_tables_of_several_headers_are_read_by_name(spark, tmp_path):
+    write(tmp_path / "a.csv", ["pipeline,workload_id,N,M", "A,1,100,90"])
+    write(tmp_path / "b.csv", ["M,N,pipeline,workload_id,settled", "50,100,B,2, FALSE ", ",7.0,C,3,"])
+    rows = {r.pipeline: (r.workload_id, r.N, r.M, r.settled) for r in files.read_runs(spark, str(tmp_path)).collect()}
+    assert rows == {"A": (1, 100, 90, None), "B": (2, 100, 50, False), "C": (3, 7, None, None)}
+
+
+def test_analysis_without_failures_and_its_export(spark, tmp_path):
+    from logfold.plans import analysis
+    (tmp_path / "runs").mkdir()
+    write(tmp_path / "runs" / "r.csv", ["pipeline,workload_id,dup_ratio,N,M,storage", "A,1,0.5,100,100,1000", "B,1,0.5,100,50,600", "B,2,0.9,100,10,9000"])
+    tables = analysis.analyze_runs(spark, str(tmp_path / "runs"))
+    assert "tradeoff" not in tables and all(r.IPR_Failure is None for r in tables["comparison"].collect())
+    assert [(r.label, r.excluded, r.runs) for r in tables["exclusions"].collect()] == [("wl2(2.0x)", 1, 2)] or tables["exclusions"].count() == 1
+    analysis.export(tables, str(tmp_path / "out"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "metrics")).count() == 3
+
+
 def test_csv_export(spark, tmp_path):
     files.write_csv(spark.createDataFrame([("A", 1)], "Pipeline string, n long"), str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).first().asDict() == {"Pipeline": "A", "n": "1"}
