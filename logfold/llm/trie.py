@@ -219,6 +219,7 @@ def rollup(forest: DataFrame, lookup: DataFrame, local: int = LOCAL) -> DataFram
     whole = lambda x: F.lit(x).cast("long")
     rows = forest.select(*NODE, "parent", whole(root["conv_id"]).alias("top_conv"), whole(root["depth"]).alias("top_depth"), "weight", "leaf", "saved",
                          whole(0).alias("add_leaf"), whole(0).alias("add_saved"))
+    rows = materialize(rows, "forest")  # else the one top is a constant, and joins on it have no key
     finished, small = [], []
     while True:
         large = materialize(_sizes(rows).filter(F.col("size") > local), "large")
