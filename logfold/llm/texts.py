@@ -6,6 +6,8 @@ partitions the work.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,18 +28,28 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def release() -> None:
+    """Give unused memory back: workers wait for their next task with what they hold, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most`` bytes of text; a longer text is a slice of its own."""
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        begin = 0
-        while begin < batch.num_rows:
-            before = size[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(size, before + most, side="right")))
-            yield batch.slice(begin, end - begin)
-            begin = end
+    try:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            begin = 0
+            while begin < batch.num_rows:
+                before = size[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(size, before + most, side="right")))
+                yield batch.slice(begin, end - begin)
+                begin = end
+    finally:
+        release()
 
 
 def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
