@@ -1,7 +1,7 @@
 """Near-duplicate vectors by NN-descent.
 
 1. Equal vectors of a label become one with a number of copies.
-2. In a label of up to ``WHOLE`` different vectors all pairs are compared, in blocks. Steps 3 to 6 are for larger ones.
+2. A label of up to ``LIST_MOST`` different vectors fits into one list and is one block. Steps 3 to 6 are for all others.
 3. A first graph: vectors of a label that share the signs of random projections, as many as its size needs, are
    compared in small blocks, and each keeps a list of its nearest. Only neighbours from a cosine of ``FLOOR`` are kept,
    since others lead nowhere near a duplicate.
@@ -10,17 +10,21 @@
    it becomes ``GROW`` times as long and the descent goes on.
 5. Every comparison that gives a link counts, whether a list has room for it or not: a block returns ties, the fewest
    pairs that connect what its links connect.
-6. Audit: about ``AUDIT`` vectors of each label, chosen by a hash, are compared with all others of it. A label is
-   settled when a pair at ``LINK`` has shared a cell with a probability of ``TARGET`` and, for audited vectors of every
-   size class (by powers of two of their links), ``TARGET`` of the links lie within one component. Others get more
-   projections. A label that is not settled after ``ROUNDS``, or shows no link to judge by, is compared whole, as in 2.
+6. Audit. A label is settled when, by theory, a pair at ``LINK`` has shared a cell with a probability of ``TARGET``, and
+   a trial agrees. The trial takes about ``AUDIT`` vectors of the label, half of them by a hash of all and half by a hash
+   of those with a neighbour in their list, and compares them with all others: for those of every size class (by powers
+   of two of their links) ``TARGET`` of the links must lie within one component. Where none of them has a link, planted
+   pairs are the trial: vectors turned by the angle of ``LINK``, of which ``TARGET`` must have shared a block with
+   what they were turned from. Other labels get more projections. Only a label that is not settled after ``ROUNDS`` is
+   compared whole, in blocks.
 7. Ties make components. Within a component all pairs are compared in blocks, which gives the exact number of links;
    only numbers leave a block.
 
-Cosines are taken in double precision. Vectors that are null, empty, zero, or hold null or non-finite components, or
-have no label, link with nothing; so do vectors of different length. A component's id is its smallest vec_id. Rows
-that share a vec_id are one row each, with equal results if their vectors are equal; a null vec_id links with nothing.
-An empty table gives an empty result. Columns other than vec_id, embedding and label are not read.
+Cosines are taken in double precision, of the vectors as given: float vectors travel as float, all others as double.
+Vectors that are null, empty, zero, or hold null or non-finite components, or have no label, link with nothing; so do
+vectors of different length. A component's id is its smallest vec_id. Rows that share a vec_id are one row each, with
+equal results if their vectors are equal; a null vec_id links with nothing. An empty table gives an empty result.
+Columns other than vec_id, embedding and label are not read.
 """
 
 from __future__ import annotations
@@ -42,10 +46,10 @@ LINK, FLOOR = 0.98, 0.8
 LIST, GROW, LIST_MOST = 16, 4, 64
 #: Projections (tables of sign bits) that a round adds, rows that a block of the first graph has about, rows of an exact block.
 TABLES, CELL, EXACT = 6, 64, 512
-#: Vectors of a label whose pairs are all compared, and rows of a block of that and of the audit.
-WHOLE, BLOCK = 8192, 2048
-#: Vectors that are audited in a label, share of their links that must be found, rounds before it is compared whole.
-AUDIT, TARGET, ROUNDS = 512, 0.995, 5
+#: Rows of a block of the audit and of a label that is compared whole.
+BLOCK = 2048
+#: Vectors (and planted pairs) that are audited in a label, share of links that must be found, rounds before it is compared whole.
+AUDIT, TARGET, ROUNDS = 512, 0.995, 6
 #: Signs of a table at most.
 MOST_BITS = 32
 #: Descent steps of a round at most, and the share of list entries that may still change at its end.
@@ -113,9 +117,27 @@ def _bits(size: Column) -> Column:
     return F.least(F.greatest(F.ceil(F.log2(size / CELL)), F.lit(1)), F.lit(MOST_BITS)).cast("int")
 
 
-def projected(vectors: DataFrame, seed: int) -> DataFrame:
-    """Edges and ties between vectors that share the signs of random projections, in ``TABLES`` tables."""
-    schema = pa.schema([("id", pa.int64()), ("cell", pa.string()), ("x", pa.list_(pa.float32()))])
+def _chosen(size: Column, count: int, seed: int) -> Column:
+    """About ``count`` of so many vectors, by a hash."""
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) * size < count * (1 << 30)
+
+
+def _turned(x: np.ndarray, ids: np.ndarray, seed: int) -> np.ndarray:
+    """Unit vectors at a cosine of ``LINK`` to the given ones, in a direction that depends on id and seed alone."""
+    away = np.stack([np.random.default_rng((seed, abs(int(i)))).normal(size=x.shape[1]) for i in ids])
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    length = np.sqrt((away * away).sum(axis=1, keepdims=True))
+    return LINK * x + math.sqrt(1 - LINK * LINK) * away / np.where(length > 0, length, 1)
+
+
+def projected(vectors: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Edges and ties between vectors that share the signs of random projections, in ``TABLES`` tables.
+
+    Also grp, id and met: whether a vector shared a block with the one that was planted beside it, for about ``AUDIT``
+    vectors of a label. Planted vectors are compared with nothing else.
+    """
+    value = _value_type(vectors)
+    schema = pa.schema([("id", pa.int64()), ("grp", pa.string()), ("cell", pa.string()), ("planted", pa.bool_()), ("x", pa.list_(value))])
 
     def signs(batches):  # noqa: ANN001, ANN202
         for batch in batches:
@@ -126,13 +148,25 @@ def projected(vectors: DataFrame, seed: int) -> DataFrame:
                 bits = rows.column("bits").to_numpy()
                 most = int(bits.max())
                 planes = np.random.default_rng(seed * 1009 + dim).normal(size=(dim, TABLES, MOST_BITS))[:, :, :most]
-                # a smaller label uses the first of the signs
-                sign = ((x @ planes.reshape(dim, -1)) > 0).reshape(len(x), TABLES, most) & (np.arange(most) < bits[:, None])[:, None]
-                code = sign @ (1 << np.arange(most, dtype=np.int64))
-                names = rows.column("grp").to_pylist()
+
+                def codes(x: np.ndarray, bits: np.ndarray) -> np.ndarray:
+                    # a smaller label uses the first of the signs
+                    sign = ((x @ planes.reshape(dim, -1)) > 0).reshape(len(x), TABLES, most) & (np.arange(most) < bits[:, None])[:, None]
+                    return sign @ (1 << np.arange(most, dtype=np.int64))
+
+                probe = np.flatnonzero(rows.column("probe").to_numpy(zero_copy_only=False))
+                own, names, ids = codes(x, bits), rows.column("grp").to_pylist(), rows.column("id")
+                beside = codes(_turned(x[probe], ids.to_numpy()[probe], seed), bits[probe]) if len(probe) and dim > 1 else own[probe]
+                some = pa.array(probe)
                 for t in range(TABLES):
-                    yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array([f"{g}:{t}:{c}" for g, c in zip(names, code[:, t], strict=True)]),
-                                                      rows.column("x").cast(pa.list_(pa.float32()))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([
+                        ids, rows.column("grp"), pa.array([f"{g}:{t}:{c}" for g, c in zip(names, own[:, t], strict=True)]),
+                        pa.array(np.zeros(len(ids), bool)), rows.column("x").cast(pa.list_(value))], schema=schema)
+                    if len(probe):
+                        yield pa.RecordBatch.from_arrays([
+                            ids.take(some), rows.column("grp").take(some),
+                            pa.array([f"{names[k]}:{t}:{c}" for k, c in zip(probe, beside[:, t], strict=True)]),
+                            pa.array(np.ones(len(probe), bool)), pa.array([None] * len(probe), pa.list_(value))], schema=schema)
 
     def compare(table: pa.Table) -> pa.Table:
         if table.num_rows < 2:
@@ -140,11 +174,28 @@ def projected(vectors: DataFrame, seed: int) -> DataFrame:
         x = unit(table.column("x"))
         return _edges_and_ties(table.column("id").to_numpy(), x @ x.T, LIST, FLOOR)
 
-    cells = materialize(vectors.select("id", "grp", "x", _bits(F.col("group_size")).alias("bits")).mapInArrow(signs, "id long, cell string, x array<float>"), "cells")
+    asked = vectors.select("id", "grp", "x", _bits(F.col("group_size")).alias("bits"), _chosen(F.col("group_size"), AUDIT, 12).alias("probe"))
+    both = materialize(asked.mapInArrow(signs, f"id long, grp string, cell string, planted boolean, {_x_type(vectors)}"), "cells")
+    cells = both.filter("NOT planted")
     size = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # a crowded cell is dealt into blocks at random, another deal in every table
-    block = F.pmod(F.xxhash64("id", "cell"), F.ceil(F.col("n") / (4 * CELL)).cast("long"))
-    return cells.join(size, "cell").withColumn("block", block).select("cell", "block", "id", "x").groupBy("cell", "block").applyInArrow(compare, _EDGE)
+    block = lambda salt: F.pmod(F.xxhash64("id", "cell", F.lit(salt)), F.ceil(F.col("n") / (4 * CELL)).cast("long"))
+    edges = (cells.join(size, "cell").withColumn("block", block(0)).select("cell", "block", "id", "x")
+             .groupBy("cell", "block").applyInArrow(compare, _EDGE))
+    # where a planted vector lies in a cell with its own, both have the same id there
+    probes = both.filter("planted").select("id", "grp", "cell")
+    sized = probes.join(size, "cell", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("beside", block(1)).withColumn("block", block(0))
+    beside = sized.join(cells.select("id", "grp", "cell", F.lit(True).alias("here")), ["id", "grp", "cell"], "left")
+    met = beside.groupBy("grp", "id").agg(F.max(F.coalesce(F.col("here") & (F.col("beside") == F.col("block")), F.lit(False))).alias("met"))
+    return edges, met
+
+
+def _value_type(vectors: DataFrame) -> pa.DataType:
+    return pa.float32() if vectors.schema["x"].dataType.elementType.typeName() == "float" else pa.float64()
+
+
+def _x_type(vectors: DataFrame) -> str:
+    return f"x {vectors.schema['x'].dataType.simpleString()}"
 
 
 def _by_length(batch: pa.RecordBatch):  # noqa: ANN202
@@ -204,9 +255,10 @@ def descend(lists: DataFrame, vectors: DataFrame, room: DataFrame | None) -> tup
     return lists, reduce(DataFrame.union, ties)
 
 
-def graph(vectors: DataFrame, old: DataFrame | None, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Neighbour lists and ties: first graph, descent, and longer lists where they are full of links."""
-    new = materialize(projected(vectors, seed), "edges")
+def graph(vectors: DataFrame, old: DataFrame | None, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Neighbour lists and ties (first graph, descent, longer lists where they are full of links), and the planted pairs."""
+    edges, met = projected(vectors, seed)
+    new = materialize(edges, "edges")
     lists = materialize(merged(old, new.filter("NOT tie"), None), "lists")
     lists, ties = descend(lists, vectors, None)
     ties = ties.union(new.filter("tie").select("a", "b"))
@@ -222,7 +274,7 @@ def graph(vectors: DataFrame, old: DataFrame | None, seed: int) -> tuple[DataFra
         lists = materialize(lists.withColumn("room", F.coalesce("room", F.lit(LIST))), "lists")
         lists, more = descend(lists, vectors, room)
         ties = ties.union(more)
-    return lists, ties
+    return lists, ties, met
 
 
 def with_component(vectors: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -253,17 +305,23 @@ def whole_ties(vectors: DataFrame, labels: DataFrame | None) -> DataFrame:
     return materialize(pairs.groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long"), "ties")
 
 
-def audit(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+def audit(vectors: DataFrame, labels: DataFrame, lists: DataFrame | None = None) -> DataFrame:
     """grp and recall: the least share, over size classes, of the links of some vectors that lie within a component.
 
-    The vectors are compared with all others of their label; one whose audited vectors have no link has no row.
+    The vectors, half of them from all and half from those with a neighbour in ``lists``, are compared with all others of
+    their label; a label whose audited vectors have no link has no row.
     """
     parts = F.ceil(F.col("group_size") / BLOCK).cast("long")
     rows = with_component(vectors, labels).select("grp", "id", "x", "component", "group_size", parts.alias("parts"))
-    chosen = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) * F.col("group_size") < AUDIT * (1 << 30)
-    asked = rows.filter(chosen).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("asked", F.lit(True))
+    chosen = rows.filter(_chosen(F.col("group_size"), AUDIT if lists is None else AUDIT // 2, 11)).select("grp", "id")
+    if lists is not None:
+        near = rows.select("grp", "id").join(lists.select(F.col("a").alias("id")).distinct(), "id")
+        size = near.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+        chosen = chosen.union(near.join(size, "grp").filter(_chosen(F.col("n"), AUDIT // 2, 13)).select("grp", "id")).distinct()
+    asked = rows.join(chosen, ["grp", "id"], "left_semi")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("asked", F.lit(True))
     others = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("asked", F.lit(False))
-    dealt = asked.union(others).select("grp", "part", "asked", "id", "x", "component")
+    dealt = asked.select("grp", "part", "asked", "id", "x", "component").union(others.select("grp", "part", "asked", "id", "x", "component"))
 
     def count(table: pa.Table) -> pa.Table:
         asked = table.column("asked").to_numpy()
@@ -286,19 +344,22 @@ def rounds_needed(size: Column) -> Column:
 
 def connected(vectors: DataFrame) -> tuple[DataFrame, float]:
     """node and component of all that has links, and the least recall of a label."""
-    labels = components(whole_ties(vectors.filter(F.col("group_size") <= WHOLE), None))
-    large = vectors.filter(F.col("group_size") > WHOLE)
+    labels = components(whole_ties(vectors.filter(F.col("group_size") <= LIST_MOST), None))
+    large = vectors.filter(F.col("group_size") > LIST_MOST)
     left = materialize(large.groupBy("grp").agg(rounds_needed(F.max("group_size")).alias("rounds")), "left")
-    lists, recall = None, 1.0
+    lists, planted, recall = None, None, 1.0
     joined = lambda ties: components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(ties))
     for seed in range(1, ROUNDS + 1):
         if left.isEmpty():
             return labels, recall
         own = materialize(large.join(left, "grp", "left_semi"), "own")
-        lists, ties = graph(own, lists and lists.join(own.select(F.col("id").alias("a")), "a", "left_semi"), seed)
+        lists, ties, met = graph(own, lists and lists.join(own.select(F.col("id").alias("a")), "a", "left_semi"), seed)
         labels = joined(ties)
-        seen = audit(own, labels).filter(F.col("recall") >= TARGET)
-        settled = materialize(left.filter(F.col("rounds") <= seed).join(seen, "grp").select("grp", "recall"), "settled")
+        planted = materialize((planted.union(met) if planted else met).groupBy("grp", "id").agg(F.max("met").alias("met")), "planted")
+        trial = planted.groupBy("grp").agg(F.avg(F.col("met").cast("double")).alias("trial"))
+        seen = left.join(audit(own, labels, lists), "grp", "left").join(trial, "grp", "left")
+        seen = seen.withColumn("recall", F.coalesce("recall", "trial"))
+        settled = materialize(seen.filter((F.col("rounds") <= seed) & (F.col("recall") >= TARGET)).select("grp", "recall"), "settled")
         least = settled.agg(F.min("recall")).head()[0]
         recall = recall if least is None else min(recall, least)
         left = materialize(left.join(settled, "grp", "left_anti"), "left")
@@ -333,7 +394,8 @@ def exact_links(vectors: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_vectors(table: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept and the audited recall; one row per vector."""
-    rows = table.select("vec_id", "label", F.col("embedding").cast("array<float>").alias("x"))
+    given = table.schema["embedding"].dataType.elementType.typeName()
+    rows = table.select("vec_id", "label", F.col("embedding").cast("array<float>" if given == "float" else "array<double>").alias("x"))
     good = rows.filter("vec_id IS NOT NULL AND label IS NOT NULL").filter(usable(F.col("x")))
     good = good.withColumn("grp", F.concat_ws(":", "label", F.size("x")))
     same = good.groupBy("grp", "x").agg(F.min("vec_id").cast("long").alias("id"), F.count(F.lit(1)).alias("copies"))

@@ -172,9 +172,7 @@ def crowded(draw):
     return [(k, v.tolist(), 0) for k, v in enumerate(rows)]
 
 
-@pytest.mark.parametrize("whole", [0, descent.WHOLE])
-def test_links_beyond_full_lists(spark, monkeypatch, whole):
-    monkeypatch.setattr(descent, "WHOLE", whole, raising=False)
+def test_links_beyond_full_lists(spark):
     rows = crowded(np.random.default_rng(4))
     out = descent.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out} == brute_vectors(rows)
@@ -193,13 +191,65 @@ def test_audit_sees_small_groups(spark):
 
 
 def test_label_that_cannot_be_settled_is_compared_whole(spark, monkeypatch):
-    monkeypatch.setattr(descent, "WHOLE", 0)
     monkeypatch.setattr(descent, "ROUNDS", 0)
     rows = crowded(np.random.default_rng(9))
     out = descent.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out} == brute_vectors(rows)
 
 
+def test_label_without_links_is_settled_by_planted_pairs(spark, monkeypatch):
+    """No vector is near another: the trial is planted, and nothing is compared whole."""
+    sizes = []
+    whole = descent.whole_ties
+    monkeypatch.setattr(descent, "whole_ties", lambda vectors, labels: sizes.append(vectors.count()) or whole(vectors, labels))
+    draw = np.random.default_rng(12)
+    rows = [(k, draw.normal(size=32).tolist(), 0) for k in range(9000)]
+    out = descent.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert all((r.n_links, r.component_id, r.kept) == (0, r.vec_id, True) for r in out) and len(out) == 9000
+    assert sizes == [0] and out[0].recall >= descent.TARGET
+
+
+def test_large_label_by_descent(spark, monkeypatch):
+    """20,000 vectors of one label, a third of them in one group: links against all pairs by matrix product."""
+    sizes = []
+    whole = descent.whole_ties
+    monkeypatch.setattr(descent, "whole_ties", lambda vectors, labels: sizes.append(vectors.count()) or whole(vectors, labels))
+    draw = np.random.default_rng(14)
+    unit = lambda v: v / np.linalg.norm(v)
+    x = [*vectors(draw, unit(draw.normal(size=32)), 3000, 0.15)]
+    while len(x) < 20000:
+        base = unit(draw.normal(size=32))
+        x += [base] if draw.random() < 0.7 else [*vectors(draw, base, int(draw.integers(2, 40)), 0.12)]
+    x = np.array(x[:20000], np.float32)
+    table = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in descent.near_vectors(table).collect()}
+    full = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.concatenate([(full[k:k + 2000] @ full.T >= descent.LINK).sum(axis=1) - 1 for k in range(0, 20000, 2000)])
+    found = np.array([got[k] for k in range(20000)])
+    assert (found <= want).all() and found.sum() >= 0.999 * want.sum()
+    single = (want > 0) & (want < 8)
+    assert found[single].sum() >= descent.TARGET * want[single].sum()
+    assert sizes == [0]
+
+
+def test_cosine_of_double_vectors(spark):
+    """A pair whose cosine is 0.98 or more only in double precision, and one that is only so after rounding to float."""
+    rows, found = [], set()
+    draw = np.random.default_rng(2)
+    while len(found) < 2:
+        v, angle = draw.normal(size=3), np.arccos(0.98) + draw.uniform(-2e-8, 2e-8)
+        v /= np.linalg.norm(v)
+        side = np.cross(v, draw.normal(size=3))
+        w = np.cos(angle) * v + np.sin(angle) * side / np.linalg.norm(side)
+        near = lambda a, b: bool(a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.98)
+        exact, rounded = near(v, w), near(v.astype(np.float32).astype(float), w.astype(np.float32).astype(float))
+        if exact != rounded and exact not in found and abs(v @ w - 0.98) > 1e-12:
+            found.add(exact)
+            rows += [(len(rows), v.tolist(), len(rows), exact), (len(rows) + 1, w.tolist(), len(rows), exact)]
+    table = spark.createDataFrame([r[:3] for r in rows], "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: r.n_links for r in descent.near_vectors(table).collect()} == {r[0]: int(r[3]) for r in rows}
+
+
 def test_one_of_each_group_of_texts_stays(spark):
     """Rows of one id go only as near copies: an unrelated text under the same id stays, whatever its place."""
     a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
