@@ -148,6 +148,8 @@ COUNTED = """counted AS (SELECT *, row_number() OVER (PARTITION BY sig ORDER BY
 ORACLES["index_running_count"] = _with(BY_USER, COUNTED) + """
 SELECT event_id, sig AS _agg_id, c AS count FROM counted"""
 
+ORACLES["index_running_count_split"] = ORACLES["index_running_count"]
+
 ORACLES["first_sighting"] = _with(LINES) + """
 SELECT sig, doc_id, pos, message FROM (
     SELECT *, row_number() OVER (PARTITION BY sig ORDER BY doc_id, pos) AS rn FROM lines) WHERE rn = 1"""
@@ -296,6 +298,12 @@ grown AS (SELECT pipeline, workload_id, CAST(sum(docs) OVER w AS BIGINT) AS M, C
 ORACLES["cumulative_growth"] = _with(DAILY, GROWTH) + f"""
 SELECT pipeline, workload_id, round(total_storage / 1048576, {DIGITS}) AS total_mb FROM grown"""
 
+SIXES = "sixes AS (SELECT * REPLACE (CAST(floor(workload_id / 6) AS BIGINT) AS workload_id) FROM elog)"
+
+ORACLES["cumulative_growth_stored"] = _with(DAILY, SIXES, GROWTH.replace("elog", "sixes")) + """
+SELECT pipeline, workload_id, n AS "N", M, total_storage FROM grown JOIN
+    (SELECT workload_id, count(*) AS n FROM sixes GROUP BY workload_id) USING (workload_id)"""
+
 ORACLES["cumulative_summary"] = _with(DAILY, GROWTH) + """
 SELECT pipeline AS Pipeline, count(*) AS Workloads, arg_max(M, workload_id) AS Final_Docs,
     round_even(arg_max(total_storage, workload_id) / 1048576, 2) AS Final_Storage_MB,
@@ -488,3 +496,5 @@ ORACLES["stream_edge"] = _with(BY_USER, _schedule(DEFAULT_EPS)) + """
 SELECT sig AS _agg_id, e AS count FROM (SELECT sig, count(*) AS n FROM elog GROUP BY sig) c ASOF JOIN steps ON c.n >= steps.e"""
 
 ORACLES["stream_emissions"] = ORACLES["edge_emissions"]
+for _name in ("edge_emissions", "cut_records", "amplify"):
+    ORACLES[f"{_name}_split"] = ORACLES[_name]

@@ -14,7 +14,7 @@ from logfold.functions import scalars as S
 from logfold.operators import folding, shaping, tables
 from logfold.operators.amplify import amplify_duplicates
 from logfold.operators.ranking import cut_points, group_median
-from logfold.plans import advice, analysis, measured, metrics, reports, runs, sketches
+from logfold.plans import advice, analysis, growth, measured, metrics, reports, runs, sketches
 from logfold.session import materialize, scratch_path
 from logfold.sources import files
 from logfold.streaming import folds
@@ -103,6 +103,19 @@ def index_running_count(spark, sf):
     return folding.running_counts(signed_events(spark, sf), V.EVENT_ORDER).select("event_id", "_agg_id", "count")
 
 
+def _split(df: DataFrame) -> tuple[DataFrame, int]:
+    """A table of about fifty even groups and a bound that some of them exceed, so that those are spread over partitions."""
+    rows = materialize(df, "rows")
+    return rows, max(1, rows.count() // 50)
+
+
+@register
+def index_running_count_split(spark, sf):
+    """As ``index_running_count``, with groups on both sides of the bound."""
+    rows, bound = _split(signed_events(spark, sf))
+    return folding.running_counts(rows, V.EVENT_ORDER, hot_rows=bound).select("event_id", "_agg_id", "count")
+
+
 @register
 def first_sighting(spark, sf):
     lines = K.with_signature(V.line_log(spark, sf)).select("sig", "doc_id", "pos", "message")
@@ -119,6 +132,13 @@ def edge_emissions(spark, sf):
     return folding.edge_emissions(signed_events(spark, sf), V.EVENT_ORDER).select("event_id", "_agg_id", "count")
 
 
+@register
+def edge_emissions_split(spark, sf):
+    """As ``edge_emissions``, with groups on both sides of the bound."""
+    rows, bound = _split(signed_events(spark, sf))
+    return folding.edge_emissions(rows, V.EVENT_ORDER, hot_rows=bound).select("event_id", "_agg_id", "count")
+
+
 @register
 def edge_stored_counts(spark, sf):
     return folding.edge_counts(V.by_user(spark, sf, 10))
@@ -181,6 +201,13 @@ def cut_records(spark, sf):
         "workload_id", "rows", "cut_ts_us", "cut_event_id")
 
 
+@register
+def cut_records_split(spark, sf):
+    """As ``cut_records``, with every sliver of more than one row spread over partitions."""
+    return cut_points(V.daily_log(spark, sf), ["workload_id"], V.EVENT_ORDER, 0.5, hot_rows=1).select(
+        "workload_id", "rows", "cut_ts_us", "cut_event_id")
+
+
 @register
 def restart_runs(spark, sf):
     return rounded(runs.runs_table(daily_restart_fold(spark, sf), restarted=True).select(
@@ -288,6 +315,17 @@ def cumulative_growth(spark, sf):
     return rounded(reports.cumulative_growth(runs.cumulative_runs(V.daily_log(spark, sf))))
 
 
+@register
+def cumulative_growth_stored(spark, sf):
+    """The shared store grown by six days at a time; each step folds its own days only."""
+    six = F.floor(F.col("workload_id") / 6).cast("long")
+    log = materialize(V.daily_log(spark, sf).select(six.alias("workload_id"), "sig", "bytes"), "log")
+    path = scratch_path(spark, "growth")
+    for row in log.select("workload_id").distinct().orderBy("workload_id").collect():
+        growth.add_workload(log.where(F.col("workload_id") == row.workload_id), path, row.workload_id)
+    return growth.grown(spark, path)
+
+
 @register
 def cumulative_summary(spark, sf):
     return rounded(reports.cumulative_summary(runs.cumulative_runs(V.daily_log(spark, sf))))
@@ -352,6 +390,16 @@ def amplify(spark, sf):
     return out.select("position", "slot", "index", "doc_id", "source", S.micros("timestamp").alias("ts_us"))
 
 
+@register
+def amplify_split(spark, sf):
+    """As ``amplify``, ranked in many ranges and with the repeats of hot records in many parts."""
+    docs = V.table(spark, sf, "documents").select("doc_id", "lang", "source")
+    total = docs.count() * AMPLIFY_FACTOR
+    bound = max(1, total // 50)
+    out = amplify_duplicates(docs, ["doc_id"], total, AMPLIFY_RATIO, hot_rows=bound, salt_rows=max(1, total // 1000))
+    return out.select("position", "slot", "index", "doc_id", "source", S.micros("timestamp").alias("ts_us"))
+
+
 @register
 def contract_check(spark, sf):
     """The documents, told apart by letters, amplified and folded again."""

@@ -7,6 +7,7 @@ range partitions first, numbered inside each, and put together with per-partitio
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -68,18 +69,19 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str
     One narrow counting pass decides the plan. Without hot groups this is one window, one
     shuffle. Otherwise the largest groups, ``HOT_KEYS`` of them at most, take the range path
     and the rest keep the window; beyond that many, what is left holds no more than a
-    ``HOT_KEYS``-th of the table each. No keys means one group, the whole table.
+    ``HOT_KEYS``-th of the table each. No keys means one group, the whole table, which takes the range path
+    at every size.
     """
     keys, order = list(keys), list(order)
-    routing = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
+    if not keys:
+        return _rank_by_range(df, keys, order, out, max(2, -(-2 * df.count() // hot_rows)))
+    routing = F.xxhash64(*keys)
     hot = (df.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > hot_rows)
            .select(routing.alias("_hash"), "_size").orderBy(F.desc("_size")).limit(HOT_KEYS).collect())
     window = _group_window(keys).orderBy(*order)
     if not hot:
         return df.withColumn(out, F.row_number().over(window).cast("long"))
     chunks = max(2, -(-2 * sum(row["_size"] for row in hot) // hot_rows))
-    if not keys:
-        return _rank_by_range(df, keys, order, out, chunks)
 
     # A cold group that shares a hot one's hash merely takes the range path too.
     hashes = F.broadcast(df.sparkSession.createDataFrame([(h,) for h in {row["_hash"] for row in hot}], "_hash long"))
@@ -96,13 +98,25 @@ def _rank_by_range(df: DataFrame, keys: list[str], order: list[str], out: str, c
         df.repartitionByRange(chunks, *keys, *order).withColumn("_chunk", F.spark_partition_id()),
         "ranges")
     sizes = ranged.groupBy(*keys, "_chunk").agg(F.count("*").alias("_size"))
+    local = _group_window(["_chunk", *keys]).orderBy(*order)
+    numbered = ranged.withColumn(out, F.row_number().over(local).cast("long"))
+    if not keys:
+        # one number per partition, of hot_rows / 2 rows each: added up here, not by a window in one task
+        counted = sorted(sizes.collect())
+        before = list(accumulate((size for _, size in counted), initial=0))
+        offsets = df.sparkSession.createDataFrame(
+            [(chunk, offset) for (chunk, _), offset in zip(counted, before, strict=False)], "_chunk int, _offset long")
+        return _offset(numbered, offsets, ["_chunk"], out)
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     # Only the first group of a partition can have rows in an earlier one: at most one row each.
     offsets = (sizes.withColumn("_offset", F.sum("_size").over(earlier))
                .where(F.col("_offset").isNotNull()).drop("_size"))
-    local = _group_window(["_chunk", *keys]).orderBy(*order)
-    numbered = ranged.withColumn(out, F.row_number().over(local).cast("long"))
-    joined = join_small(numbered, offsets, ["_chunk", *keys], "left")
+    return _offset(numbered, offsets, ["_chunk", *keys], out)
+
+
+def _offset(numbered: DataFrame, offsets: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Numbers within a partition raised by what lies before it."""
+    joined = join_small(numbered, offsets, keys, "left")
     joined = joined.withColumn(out, F.col(out) + F.coalesce(F.col("_offset"), F.lit(0)))
     return joined.drop("_chunk", "_offset")
 

@@ -42,6 +42,13 @@ def test_rank_whole_table(skewed, hot_rows):
 def test_rank_of_nothing(spark):
     empty = spark.createDataFrame([], "k string, t long")
     assert R.rank_rows(empty, ["k"], ["t"]).collect() == []
+    assert R.rank_rows(empty, [], ["k", "t"]).collect() == []
+
+
+@pytest.mark.parametrize("hot_rows", [10 ** 6, 100])
+def test_no_table_is_ranked_in_one_task(skewed, hot_rows):
+    plan = R.rank_rows(skewed[0], [], ["t", "id"], "n", hot_rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
 
 
 @pytest.mark.parametrize("chunk_rows,hot_rows", [(10 ** 6, 10 ** 6), (50, 300), (7, 100)])
