@@ -22,6 +22,7 @@ def rules_sql() -> str:
     }
     slack = " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in rules.MEASURES.items())
     below = " ".join(f"WHEN '{k}' THEN {v[1]}" for k, v in rules.MEASURES.items() if v[1] is not None)
+    some = ", ".join(f"'{k}'" for k in rules.SOME)
     long = " UNION ALL ".join(f"SELECT rid, lang, source, '{k}' AS name, CAST({v} AS BIGINT) AS x, base_failed FROM m" for k, v in values.items())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang,
@@ -40,7 +41,7 @@ c AS (SELECT d.rid, doc_id, lang, source, len(w) AS n_words, length(regexp_repla
 m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
 v AS ({long}),
 s AS (SELECT lv, CASE WHEN lv < 2 THEN lang ELSE '' END AS lang, CASE WHEN lv < 1 THEN source ELSE '' END AS source, name, bin_, count(*) AS n
-      FROM (SELECT lang, source, name, {_bucket("x")} AS bin_, unnest([0, 1, 2]) AS lv FROM v WHERE NOT base_failed) GROUP BY ALL),
+      FROM (SELECT lang, source, name, {_bucket("x")} AS bin_, unnest([0, 1, 2]) AS lv FROM v WHERE NOT base_failed AND (x > 0 OR name NOT IN ({some}))) GROUP BY ALL),
 u AS (SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, name ORDER BY bin_) AS upto, sum(n) OVER (PARTITION BY lv, lang, source, name) AS docs FROM s),
 q AS (SELECT lv, lang, source, name, max(docs) AS docs, min(CASE WHEN upto * 4 >= docs THEN bin_ END) AS q1,
              min(CASE WHEN upto * 4 >= docs * 3 THEN bin_ END) AS q3 FROM u GROUP BY ALL),

@@ -2,8 +2,10 @@
 
 Every document gets integer measures. Mergeable quantile sketches of the measures (counts per bucket, buckets
 with a relative width of 1/32, merged by adding counts) are kept per language and source, per language, and over
-all; each level gives fences around its middle half. A document is joined with the fences of its source if that
-has ``MIN_GROUP`` documents, else of its language, else of the whole, and is rejected outside of any fence.
+all; each level gives fences around its middle half. Most documents have no repeated line or word, so for these two
+measures (``SOME``) the middle half is that of the documents which have some. A document is joined, for each measure,
+with the fence of its source if ``MIN_GROUP`` documents made that, else of its language, else of the whole, and is
+rejected outside of any fence.
 
 Null text: no words, so the base rule fails. Null language or source: a group of its own. Rows are judged one by
 one, so repeated rows and repeated ids each get their own verdict. An empty table gives an empty result. Columns
@@ -34,9 +36,11 @@ MEASURES = {
     "letters_per_word": (200, 200),
     "symbols_per_mille": (20, None),
     "upper_per_mille": (150, None),
-    "dup_lines_per_mille": (400, None),
-    "repeats_per_mille": (450, None),
+    "dup_lines_per_mille": (50, None),
+    "repeats_per_mille": (200, None),
 }
+#: Measures whose sketch leaves out 0.
+SOME = ("dup_lines_per_mille", "repeats_per_mille")
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
 
 
@@ -106,7 +110,7 @@ def sketches(measured: DataFrame) -> DataFrame:
     """
     pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), bucket(v).alias("at")) for k, v in measures().items())))
     fine = (measured.filter(~base_failed()).select("_lang", "_source", pairs.alias("p"))
-            .groupBy("_lang", "_source", "p.name", "p.at").agg(F.count(F.lit(1)).alias("n")))
+            .filter(~F.col("p.name").isin(*SOME) | (F.col("p.at") > 0)).groupBy("_lang", "_source", "p.name", "p.at").agg(F.count(F.lit(1)).alias("n")))
     levels = F.explode(F.array(F.struct(F.lit(0).alias("l"), "_lang", "_source"),
                                F.struct(F.lit(1).alias("l"), F.col("_lang"), F.lit("").alias("_source")),
                                F.struct(F.lit(2).alias("l"), F.lit("").alias("_lang"), F.lit("").alias("_source"))))
@@ -115,7 +119,7 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """_level, _lang, _source, docs and a struct of two fences per measure."""
+    """_level, _lang, _source and per measure two fences and the number of documents that made them."""
     group = ["_level", "_lang", "_source", "name"]
     running = sketch.withColumn("upto", F.sum("n").over(Window.partitionBy(*group).orderBy("at"))).withColumn(
         "docs", F.sum("n").over(Window.partitionBy(*group)))
@@ -125,18 +129,17 @@ def fences(sketch: DataFrame) -> DataFrame:
     wide = SPREAD * (F.col("q3") - F.col("q1"))
     ends = middle.withColumn("low", F.col("q1") - wide - slack(1)).withColumn("high", F.col("q3") + wide + slack(0))
     return ends.groupBy("_level", "_lang", "_source").agg(
-        F.max("docs").alias("docs"),
-        *(F.max(F.when(F.col("name") == k, F.col(end))).alias(f"{end}_{k}") for k in MEASURES for end in ("low", "high")))
+        *(F.max(F.when(F.col("name") == k, F.col(end))).alias(f"{end}_{k}") for k in MEASURES for end in ("docs", "low", "high")))
 
 
 def judge(measured: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Add base_failed, kept and the level whose fences were used.
+    """Add base_failed, kept and the widest level whose fences were used.
 
     ``bounds`` is written first, so Spark knows its size: it is broadcast below the session's limit and otherwise
     joined by a shuffle in which adaptive execution splits hot sources.
     """
-    names = [f"{end}_{k}" for k in MEASURES for end in ("low", "high")]
-    ends = F.struct("docs", *names)
+    names = [f"{end}_{k}" for k in MEASURES for end in ("docs", "low", "high")]
+    ends = F.struct(*names)
     out = measured
     for level, on in ((0, ["_lang", "_source"]), (1, ["_lang"]), (2, [])):
         own = bounds.filter(F.col("_level") == level)
@@ -145,17 +148,19 @@ def judge(measured: DataFrame, bounds: DataFrame) -> DataFrame:
             out = out.join(side, on, "left")
     whole = bounds.filter(F.col("_level") == 2).select(ends.alias("b")).head()
     if whole:
-        top = F.struct(*(F.lit(whole.b[k]).cast("long").alias(k) for k in ("docs", *names)))
+        top = F.struct(*(F.lit(whole.b[k]).cast("long").alias(k) for k in names))
     else:
-        top = F.lit(None).cast(f"struct<docs:bigint,{','.join(f'{x}:bigint' for x in names)}>")
-    level = F.when(F.col("_b0.docs") >= MIN_GROUP, 0).when(F.col("_b1.docs") >= MIN_GROUP, 1).otherwise(2)
-    out = out.withColumn("level", level).withColumn(
-        "_b", F.when(F.col("level") == 0, F.col("_b0")).when(F.col("level") == 1, F.col("_b1")).otherwise(top))
-    inside = F.lit(True)
+        top = F.lit(None).cast(f"struct<{','.join(f'{x}:bigint' for x in names)}>")
+    out = out.withColumn("_b2", top)
+    inside, levels = F.lit(True), []
     for name, value in measures().items():
-        inside = inside & F.coalesce(value <= F.col(f"_b.high_{name}"), F.lit(True))
-        inside = inside & F.coalesce(value >= F.col(f"_b.low_{name}"), F.lit(True))
-    return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside).drop("_b", "_b0", "_b1")
+        by_level = lambda zero, one, two: (F.when(F.col(f"_b0.docs_{name}") >= MIN_GROUP, zero)  # noqa: E731, B023
+                                           .when(F.col(f"_b1.docs_{name}") >= MIN_GROUP, one).otherwise(two))  # noqa: B023
+        low, high = (by_level(*(F.col(f"_b{k}.{end}_{name}") for k in range(3))) for end in ("low", "high"))
+        inside = inside & F.coalesce(value <= high, F.lit(True)) & F.coalesce(value >= low, F.lit(True))
+        levels.append(by_level(0, 1, 2))
+    return (out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside)
+            .withColumn("level", F.greatest(*levels)).drop("_b0", "_b1", "_b2"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

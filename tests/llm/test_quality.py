@@ -51,6 +51,36 @@ def test_fences_follow_their_source(spark):
     assert [k for k, kept in out.items() if not kept] == [5000]
 
 
+def test_every_fence_differs_between_sources_that_differ(spark):
+    """Two sources of other habits: longer words, marks, capitals, and among the documents that repeat lines or words, more of it."""
+    rows = []
+    for k in range(600):
+        for source, much in (("low", 0), ("high", 1)):
+            words = [f"{'Word' if much else 'wd'}{'ABC' if much and i % 3 else ''}{k}x{i}" + "#" * (much and i % 2) for i in range(90)]
+            lines = [" ".join(words[i:i + 5]) for i in range(0, 90, 5)]
+            if k % 2:  # repeated lines and words, in half of the documents
+                lines += lines[: 1 + k % 4 // 2 + 3 * much]
+            rows.append((2 * k + much, "\n".join(lines), "en", source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["_source"]: r for r in rules.fences(rules.sketches(rules.measure(docs))).filter("_level = 0").collect()}
+    for name in rules.MEASURES:
+        assert got["high"][f"high_{name}"] > got["low"][f"high_{name}"], name
+        assert got["low"][f"docs_{name}"] == (300 if name in rules.SOME else 600)
+    assert got["high"]["low_letters_per_word"] > got["low"]["low_letters_per_word"]
+
+
+def test_fence_of_few_comes_from_a_wider_level(spark):
+    """A source with few documents that repeat lines takes that fence from its language, the others from itself."""
+    def text(k, again):
+        lines = [" ".join(f"w{k}x{i}y{j}" for j in range(6)) for i in range(12)]
+        return "\n".join(lines + lines[:again])
+
+    rows = [(k, text(k, 2 if k % 2 else 0), "en", "large") for k in range(600)]
+    rows += [(1000 + k, text(k, 0), "en", "rare") for k in range(300)] + [(2000, text(0, 2), "en", "rare")]
+    out = {r.doc_id: r for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert out[2000].kept and out[2000].level == 1 and out[1].kept and out[1].level == 0
+
+
 def test_sketches_merge(spark):
     rows = [(k, " ".join(f"w{j}" * (1 + k % 7) for j in range(60 + k % 40)), "en", f"s{k % 2}") for k in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
