@@ -50,7 +50,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pack", pack),
 ]
 
-#: SQL cannot express the trained stages; tests/llm holds them against brute force.
+#: SQL cannot express the trained stages; tests/llm/test_pipeline.py holds every stage against plain Python.
 ORACLE_SQL = None
 
 
