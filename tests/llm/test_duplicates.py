@@ -210,7 +210,7 @@ def test_label_without_links_is_settled_by_planted_pairs(spark, monkeypatch):
 
 
 def test_large_label_by_descent(spark, monkeypatch):
-    """20,000 vectors of one label, a third of them in one group: links against all pairs by matrix product."""
+    """20,000 vectors of one label, a group of 3,000 among them: links against all pairs by matrix product."""
     sizes = []
     whole = descent.whole_ties
     monkeypatch.setattr(descent, "whole_ties", lambda vectors, labels: sizes.append(vectors.count()) or whole(vectors, labels))
