@@ -106,11 +106,9 @@ def test_colliding_hashes_lose_no_pair(spark):
     one, other = [5, 5 + (1 << 40), 7, 8, 9], [5, 5 + (1 << 40), 7, 8]
     rows = [(1, k, k, len(x), [1], x) for k, x in enumerate((one, other))]
     members = spark.createDataFrame(rows, "value long, node long, component long, n long, shared array<long>, items array<long>")
-    members = members.withColumn("fine", bottomk._fine("items"))
-    if "lost" in bottomk._SIDE:
-        members = members.withColumn("lost", bottomk._lost("fine"))
-    chosen = members.filter("node = 0").selectExpr("value", *(f"{k} AS {k}a" for k in bottomk._SIDE))
-    assert [tuple(r) for r in bottomk._close_members(chosen, members, 80).collect()] == [(0, 1)]
+    sides = members.withColumn("fine", bottomk._fine("items")).withColumn("lost", bottomk._lost("fine")).select("node", "shared", "fine", "lost")
+    chosen = members.filter("node = 0").selectExpr("value", "node", "0L AS part", "1L AS parts")
+    assert [tuple(r) for r in bottomk._close_members(members, chosen, sides, 80).collect()] == [(0, 1)]
 
 
 def test_sketch_is_the_lowest_hashes(spark):
