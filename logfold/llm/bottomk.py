@@ -119,11 +119,14 @@ def full_sets(docs: DataFrame, words: int = 4) -> DataFrame:
 
 def rare_values(nodes: DataFrame, percent: int) -> DataFrame:
     """node, n, rare: the retained values that more than one node has and that a partner must share one of."""
-    values = nodes.select("node", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value")).repartition("value")
-    often = values.groupBy("value").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    # counting reads the same two columns as the join, so both share one exchange
+    values = nodes.select("node", F.explode("sketch").alias("value")).repartition("value")
+    often = (values.groupBy("value").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("least"), F.max("node").alias("most"))
+             .filter("least < most").select("value", "times"))
     exact = (F.col("m") * percent) <= KEPT * percent * percent / 100
     need = F.when(exact, F.ceil(F.col("m") * percent / 100)).otherwise(SHARED).cast("int")
-    mine = values.join(often, "value").groupBy("node", "n", "m").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("common"))
+    mine = values.join(often, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("common"))
+    mine = mine.join(nodes.select("node", "n", F.size("sketch").alias("m")), "node")
     alone = F.col("m") - F.size("common")
     opened = F.greatest(F.lit(0), F.col("m") - need + 1 - alone).cast("int")
     rare = F.when(opened > 0, F.slice(F.col("common.value"), F.lit(1), opened))
@@ -147,7 +150,7 @@ def _lost(fine: str) -> Column:
 class _Comparer:
     """Estimates and confirms pairs of nodes, and keeps the component of every node that has a list."""
 
-    def __init__(self, docs: DataFrame, groups: DataFrame, nodes: DataFrame, lists: DataFrame, words: int, percent: int):
+    def __init__(self, docs: DataFrame, groups: DataFrame, nodes: DataFrame, lists: DataFrame, repeated: DataFrame, words: int, percent: int):
         self.percent = percent
         wanted = materialize(lists.select("node").distinct(), "wanted")
         # tables with a row per node with a list go into as many files as their rows need
@@ -156,8 +159,14 @@ class _Comparer:
         # the text of a node is one of its first document, which may have others
         named = materialize(groups.join(wanted, "node"), "named")
         texts = docs.select(F.col("doc_id").cast("long").alias("first"), text_of().alias("_text")).join(named.select("first").distinct(), "first", "left_semi")
-        sets = full_sets(texts, words).join(named, ["first", "n", "s1", "s2"]).dropDuplicates(["node"])
-        self.sets = materialize(sets.select("node", "items"), "sets")
+        ids = repeated.select("first").distinct()
+
+        def sets_of(rows: DataFrame) -> DataFrame:
+            return full_sets(rows, words).join(named, ["first", "n", "s1", "s2"]).select("node", "items")
+
+        # only sets of rows that are repeated are shuffled to leave one of each
+        once, several = sets_of(texts.join(ids, "first", "left_anti")), sets_of(texts.join(ids, "first", "left_semi"))
+        self.sets = materialize(once.union(several.dropDuplicates(["node"])), "sets")
         self.labels = self.written(wanted.select("node", F.col("node").alias("component")), "labels")
 
     def written(self, rows: DataFrame, name: str) -> DataFrame:
@@ -168,9 +177,9 @@ class _Comparer:
         return rows.join(self.labels.select(F.col("node").alias(end), F.col("component").alias(name)), end)
 
     def _confirm(self, pairs: DataFrame) -> None:
-        """Compare whole sets, and join the components of pairs that are similar."""
-        left = self.sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-        right = self.sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+        """Compare whole sets, and join the components of pairs that are similar. Sets that no pair needs stay where they are."""
+        left, right = (self.sets.join(self.written(pairs.select(F.col(end).alias("node")).distinct(), "needed"), "node", "left_semi")
+                       .select(F.col("node").alias(end), F.col("items").alias(items)) for end, items in (("a", "x"), ("b", "y")))
         both = F.size(F.array_intersect("x", "y"))
         links = pairs.join(left, "a").join(right, "b").filter(100 * both >= self.percent * (F.size("x") + F.size("y") - both)).select("a", "b")
         ends = self.label(self.label(links, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct()
@@ -181,7 +190,7 @@ class _Comparer:
         self.labels = self.written(self.labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
 
     def compare(self, pairs: DataFrame) -> None:
-        """Link those of the pairs a, b that are similar; at first only the two closest of each b."""
+        """Link those of the pairs a, b that are similar: the two closest of each b, of two components, then what is left."""
         side = lambda k: self.nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
         seen = pairs.join(side("a"), "a").join(side("b"), "b").filter(_alike(F.col("na"), F.col("nb"), self.percent))
         union = F.array_sort(F.array_union("sa", "sb"))
@@ -190,15 +199,20 @@ class _Comparer:
         near = F.size(F.array_intersect(F.array_intersect(lowest, F.col("sa")), F.col("sb"))) / F.size(lowest)
         close = seen.withColumn("near", near).filter(F.col("near") >= F.when(whole, self.percent / 100 - 1e-9).otherwise(SHARED / KEPT))
         rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("near"), "a"))
-        close = self.written(close.select("a", "b", rank.alias("rank")), "close")
+        close = self.written(close.select("a", "b", "near", rank.alias("rank")), "close")
         if close.isEmpty():
             return
         self._confirm(close.filter("rank <= 2").select("a", "b"))
-        rest = close.filter("rank > 2").select("a", "b")
-        rest = self.label(self.label(rest, "a", "ca"), "b", "cb").filter("ca <> cb")
-        rest = self.written(rest.select("a", "b"), "rest")
-        if not rest.isEmpty():
-            self._confirm(rest)
+        rest = close.filter("rank > 2").select("a", "b", "near")
+        # pairs between components that the closest ones join need no comparison
+        between = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("near"), "a", "b")
+        for most in (2, None):
+            rest = self.written(self.label(self.label(rest, "a", "ca"), "b", "cb").filter("ca <> cb"), "rest")
+            if rest.isEmpty():
+                return
+            first = rest if most is None else rest.withColumn("rank", F.row_number().over(between)).filter(F.col("rank") <= most)
+            self._confirm(first.select("a", "b"))
+            rest = rest.select("a", "b", "near")
 
 
 def _short_pairs(lists: DataFrame) -> DataFrame:
@@ -265,17 +279,20 @@ def _components_of_sets(docs: DataFrame, words: int, percent: int) -> tuple[Data
     """(doc_id, n, s1, s2 of every document; n, s1, s2, first, node of every set; node, component of sets with a list)."""
     rows = materialize(sketches(docs, words), "sketches")
     key = ["n", "s1", "s2"]
+    named = rows.withColumn("first", F.col("doc_id").cast("long"))
+    repeated = named.filter("first IS NOT NULL").groupBy("first", *key).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    repeated = materialize(repeated.select("first", *key), "repeated")
     groups = rows.filter("n > 0").groupBy(*key).agg(F.min("doc_id").cast("long").alias("first"))
     # sets are numbered, as documents that share a doc_id may have several; writing keeps the numbers
     groups = materialize(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
-    nodes = (rows.withColumn("first", F.col("doc_id").cast("long"))
-             .join(groups, [*key, "first"]).dropDuplicates(["node"]).select("node", "n", "sketch"))
-    nodes = materialize(nodes, "nodes")
+    same = ["first", *key]
+    once, several = named.join(repeated, same, "left_anti"), named.join(repeated, same, "left_semi").dropDuplicates(same)
+    nodes = materialize(once.unionByName(several).join(groups, same).select("node", "n", "sketch"), "nodes")
     rare = materialize(rare_values(nodes, percent), "rare")
     lists = rare.select("node", "n", F.explode("rare").alias("value"))
     size = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     lists = materialize(lists.join(size, "value"), "lists")
-    comparer = _Comparer(docs, groups, nodes, lists, words, percent)
+    comparer = _Comparer(docs, groups, nodes, lists, repeated, words, percent)
     long_lists = lists.filter(F.col("size") > SHORT)
     # a short list costs all its pairs, a long one starts with one centre
     centre = long_lists.groupBy("value").agg(F.min_by("node", F.xxhash64("node", "value")).alias("a"))
