@@ -5,11 +5,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from logfold.llm import counting, packing, wavelet, wordtable
+from logfold.llm import counting, encoding, packing, wavelet, wordtable
 from logfold.llm.queries import QUERIES
 
 
@@ -75,6 +76,36 @@ def test_wavelet_of_odd_documents(spark, odd_docs, no_docs, words, tmp_path):
     assert wavelet.round_trip(no_docs).collect() == []
 
 
+def test_remembered_words_are_encoded_alike(words, monkeypatch):
+    """Slices of the same words, new ones and marks after letters, in a table that has to forget; few calls of the model."""
+    draw = np.random.default_rng(5)
+    stems = ["".join(draw.choice(list("abcdeéßÀnorst"), draw.integers(1, 9))) for _ in range(400)]
+    tails = ["", "", ".", ",", "!!", "###", "&&&.", "%%%", "$$$,", "***", "?)", "'s", "-x", "³", "<|endoftext|>", "|>", "\x01", "12", "\u0301."]
+    encoder = encoding.WordEncoder(most=900)
+    asked = []
+    of_words = encoder.of_words
+    monkeypatch.setattr(encoder, "of_words", lambda x: asked.extend(x) or of_words(x))
+    for size in (300, 300, 300, 2000, 0, 1, 300):
+        texts = [" ".join(str(draw.choice(stems)) + str(draw.choice(tails)) for _ in range(size // 10)) for _ in range(10)] + [None, "", " \n"]
+        for again in range(2):
+            asked.clear()
+            ids, offsets = encoder.encode(pa.array(texts), 1)
+            assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [[*ids_of(words, x), 1] for x in texts]
+            assert len(asked) == len(set(asked)) and not (again and size == 300 and asked)
+        flat, offsets = encoder.encode(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [ids_of(words, x) for x in texts]
+
+
+def test_letters_with_marks_cost_one_call_of_the_model(words):
+    """A stem with many tails goes to the merge model once, and no tail makes the library split the whole word."""
+    encoder, calls = encoding.WordEncoder(), []
+    library = encoder.encode_words
+    encoder.encode_words = lambda x: calls.extend(x) or library(x)
+    texts = pa.array(["thonre thonre. thonre!! thonre### onnten### onnten.&&& onnten%%%"])
+    ids, _ = encoder.encode(texts)
+    assert ids.tolist() == ids_of(words, texts[0].as_py()) and sorted(calls) == ["!!", "###", "%%%", ".", ".&&&"]
+
+
 def chain_cost(chain, prices, width):
     return sum(width - (b - a) + prices.get(b, 0) for a, b in zip([0, *chain], chain, strict=False))
 
