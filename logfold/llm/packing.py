@@ -141,7 +141,7 @@ def pack(docs: DataFrame, file: str = "word_bpe_49k.json", width: int = WIDTH) -
             window += len(chain)
             first = int(np.searchsorted(ends, used, side="right"))
             cut = used - int(ends[first - 1] if first else 0)
-            names, rest, kept = names[first:], rest[first:], [ids[used:]]
+            names, rest, kept = names[first:], rest[first:], [ids[used:].copy()]  # a view would hold the block
             if rest:
                 rest[0] = (rest[0][0] - cut, rest[0][1] + cut, rest[0][2])
 
@@ -150,13 +150,17 @@ def pack(docs: DataFrame, file: str = "word_bpe_49k.json", width: int = WIDTH) -
         for batch in slices(batches, "_text", SLICE):
             kind = batch.schema.field("doc_id").type
             flat, offsets = encoder.encode(batch.column("_text"), END)
-            kept.append(flat)
-            names += batch.column("doc_id").to_pylist()
-            rest += [(n, 0, n) for n in np.diff(offsets).tolist()]
-            held += len(flat)
-            if held >= BLOCK:
-                yield from close(False)
-                held = sum(x[0] for x in rest)
+            own, first = batch.column("doc_id").to_pylist(), 0
+            while first < len(own):  # documents up to the one that fills a block
+                until = min(len(own), max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK - held))))
+                kept.append(flat[offsets[first]:offsets[until]])
+                names += own[first:until]
+                rest += [(n, 0, n) for n in np.diff(offsets[first:until + 1]).tolist()]
+                held += int(offsets[until] - offsets[first])
+                first = until
+                if held >= BLOCK:
+                    yield from close(False)
+                    held = sum(x[0] for x in rest)
         if rest:
             yield from close(True)
 

@@ -36,7 +36,7 @@ def release() -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``most`` bytes of text; a longer text is a slice of its own."""
+    """The same rows in slices of about ``most`` bytes of text; a longer text is a slice of its own. Memory is given back between them."""
     try:
         for batch in batches:
             if batch.num_rows == 0:
@@ -48,6 +48,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
                 end = max(begin + 1, int(np.searchsorted(size, before + most, side="right")))
                 yield batch.slice(begin, end - begin)
                 begin = end
+                if begin < batch.num_rows:
+                    release()
     finally:
         release()
 

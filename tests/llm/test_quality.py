@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from logfold.llm import factors, rules
+from logfold.llm import texts as text_slices
 from logfold.llm.oracles import ORACLES
 from logfold.llm.queries import QUERIES
 
@@ -128,3 +129,12 @@ def test_classifier_on_odd_documents(spark, odd_docs, no_docs):
     none = labels.limit(0)
     assert {r.score for r in factors.score(odd_docs, none).collect()} == {0.5}
     assert factors.score(no_docs, none).collect() == []
+
+
+def test_memory_is_given_back_between_slices(monkeypatch):
+    """A batch of many slices gives memory back after each, not only at the end of the task."""
+    released = []
+    monkeypatch.setattr(text_slices, "release", lambda: released.append(1))
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 10] * 50 + [None, ""]})
+    got = [(x.num_rows, len(released)) for x in text_slices.slices(iter([batch]), most=100)]
+    assert sum(n for n, _ in got) == 52 and [k for _, k in got] == list(range(len(got))) and len(released) == len(got) == 5

@@ -1,6 +1,7 @@
 """Token operators against the libraries."""
 
 import hashlib
+import types
 import zlib
 
 import numpy as np
@@ -160,6 +161,23 @@ def test_packing_crosses_blocks(spark, small, words, monkeypatch):
     assert packed(packing.pack(docs, width=512).collect(), texts_of(docs), words, 512) < 0.1
 
 
+def test_blocks_hold_few_tokens_beyond_their_size(small, words, monkeypatch):
+    """A slice of many documents is cut into blocks: what is held at a time does not grow with the slice."""
+    held, choices = [], packing.choices
+    monkeypatch.setattr(packing, "choices", lambda ids, ends, stops: held.append((len(ids), int(np.diff(ends, prepend=0).max()))) or choices(ids, ends, stops))
+    monkeypatch.setattr(packing, "BLOCK", 5000)
+    texts = [(k, "one two three. four five six! " * (k % 40)) for k in range(700)]
+    run = []
+    frame = types.SimpleNamespace(mapInArrow=lambda f, schema: run.append(f))
+    monkeypatch.setattr(packing, "in_order", lambda docs: frame)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: types.SimpleNamespace(partitionId=lambda: 3))
+    packing.pack(types.SimpleNamespace(schema={"doc_id": types.SimpleNamespace(dataType=types.SimpleNamespace(simpleString=lambda: "bigint"))}), width=512)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [k for k, _ in texts], "_text": [x for _, x in texts]})
+    rows = [types.SimpleNamespace(**row) for out in run[0](iter([batch])) for row in out.to_pylist()]
+    assert packed(rows, texts, words, 512) < 0.1
+    assert len(held) > 10 and all(size <= 5000 + longest + 512 for size, longest in held)
+
+
 def test_packing_odd_documents(odd_docs, no_docs, words):
     rows = packing.pack(odd_docs).collect()
     lengths = sorted(len(ids_of(words, x)) + 1 for _, x in texts_of(odd_docs))
