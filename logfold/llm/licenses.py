@@ -176,10 +176,14 @@ def rules() -> list[Rule]:
     return list(dict.fromkeys(out))
 
 
+#: ASCII characters between words, one by one: Java looks such a class up in a table, and tries ranges in turn.
+_APART = "".join(f"\\x{k:02X}" for k in range(128) if not chr(k).isalnum())
+
+
 def _words(text: Column) -> Column:
     """The text as lower-case words with one space between; only A-Z is folded."""
     folded = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(folded, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    return F.trim(F.regexp_replace(folded, f"[{_APART}]+", " "))
 
 
 def _whole(pattern: str) -> str:
@@ -206,11 +210,15 @@ def _detections(text: Column) -> Column:
 
 
 def gate() -> Column:
-    low = F.lower("_text")
-    found = F.lit(False)
-    for hint in HINTS:
-        found = found | F.contains(low, F.lit(hint))
-    return found | F.rlike("_text", F.lit(r"(?i)cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"))
+    """Whether a text holds a hint; it is lower-cased once."""
+
+    def hinted(low: Column) -> Column:
+        found = F.contains(low, F.lit("cc")) & F.rlike(low, F.lit(f"cc[{_APART}]+by"))
+        for hint in HINTS:
+            found = F.contains(low, F.lit(hint)) | found
+        return found
+
+    return F.exists(F.array(F.lower("_text")), hinted)
 
 
 def detections(docs: DataFrame) -> DataFrame:
@@ -231,7 +239,7 @@ def detections(docs: DataFrame) -> DataFrame:
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; one row per document."""
-    n_words = F.regexp_count("_text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    n_words = F.regexp_count("_text", F.lit(f"[^{_APART}]+")).cast("long")
     rows = docs.select("doc_id", text_of().alias("_text")).withColumn("n_words", n_words)
     nothing = F.lit(None).cast("long")
     plain = rows.filter(~gate()).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_base"), nothing.alias("first_word"), nothing.alias("last_word"),

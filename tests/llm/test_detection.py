@@ -8,6 +8,7 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from logfold.llm import licenses, pii
 from logfold.llm.queries import QUERIES
@@ -51,6 +52,29 @@ def test_licenses_equal_plain_python(spark, small, odd_docs, no_docs):
     assert licenses.license_scan(no_docs).collect() == []
 
 
+def test_scan_is_faster_than_counting_by_ranges(spark, tmp_path):
+    """Java tries the ranges of a class in turn; the whole scan must take less than one such count of the words."""
+    text = "Erträge on the it is onenerth edonre, ontiatth edes erat as on: oransh of shat erre rely. " * 40
+    spark.range(0, 8000, 1, 8).select(F.col("id").alias("doc_id"), F.concat(F.lit(text), F.col("id").cast("string")).alias("text")).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+
+    def took(frame):
+        since = time.time()
+        frame.write.format("noop").mode("overwrite").save()
+        return time.time() - since
+
+    ranges = docs.select(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))
+    pairs = [(took(licenses.license_scan(docs)), took(ranges)) for _ in range(3)]
+    assert min(x for x, _ in pairs) < min(y for _, y in pairs)
+
+
+def test_hints_of_every_case_open_the_gate(spark):
+    texts = ["CC-BY", "cC\n .bY x", "cc1by", "ccby", "İcc by", "K cc\tBY", "LICENſE", "Mozilla", "no hint", "", "x\x7fCC\x00By"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, _text string").withColumn("open", licenses.gate()).orderBy("doc_id").collect()
+    want = [bool(any(h in x.lower() for h in licenses.HINTS) or re.search(r"(?ai)cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by", x)) for x in texts]
+    assert [r.open for r in rows] == want and sum(want) == 7
+
+
 def test_license_plan_has_no_python(spark, small):
     plan = QUERIES["op5_license_rules"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
