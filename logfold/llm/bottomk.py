@@ -43,12 +43,18 @@ KEPT, SHARED = 64, 32
 SHORT = 12
 #: Nodes that a longer list compares with all others, in the first and the second round.
 CENTRES = (1, 12)
-#: Values that members of a long list are compared by, and those that large similar sets share of them at least.
-FINE, FINE_SHARED = 160, 100
+#: Values that members of a long list are compared by, and those that large similar sets share of them at least; the
+#: same for a first look at the lowest of them.
+FINE, FINE_SHARED = 512, 340
+QUICK, QUICK_SHARED = 160, 100
 #: Nodes of a long list for each part that it is dealt into.
 PART = 512
 #: Nodes with a list that share a file of the tables about them.
 FILE_ROWS = 20_000
+#: Bits of a filter for each node with a list, and at most; rows that pass it wrongly are left out by a join.
+BITS, MOST_BITS = 16, 1 << 25
+#: What names the set of a node among those of all documents.
+_SET = ["first", "n", "s1", "s2"]
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                          0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -144,26 +150,41 @@ def _lost(fine: str) -> Column:
     return F.size(fine) - F.size(F.array_distinct(fine))
 
 
+def among(rows: DataFrame, ids: DataFrame, key: list[str], bits: int, within: bool = True) -> DataFrame:
+    """The rows whose key is among the ids, and a few others; with ``within`` off the rest, whose keys are not among them for certain.
+
+    A bitmap of the keys' hashes is broadcast, a row for 64 of its ``bits``, so its size has a bound and the rows are not shuffled.
+    """
+    slot = F.pmod(F.xxhash64(*key), F.lit(bits).cast("long"))
+    place = F.expr("CAST(_slot % 64 AS int)")
+    marks = (ids.select(slot.alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("_word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, CAST(_slot % 64 AS int))")).alias("_marks")))
+    met = rows.withColumn("_slot", slot).withColumn("_word", F.shiftright("_slot", 6)).join(F.broadcast(marks), "_word", "left")
+    found = F.coalesce(F.getbit("_marks", place), F.lit(0)) == 1
+    return met.filter(found if within else ~found).select(*rows.columns)
+
+
 class _Comparer:
     """Estimates and confirms pairs of nodes, and keeps the component of every node that has a list."""
 
     def __init__(self, docs: DataFrame, groups: DataFrame, nodes: DataFrame, lists: DataFrame, repeated: DataFrame, words: int, percent: int):
         self.percent = percent
         wanted = materialize(lists.select("node").distinct(), "wanted")
+        many = wanted.count()
         # tables with a row per node with a list go into as many files as their rows need
-        self.files = max(1, math.ceil(wanted.count() / FILE_ROWS))
+        self.files = max(1, math.ceil(many / FILE_ROWS))
+        self.bits = min(MOST_BITS, max(64, BITS * many))
         self.nodes = self.written(nodes.join(wanted, "node"), "listed")
         # the text of a node is one of its first document, which may have others
-        named = materialize(groups.join(wanted, "node"), "named")
-        texts = docs.select(F.col("doc_id").cast("long").alias("first"), text_of().alias("_text")).join(named.select("first").distinct(), "first", "left_semi")
-        ids = repeated.select("first").distinct()
-
-        def sets_of(rows: DataFrame) -> DataFrame:
-            return full_sets(rows, words).join(named, ["first", "n", "s1", "s2"]).select("node", "items")
-
-        # only sets of rows that are repeated are shuffled to leave one of each
-        once, several = sets_of(texts.join(ids, "first", "left_anti")), sets_of(texts.join(ids, "first", "left_semi"))
-        self.sets = materialize(once.union(several.dropDuplicates(["node"])), "sets")
+        self.named = self.written(groups.join(wanted, "node").select("node", *_SET), "named")
+        texts = among(docs.select(F.col("doc_id").cast("long").alias("first"), text_of().alias("_text")), self.named, ["first"], self.bits)
+        # neither texts nor sets are shuffled here, but for those of rows that may be repeated, to leave one of each
+        if repeated.isEmpty():
+            sets = full_sets(texts, words)
+        else:
+            once, several = (full_sets(among(texts, repeated, ["first"], self.bits, within), words) for within in (False, True))
+            sets = once.union(several.dropDuplicates(_SET))
+        self.sets = materialize(among(sets, self.named, _SET, self.bits), "sets")
         self.labels = self.written(wanted.select("node", F.col("node").alias("component")), "labels")
 
     def written(self, rows: DataFrame, name: str) -> DataFrame:
@@ -173,12 +194,21 @@ class _Comparer:
         """Add the component of a node."""
         return rows.join(self.labels.select(F.col("node").alias(end), F.col("component").alias(name)), end)
 
+    def with_set(self, rows: DataFrame, tail: str = "") -> DataFrame:
+        """Add the whole set that the columns of ``_SET`` with this tail name. Sets that no row needs stay where they are."""
+        key = [f"{c}{tail}" for c in _SET]
+        sets = self.sets.select(*(F.col(c).alias(f"{c}{tail}") for c in (*_SET, "items")))
+        return rows.join(among(sets, rows, key, self.bits), key)
+
     def _confirm(self, pairs: DataFrame) -> None:
-        """Compare whole sets, and join the components of pairs that are similar. Sets that no pair needs stay where they are."""
-        left, right = (self.sets.join(self.written(pairs.select(F.col(end).alias("node")).distinct(), "needed"), "node", "left_semi")
-                       .select(F.col("node").alias(end), F.col("items").alias(items)) for end, items in (("a", "x"), ("b", "y")))
-        both = F.size(F.array_intersect("x", "y"))
-        links = pairs.join(left, "a").join(right, "b").filter(100 * both >= self.percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+        """Compare whole sets, and join the components of pairs that are similar."""
+        named = pairs
+        for end in ("a", "b"):
+            named = named.join(self.named.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in _SET)), end)
+        named = self.written(named, "needed")
+        both = F.size(F.array_intersect("items_a", "items_b"))
+        links = self.with_set(self.with_set(named, "_a"), "_b")
+        links = links.filter(100 * both >= self.percent * (F.size("items_a") + F.size("items_b") - both)).select("a", "b")
         ends = self.label(self.label(links, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct()
         ends = self.written(ends, "links")
         if ends.isEmpty():
@@ -245,7 +275,8 @@ def _close_members(opened: DataFrame, chosen: DataFrame, sides: DataFrame, perce
 
     The test is part of the join, so pairs that fail are never rows. A list is dealt over as many parts as its chosen
     nodes need, and its other members are copied for each. For sets of up to ``FINE`` shingles it is exact
-    but for collisions of 32-bit hashes, which can only let more pairs through: those within a set are added.
+    but for collisions of 32-bit hashes, which can only let more pairs through: those within a set are added. Most pairs
+    fail at the lowest ``QUICK`` values already.
     """
     opened = opened.select("value", "node", "component", "n")
     parts = chosen.select("value", "parts").distinct()
@@ -253,11 +284,14 @@ def _close_members(opened: DataFrame, chosen: DataFrame, sides: DataFrame, perce
               .select("value", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *(F.col(k).alias(f"{k}b") for k in _SIDE)))
     chosen = chosen.select("value", "node", "part").join(opened, ["value", "node"]).join(sides, "node").select(
         "value", "part", *(F.col(k).alias(f"{k}a") for k in _SIDE))
-    both = F.size(F.array_intersect("finea", "fineb")) + F.least("losta", "lostb")
-    small = (F.col("na") <= FINE) & (F.col("nb") <= FINE)
-    near = F.when(small, 100 * both >= percent * (F.col("na") + F.col("nb") - both)).otherwise(both >= FINE_SHARED)
+
+    def near(most: int, least: int) -> Column:
+        both = F.size(F.array_intersect(F.slice("finea", 1, most), F.slice("fineb", 1, most))) + F.least("losta", "lostb")
+        small = (F.col("na") <= most) & (F.col("nb") <= most)
+        return F.when(small, 100 * both >= percent * (F.col("na") + F.col("nb") - both)).otherwise(both >= least)
+
     first = F.element_at(F.array_intersect("shareda", "sharedb"), 1) == F.col("value")
-    test = (F.col("componenta") != F.col("componentb")) & _alike(F.col("na"), F.col("nb"), percent) & first & near
+    test = (F.col("componenta") != F.col("componentb")) & _alike(F.col("na"), F.col("nb"), percent) & first & near(QUICK, QUICK_SHARED) & near(FINE, FINE_SHARED)
     return chosen.join(others, ["value", "part"]).filter(test).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
 
 
@@ -298,7 +332,8 @@ def _components_of_sets(docs: DataFrame, words: int, percent: int) -> tuple[Data
     lowest = long_lists.groupBy("value").agg(F.min_by("node", F.xxhash64("node")).alias("list"))
     long_lists = comparer.written(long_lists.join(lowest, "value").select(F.col("list").alias("value"), "node", "n").distinct(), "merged")
     shared = long_lists.groupBy("node").agg(F.sort_array(F.collect_list("value")).alias("shared"))
-    sides = comparer.written(shared.join(comparer.sets.select("node", _fine("items").alias("fine")), "node").withColumn("lost", _lost("fine")), "sides")
+    sides = comparer.with_set(comparer.written(shared.join(comparer.named, "node"), "needed"))
+    sides = comparer.written(sides.select("node", "shared", _fine("items").alias("fine")).withColumn("lost", _lost("fine")), "sides")
     for centres in (CENTRES[1], None):
         opened = comparer.written(_open_lists(comparer.label(long_lists.select("node", "value", "n"))), "opened")
         if opened.isEmpty():

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from logfold.llm import bottomk, descent, graph
 
@@ -272,3 +273,28 @@ def test_long_lists_in_several_parts(spark, monkeypatch):
             texts[len(texts)] = passage + " " + " ".join([*own[:-1], "other"])
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     assert found(bottomk.near_duplicates(docs, 4)) == brute(texts, 4)
+
+
+def test_long_lists_leave_out_pairs_below_the_limit(spark):
+    # sets of 400 hashes that share 320: J = 2/3, above what the lowest 160 values tell apart from 0.8
+    draw = random.Random(1)
+    common = [draw.getrandbits(62) for _ in range(320)]
+    sets = [sorted([*common, *(draw.getrandbits(62) for _ in range(80))]) for _ in range(12)]
+    sets += [sorted([*sets[0][:380], *(draw.getrandbits(62) for _ in range(20))])]
+    rows = [(1, k, k, len(x), [1], x) for k, x in enumerate(sets)]
+    members = spark.createDataFrame(rows, "value long, node long, component long, n long, shared array<long>, items array<long>")
+    sides = members.withColumn("fine", bottomk._fine("items")).withColumn("lost", bottomk._lost("fine")).select("node", "shared", "fine", "lost")
+    chosen = members.selectExpr("value", "node", "0L AS part", "1L AS parts")
+    assert {tuple(sorted((r.a, r.b))) for r in bottomk._close_members(members, chosen, sides, 80).collect()} == {(0, 12)}
+
+
+def test_filter_of_ids_loses_none(spark):
+    rows, ids = spark.range(20_000).withColumn("other", F.col("id") % 7), spark.range(0, 20_000, 50).withColumn("other", F.col("id") % 7)
+    want = {r.id for r in ids.collect()}
+    for key in (["id"], ["id", "other"]):
+        for bits in (64, 16 * len(want)):
+            inside, rest = ({r.id for r in bottomk.among(rows, ids, key, bits, within).collect()} for within in (True, False))
+            assert want <= inside and not inside & rest and len(inside) + len(rest) == 20_000
+        assert len(inside) < 5 * len(want)
+    plan = bottomk.among(rows.repartition(5), ids, ["id"], 4096)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
