@@ -32,6 +32,8 @@ from logfold.session import materialize
 
 BLOCK_BITS = 17
 FIRST_WAVE, WIDEN = 8, 8
+#: Files of written weights and waves at most.
+WAVE_FILES = 8
 #: Bits of the filter that keeps words no item asks for out of the index; false ones are dropped by a join.
 FILTER_BITS = 1 << 20
 
@@ -122,7 +124,8 @@ def weigh(asked: DataFrame, index: DataFrame, many: int) -> DataFrame:
     """item_id, term, weight: the term's weight times its repeats in the item; terms in no document are left out."""
     found = index.groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
     weight = F.floor(1000 * F.log((2.0 * many + 2.0) / (2.0 * F.col("df") + 1.0)))
-    return materialize(asked.join(found, "term").select("item_id", "term", (weight * F.col("times")).alias("weight")), "weights")
+    weights = asked.join(found, "term").select("item_id", "term", (weight * F.col("times")).alias("weight"))
+    return materialize(weights.coalesce(WAVE_FILES), "weights")
 
 
 def bounds(weights: DataFrame, index: DataFrame) -> DataFrame:
@@ -144,11 +147,17 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
 
 
 def _visit(wave: DataFrame, weights: DataFrame, index: DataFrame) -> DataFrame:
-    """item_id, row, doc_id, score of all documents in the visited strata that hold a term of the item."""
-    named = weights.withColumnRenamed("item_id", "_item")
-    asked = wave.join(named, _same("item_id", "_item")).select("item_id", "m", "term", "weight")
-    met = index.join(asked, ["m", "term"]).select("item_id", (F.col("weight") * F.col("impact")).alias("adds"), F.explode("docs").alias("d"))
-    return met.groupBy("item_id", "d.row", "d.doc_id").agg(F.sum("adds").alias("score")).filter("score > 0")
+    """item_id, row, doc_id, score of all documents in the visited strata that hold a term of the item.
+
+    A document is in one stratum and block, so lists dealt by these give whole scores without moving what they add; items'
+    terms and the wave are broadcast where they are small.
+    """
+    lists = index.join(wave.select("m").distinct(), "m", "left_semi").repartition("m", "block")
+    asked = wave.select(F.col("item_id").alias("_item"), F.col("m").alias("_m"))
+    met = lists.join(weights, "term").join(asked, _same("item_id", "_item") & (F.col("m") == F.col("_m")))
+    met = met.select("item_id", "m", "block", (F.col("weight") * F.col("impact")).alias("adds"), F.explode("docs").alias("d"))
+    scored = met.groupBy("item_id", "m", "block", "d.row", "d.doc_id").agg(F.sum("adds").alias("score"))
+    return scored.select("item_id", "row", "doc_id", "score").filter("score > 0")
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
@@ -161,7 +170,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     todo = pairs
     while True:
         wave = todo.filter(F.col("at") <= visited + width)
-        found = _visit(wave.select("item_id", "m"), weights, index)
+        # written, so that its true size decides about a broadcast
+        found = _visit(materialize(wave.select("item_id", "m").coalesce(WAVE_FILES), "wave"), weights, index)
         best = materialize(_best(found if best is None else found.unionByName(best.drop("rank")), k), "best")
         visited, width = visited + width, width * WIDEN
         least = best.filter(F.col("rank") == k).select(F.col("item_id").alias("_item"), F.col("score").alias("least"))

@@ -142,6 +142,19 @@ def test_search_against_plain_python(spark, odd_docs, odd_texts, monkeypatch):
     assert {r.term for r in whole.select("term").distinct().collect()} == {t for _, text in docs for t in plain_terms(text)} and many > 200
 
 
+def test_scores_of_a_visit_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(k, f"w{k % 7} w{k % 3} " * (1 + k % 9)) for k in range(200)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "w1 w2"), (None, "w0 w6")], "item_id long, text string")
+    asked = strata.item_terms(items)
+    index, many = strata.build(docs, asked.select("term").distinct())
+    weights = strata.weigh(asked, index, many)
+    wave = strata.materialize(strata.bounds(weights, index).select("item_id", "m"))
+    found = strata._visit(wave, weights, index)
+    assert found.count() > 50
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(m" in plan and "hashpartitioning(item_id" not in plan
+
+
 def test_search_of_empty_tables(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert strata.search(odd_docs, none).collect() == []
