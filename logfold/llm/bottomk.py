@@ -9,7 +9,9 @@ No pair is lost to a cap. Retained values are ordered from rare to frequent, and
 must share one of the rarest ``size - overlap + 1`` of either side, so only these lists are opened. A list of up to
 ``SHORT`` nodes gives all its pairs. A longer list compares all its nodes with a few of them (``CENTRES``), and then
 whatever is not in the list's largest component with every node of another component; pairs that are
-already connected need no comparison, so a group of n near copies costs about n comparisons, not n^2.
+already connected need no comparison, so a group of n near copies costs about n comparisons, not n^2. What is left
+to compare is dealt into blocks: a task counts the values that all pairs of a block share, on whole sets, by a product
+of matrices, and returns no more links than a block has components.
 
 For sets of up to ``KEPT`` shingles the overlap bound is exact. For larger sets sketches must share half of
 their values where 0.8 is expected: below that with a probability under 1e-6, for a pair exactly at the limit.
@@ -34,7 +36,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from logfold.llm.graph import components
-from logfold.llm.texts import slices, text_of, words_of
+from logfold.llm.texts import release, slices, text_of, words_of
 from logfold.session import materialize
 
 #: Values that a sketch retains, and those that sketches of similar large sets share at least.
@@ -43,12 +45,10 @@ KEPT, SHARED = 64, 32
 SHORT = 12
 #: Nodes that a longer list compares with all others, in the first and the second round.
 CENTRES = (1, 12)
-#: Values that members of a long list are compared by, and those that large similar sets share of them at least; the
-#: same for a first look at the lowest of them.
-FINE, FINE_SHARED = 512, 340
-QUICK, QUICK_SHARED = 160, 100
-#: Nodes of a long list for each part that it is dealt into.
-PART = 512
+#: Nodes of a long list, and values of their sets, for each part that it is dealt into.
+PART, PART_VALUES = 2048, 1 << 20
+#: A value of a block is a column of matrices if one of so many pairs shares it; columns at once, and pairs of other values.
+OFTEN, COLUMNS, PAIRS = 64, 1024, 1 << 20
 #: Nodes with a list that share a file of the tables about them.
 FILE_ROWS = 20_000
 #: Bits of a filter for each node with a list, and at most; rows that pass it wrongly are left out by a join.
@@ -141,12 +141,12 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
 
 
 def _fine(items: str) -> Column:
-    """The lowest ``FINE`` hashes of a whole set, as 32-bit numbers."""
-    return F.transform(F.slice(items, 1, FINE), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    """What members of a long list are compared by: all hashes of the set, in 64 bits, so that a count is no estimate."""
+    return F.col(items)
 
 
 def _lost(fine: str) -> Column:
-    """How many of these numbers equal an earlier one, which a count of distinct ones leaves out."""
+    """How many of these numbers equal an earlier one, which a count of distinct ones leaves out: none, as hashes are whole."""
     return F.size(fine) - F.size(F.array_distinct(fine))
 
 
@@ -208,7 +208,10 @@ class _Comparer:
         named = self.written(named, "needed")
         both = F.size(F.array_intersect("items_a", "items_b"))
         links = self.with_set(self.with_set(named, "_a"), "_b")
-        links = links.filter(100 * both >= self.percent * (F.size("items_a") + F.size("items_b") - both)).select("a", "b")
+        self.join(links.filter(100 * both >= self.percent * (F.size("items_a") + F.size("items_b") - both)).select("a", "b"))
+
+    def join(self, links: DataFrame) -> None:
+        """Make one component of those that links a, b connect."""
         ends = self.label(self.label(links, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct()
         ends = self.written(ends, "links")
         if ends.isEmpty():
@@ -256,43 +259,102 @@ def _open_lists(members: DataFrame) -> DataFrame:
     return members.join(split.select("value", "most"), "value")
 
 
+def _parts() -> Column:
+    """How many parts the members of a list are dealt into."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / PART), F.ceil(F.sum("n") / PART_VALUES)).cast("long")
+
+
 def _chosen(opened: DataFrame, centres: int | None) -> DataFrame:
-    """value, node, part: all or ``centres`` nodes of each list outside its largest component, in parts of about PART."""
-    outside = opened.filter("component <> most").select("value", "node")
+    """value, node, part, parts: all or ``centres`` nodes of each list outside its largest component, dealt into parts."""
+    outside = opened.filter("component <> most").select("value", "node", "n")
     if centres is not None:
         order = F.row_number().over(Window.partitionBy("value").orderBy(F.xxhash64("node", "value")))
         outside = outside.withColumn("order", order).filter(F.col("order") <= centres).drop("order")
-    parts = outside.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / PART).cast("long").alias("parts"))
-    return outside.join(parts, "value").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    parts = outside.groupBy("value").agg(_parts().alias("parts"))
+    return outside.drop("n").join(parts, "value").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
 
 
-#: What a member of a long list brings to a comparison.
-_SIDE = ("node", "component", "n", "shared", "fine", "lost")
+def _shared_counts(rows: np.ndarray, own: np.ndarray, cols: np.ndarray, other: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """How many values each row shares with each column, which have the values ``own`` and ``other``, numbered from 0.
+
+    Values of many pairs are columns of two matrices whose product is taken, the pairs of others are counted one by one.
+    """
+    known = max(own.max(initial=-1), other.max(initial=-1)) + 1
+    left, right = np.bincount(own, minlength=known), np.bincount(other, minlength=known)
+    both = np.zeros(shape)
+    often = left * right * OFTEN >= shape[0] * shape[1]
+    columns = np.flatnonzero(often)
+    for begin in range(0, len(columns), COLUMNS):
+        portion = columns[begin:begin + COLUMNS]
+        at = np.full(known, -1)
+        at[portion] = np.arange(len(portion))
+        marks = []
+        for places, values, size in ((rows, own, shape[0]), (cols, other, shape[1])):
+            column = at[values]
+            mark = np.zeros((size, len(portion)), np.float32)
+            mark[places[column >= 0], column[column >= 0]] = 1
+            marks.append(mark)
+        both += marks[0] @ marks[1].T
+    seldom = (left > 0) & (right > 0) & ~often
+    rows, own = rows[seldom[own]], own[seldom[own]]
+    cols = cols[seldom[other]][np.argsort(other[seldom[other]], kind="stable")]
+    start = np.cumsum(right * seldom) - right * seldom
+    times = right[own]
+    ends = np.cumsum(times)
+    begin = 0
+    while begin < len(own):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - times[begin] + PAIRS, side="right")))
+        each = times[begin:end]
+        place = np.repeat(start[own[begin:end]] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        np.add.at(both.reshape(-1), np.repeat(rows[begin:end], each) * shape[1] + cols[place], 1.0)
+        begin = end
+    return both
+
+
+def _block_links(block: pa.Table, percent: int) -> pa.Table:
+    """Links a, b of similar sets, a chosen and b another member, that join all components of the block that such pairs join."""
+    block = block.combine_chunks()
+    chosen = block.column("chosen").to_numpy()
+    node, component = block.column("node").to_numpy(), block.column("component").to_numpy()
+    found: list[tuple[int, int]] = []
+    if chosen.any() and not chosen.all():
+        sets = block.column("fine").combine_chunks()
+        size = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+        code = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1]
+        label = np.unique(component, return_inverse=True)[1]
+        # the number of a node on its side, for each of its values
+        place = np.repeat(np.where(chosen, np.cumsum(chosen), np.cumsum(~chosen)) - 1, size)
+        mine = np.repeat(chosen, size)
+        a, b = np.flatnonzero(chosen), np.flatnonzero(~chosen)
+        both = _shared_counts(place[mine], code[mine], place[~mine], code[~mine], (len(a), len(b)))
+        close = both * (100 + percent) >= percent * (size[a][:, None] + size[b])  # |A n B| of |A u B| = |A| + |B| - |A n B|
+        close &= label[a][:, None] != label[b]
+        for k in np.flatnonzero(close.any(axis=1)):
+            others = b[close[k]]
+            ends, first = np.unique(label[others], return_index=True)
+            new = ends != label[a[k]]
+            found += [(node[a[k]], node[x]) for x in others[first[new]]]
+            label[np.isin(label, ends[new])] = label[a[k]]
+    release()
+    return pa.table([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
 def _close_members(opened: DataFrame, chosen: DataFrame, sides: DataFrame, percent: int) -> DataFrame:
-    """Pairs of chosen and other members of a list that may be similar, each pair in the first of its long lists.
+    """Links of chosen and other members of a list whose sets are similar, as many as join the components of each block.
 
-    The test is part of the join, so pairs that fail are never rows. A list is dealt over as many parts as its chosen
-    nodes need, and its other members are copied for each. For sets of up to ``FINE`` shingles it is exact
-    but for collisions of 32-bit hashes, which can only let more pairs through: those within a set are added. Most pairs
-    fail at the lowest ``QUICK`` values already.
+    A block is a part of the chosen nodes and a part of all members of the list; each is copied for the parts of the
+    other. Pairs are never rows: a task counts what they share, so a list of n nodes that are not similar costs n^2 steps of a product.
     """
     opened = opened.select("value", "node", "component", "n")
-    parts = chosen.select("value", "parts").distinct()
-    others = (opened.join(parts, "value").join(sides, "node")
-              .select("value", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *(F.col(k).alias(f"{k}b") for k in _SIDE)))
-    chosen = chosen.select("value", "node", "part").join(opened, ["value", "node"]).join(sides, "node").select(
-        "value", "part", *(F.col(k).alias(f"{k}a") for k in _SIDE))
-
-    def near(most: int, least: int) -> Column:
-        both = F.size(F.array_intersect(F.slice("finea", 1, most), F.slice("fineb", 1, most))) + F.least("losta", "lostb")
-        small = (F.col("na") <= most) & (F.col("nb") <= most)
-        return F.when(small, 100 * both >= percent * (F.col("na") + F.col("nb") - both)).otherwise(both >= least)
-
-    first = F.element_at(F.array_intersect("shareda", "sharedb"), 1) == F.col("value")
-    test = (F.col("componenta") != F.col("componentb")) & _alike(F.col("na"), F.col("nb"), percent) & first & near(QUICK, QUICK_SHARED) & near(FINE, FINE_SHARED)
-    return chosen.join(others, ["value", "part"]).filter(test).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
+    members = opened.join(chosen.select("value", "parts").distinct(), "value")
+    members = members.join(members.groupBy("value").agg(_parts().alias("slices")), "value")
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    some = chosen.select("value", "node", "part").join(members.drop("parts"), ["value", "node"]).select(
+        "value", "part", each("slices").alias("slice"), "node", "component", F.lit(True).alias("chosen"))
+    others = members.withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices"))).select(
+        "value", each("parts").alias("part"), "slice", "node", "component", F.lit(False).alias("chosen"))
+    blocks = some.unionByName(others).join(sides.select("node", "fine"), "node")
+    return blocks.groupBy("value", "part", "slice").applyInArrow(lambda block: _block_links(block, percent), "a long, b long")
 
 
 def _sets_of_one_id(slim: DataFrame, groups: DataFrame) -> DataFrame:
@@ -331,17 +393,14 @@ def _components_of_sets(docs: DataFrame, words: int, percent: int) -> tuple[Data
     # lists with much the same nodes mostly have the same lowest node by a hash: they become one, with all their nodes
     lowest = long_lists.groupBy("value").agg(F.min_by("node", F.xxhash64("node")).alias("list"))
     long_lists = comparer.written(long_lists.join(lowest, "value").select(F.col("list").alias("value"), "node", "n").distinct(), "merged")
-    shared = long_lists.groupBy("node").agg(F.sort_array(F.collect_list("value")).alias("shared"))
-    sides = comparer.with_set(comparer.written(shared.join(comparer.named, "node"), "needed"))
-    sides = comparer.written(sides.select("node", "shared", _fine("items").alias("fine")).withColumn("lost", _lost("fine")), "sides")
+    sides = comparer.with_set(comparer.written(long_lists.select("node").distinct().join(comparer.named, "node"), "needed"))
+    sides = comparer.written(sides.select("node", _fine("items").alias("fine")), "sides")
     for centres in (CENTRES[1], None):
         opened = comparer.written(_open_lists(comparer.label(long_lists.select("node", "value", "n"))), "opened")
         if opened.isEmpty():
             break
         chosen = comparer.written(_chosen(opened, centres), "chosen")
-        new = comparer.written(_close_members(opened, chosen, sides, percent).distinct(), "pairs")
-        if not new.isEmpty():
-            comparer.compare(new)
+        comparer.join(_close_members(opened, chosen, sides, percent))
     return rows.select("doc_id", *key), groups, comparer.labels
 
 

@@ -298,3 +298,33 @@ def test_filter_of_ids_loses_none(spark):
         assert len(inside) < 5 * len(want)
     plan = bottomk.among(rows.repartition(5), ids, ["id"], 4096)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("part", [2048, 16])
+def test_long_lists_return_no_square_of_links(spark, monkeypatch, part):
+    """Sixty copies of one set, sixty sets that share two thirds of it, in components of their own: links grow with the nodes of a block, not with pairs."""
+    monkeypatch.setattr(bottomk, "PART", part)
+    draw = random.Random(2)
+    own = lambda k: [draw.getrandbits(62) for _ in range(k)]
+    base = own(400)
+    sets = [sorted([*base[:396], *own(4)]) for _ in range(60)] + [sorted([*base[:320], *own(80)]) for _ in range(60)]
+    sides = spark.createDataFrame([(k, [1], x) for k, x in enumerate(sets)], "node long, shared array<long>, items array<long>")
+    sides = sides.withColumn("fine", bottomk._fine("items")).withColumn("lost", bottomk._lost("fine")).drop("items")
+    opened = spark.createDataFrame([(1, k, k, len(x), -1) for k, x in enumerate(sets)], "value long, node long, component long, n long, most long")
+    links = [tuple(r) for r in bottomk._close_members(opened, bottomk._chosen(opened, None), sides, 80).collect()]
+    assert joined(range(120), links) == {k: 0 if k < 60 else k for k in range(120)}
+    blocks = (-(-120 // part)) ** 2
+    assert len(links) <= (59 if blocks == 1 else blocks * 2 * part) and len(links) < 60 * 59 / 2
+
+
+def test_shared_counts_equal_sets(monkeypatch):
+    draw = np.random.default_rng(3)
+    for often, columns, pairs in ((64, 1024, 1 << 20), (2, 3, 5), (1, 1, 1)):
+        monkeypatch.setattr(bottomk, "OFTEN", often)
+        monkeypatch.setattr(bottomk, "COLUMNS", columns)
+        monkeypatch.setattr(bottomk, "PAIRS", pairs)
+        for pool in (6, 60, 600):
+            one, other = ([np.unique(draw.integers(0, pool, draw.integers(0, 40))) for _ in range(count)] for count in (9, 14))
+            places = lambda sets: np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            got = bottomk._shared_counts(places(one), np.concatenate(one), places(other), np.concatenate(other), (9, 14))
+            assert got.tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in other] for x in one]
